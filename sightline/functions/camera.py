@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightline.functions.pose import clip
+
 MAX_LOG_DEPTH = 80.0  # exponent clip of log depth
 FLOW_UNITS = 16  # stored flow is in sixteenths of a pixel
 SCORE_UNITS = 255
@@ -31,7 +33,7 @@ def on_stride(px: Column, py: Column, stride: int) -> Column:
 
 def project(x: Column, y: Column, z: Column, k: Column | dict, zclip: float = 1e-16) -> list[Column]:
     """Pixel of a camera-frame point, with the divisor kept at ``zclip`` or above."""
-    d = F.greatest(z, F.lit(zclip))
+    d = clip(z, low=zclip)
     return [(k["fx"] * x + k["cx"] * z) / d, (k["fy"] * y + k["cy"] * z) / d]
 
 
@@ -52,13 +54,13 @@ def normalise(a: Column) -> Column:
 def combine_depth(dep: Column, z: Column, mode: str = "log") -> Column:
     """Depth from channels and an array of coefficients (only the leading channels are read)."""
     mixed = array_dot(F.slice(dep, F.lit(1), F.size(z)), z)
-    return F.exp(F.least(mixed, F.lit(MAX_LOG_DEPTH))) if mode == "log" else mixed
+    return F.exp(clip(mixed, high=MAX_LOG_DEPTH)) if mode == "log" else mixed
 
 
 def scale_depth(dep: Column, scale: Column, mode: str = "log") -> Column:
     """Depth from the first channel and one global scale."""
     first = F.get(dep, F.lit(0))
-    return scale * (F.exp(F.least(first, F.lit(MAX_LOG_DEPTH))) if mode == "log" else first)
+    return scale * (F.exp(clip(first, high=MAX_LOG_DEPTH)) if mode == "log" else first)
 
 
 def init_z(scale: Column, n_channels: int, mode: str = "log") -> Column:
@@ -142,7 +144,7 @@ def dequantise_flow(q: Column, score: Column) -> Column:
 
 
 def quantise_score(s: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(float(SCORE_UNITS)), F.bround(s * SCORE_UNITS, 0))).cast("smallint")
+    return clip(F.bround(s * SCORE_UNITS, 0), 0.0, float(SCORE_UNITS)).cast("smallint")
 
 
 def filter_conf(depth: Column, conf: Column, thr: float = 2.0) -> list[Column]:

@@ -9,6 +9,16 @@ POSE_TYPE = "struct<r:array<double>,t:array<double>>"
 IDENTITY_R = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 
 
+def clip(c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """``c`` kept within bounds; unlike ``least`` and ``greatest`` a null stays null."""
+    out = c
+    if low is not None:
+        out = F.when(out < low, F.lit(low)).otherwise(out)
+    if high is not None:
+        out = F.when(out > high, F.lit(high)).otherwise(out)
+    return out
+
+
 def rigid(r: list[Column], t: list[Column]) -> Column:
     return F.struct(F.array(*r).alias("r"), F.array(*t).alias("t"))
 
@@ -88,7 +98,7 @@ def pytorch3d_to_cam2w(r: list[Column], t: list[Column]) -> Column:
 
 
 def angle_from_trace(trace: Column) -> Column:
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
+    return F.degrees(F.acos(clip((trace - 1) / 2, -1.0, 1.0)))
 
 
 def rotation_angle(ra: list[Column], rb: list[Column]) -> Column:
@@ -99,7 +109,7 @@ def rotation_angle(ra: list[Column], rb: list[Column]) -> Column:
 def direction_angle(dot: Column, na: Column, nb: Column) -> Column:
     """Angle between two vectors of known lengths up to sign, in degrees; undefined gives 1e6 rad."""
     cos = dot / ((na + 1e-15) * (nb + 1e-15))
-    angle = F.acos(F.sqrt(1 - F.greatest(1 - cos * cos, F.lit(1e-15))))
+    angle = F.acos(F.sqrt(1 - clip(1 - cos * cos, low=1e-15)))
     return F.degrees(F.coalesce(F.nanvl(angle, F.lit(1e6)), F.lit(1e6)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions.pose import angle_from_trace, direction_angle, dot3, entries
-from sightline.operators.ordered import block_pairs, quantiles, row_number
+from sightline.operators.ordered import pairs_within, quantiles
 
 THRESHOLDS = (5, 15, 30)
 AUC_BINS = 30
@@ -19,7 +19,7 @@ AUC_BINS = 30
 
 def pairs(poses: DataFrame, by: Sequence[str] = ("scene",), order: Sequence[str] = ("name",)) -> DataFrame:
     """All frame pairs of a scene in listing order, as structs ``a`` and ``b``."""
-    return block_pairs(row_number(poses, by, order, "_i"), by, "_i")
+    return pairs_within(poses, by, order)
 
 
 def auc_share(error: Column, bins: int = AUC_BINS) -> Column:

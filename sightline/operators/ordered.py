@@ -179,27 +179,30 @@ def pair_partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def block_pairs(df: DataFrame, by: Sequence[str], idx: str, block_size: int = 256) -> DataFrame:
-    """Every pair ``a.idx < b.idx`` of a group, as structs ``a`` and ``b``.
+def pairs_within(df: DataFrame, by: Sequence[str], key: Sequence[str], block_size: int = 256) -> DataFrame:
+    """Every unordered pair of rows of a group, as structs ``a`` and ``b`` with ``a.key < b.key``.
 
-    ``idx`` numbers the rows of a group from 1. Rows are cut into blocks of ``block_size`` and meet
-    block against block by equi-join, so one join key never holds more than ``block_size`` rows a side
-    and a huge group spreads over many tasks. Aggregate the result directly: the pairs then exist only
-    inside the join stage.
+    Rows of a large group are hashed into blocks of about ``block_size`` and meet block against block by
+    equi-join, so one join key never holds more and a huge group spreads over many tasks. Aggregate the
+    result directly: the pairs then exist only inside the join stage and are never shuffled.
     """
-    by = list(by)
-    size = df.groupBy(*by).agg(F.max(F.floor((F.col(idx) - 1) / block_size)).alias("_nb"))
-    keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by] or [F.lit(True)]
-    cols = df.columns
-    rows = (df.alias("l").join(size.alias("r"), keys)
-            .select("l.*", "r._nb", F.floor((F.col(f"l.{idx}") - 1) / block_size).alias("_b")))
-    packed = F.struct(*cols)
+    by, key = list(by), list(key)
+    large = (df.groupBy(*by).count().where(F.col("count") > block_size)
+             .select(*by, F.ceil(F.col("count") / block_size).alias("_nb")))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    rows = df.alias("l").join(large.alias("r"), same, "left").select(
+        "l.*", F.coalesce("r._nb", F.lit(1)).cast("int").alias("_nb"))
+    rows = rows.withColumn("_b", F.pmod(F.hash(*key), F.col("_nb")))
+    packed = F.struct(*df.columns)
     left = rows.select(*by, packed.alias("a"), F.col("_b").alias("_i"),
-                       F.explode(F.sequence(F.col("_b"), F.col("_nb"))).alias("_j"))
+                       F.explode(F.sequence("_b", F.col("_nb") - 1)).alias("_j"))
     right = rows.select(*by, packed.alias("b"), F.col("_b").alias("_j"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))).alias("_i"))
+                        F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"))
     # the rows are few but the pairs are many, so keep the partitions adaptive execution would merge
     parts = pair_partitions(df)
     left, right = (d.repartition(parts, *by, "_i", "_j") for d in (left, right))
-    return (left.join(right, [*by, "_i", "_j"])
-            .where(F.col(f"a.{idx}") < F.col(f"b.{idx}")).drop("_i", "_j"))
+    ka, kb = (F.struct(*[F.col(f"{s}.{k}") for k in key]) for s in "ab")
+    both = left.join(right, [*by, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (ka < kb))
+    swap = (F.col("_i") < F.col("_j")) & (kb < ka)
+    return both.select(*by, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+                       F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))

@@ -54,7 +54,7 @@ def interpolate(pred: DataFrame, gt: DataFrame, on: str = "ts", by: Sequence[str
     mine = gt.select(*by, on, F.struct(*[c for c in gt.columns if c not in (*by, on)]).alias("_l"),
                      F.lit(1).alias("_side"))
     both = mine.unionByName(seg.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    times = both.groupBy(*by, on).agg(F.count_if("_side = 1").alias("g"), F.count_if("_side = 0").alias("p"))
+    times = both.groupBy(*by, on).agg(F.count_if(F.col("_side") == 1).alias("g"), F.count_if(F.col("_side") == 0).alias("p"))
     same = times.groupBy(*by).agg(F.bool_and((F.col("g") > 0) & (F.col("p") > 0)).alias("_same"))
     b = blocks(both, by, [on, "_side"])
     prev = carry(b, {"_before": F.col("_seg"), "_own": F.col("_pose")})

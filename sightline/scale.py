@@ -33,6 +33,7 @@ def session(name: str = "sightline", master: str | None = None, **conf: object)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k: str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():
