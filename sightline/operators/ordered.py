@@ -206,3 +206,51 @@ def pairs_within(df: DataFrame, by: Sequence[str], key: Sequence[str], block_siz
     swap = (F.col("_i") < F.col("_j")) & (kb < ka)
     return both.select(*by, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
                        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], block_size: int = 4096) -> DataFrame:
+    """Inner equi-join whose large keys are cut into blocks on both sides.
+
+    A key with n rows on a side gets ⌈n / block_size⌉ salts there; the other side is copied once per salt.
+    No task then meets more than about ``block_size`` rows a side of one key.
+    """
+    on = list(on)
+
+    def salts(df: DataFrame, name: str) -> DataFrame:
+        return (df.groupBy(*on).count().where(F.col("count") > block_size)
+                .select(*on, F.ceil(F.col("count") / block_size).cast("int").alias(name)))
+
+    sizes = salts(left, "_nl").join(salts(right, "_nr"), on, "full")
+
+    def spread(df: DataFrame, mine: str, other: str, m: str, o: str) -> DataFrame:
+        one = F.lit(1)
+        d = df.join(sizes, on, "left").withColumns({"_nl": F.coalesce("_nl", one), "_nr": F.coalesce("_nr", one)})
+        d = d.withColumn(m, F.pmod(F.hash(*df.columns), F.col(mine)))
+        return d.withColumn(o, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_nl", "_nr")
+
+    a = spread(left, "_nl", "_nr", "_a", "_b")
+    b = spread(right, "_nr", "_nl", "_b", "_a")
+    return a.join(b, [*on, "_a", "_b"]).drop("_a", "_b")
+
+
+def sum_vectors(df: DataFrame, by: Sequence[str], vec: Column, dim: int, chunk: int = 64) -> DataFrame:
+    """Element-wise sum of an array column per group, as ``vec``, with map-side combine.
+
+    Long vectors are summed in chunks so that the generated code stays small.
+    """
+    by = list(by)
+    rows = df.select(*by, vec.alias("_v"))
+    n = -(-dim // chunk)
+    width = min(dim, chunk)
+    if n > 1:
+        rows = rows.select(*by, F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.slice("_v", c * chunk + 1, F.lit(chunk)))).alias("_p", "_v"))
+    else:
+        rows = rows.withColumn("_p", F.lit(0))
+    sums = rows.groupBy(*by, "_p").agg(*[F.sum(F.get("_v", F.lit(k))).alias(f"_s{k}") for k in range(width)])
+    packed = sums.select(*by, "_p", F.array(*[f"_s{k}" for k in range(width)]).alias("_v"))
+    if n == 1:
+        return packed.select(*by, F.col("_v").alias("vec"))
+    flat = packed.groupBy(*by).agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("_p", "_v"))), lambda s: s["_v"])).alias("vec"))
+    return flat.withColumn("vec", F.slice("vec", 1, dim))
