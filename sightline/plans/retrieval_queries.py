@@ -113,8 +113,8 @@ nq AS (SELECT scene, img_id AS i, count(DISTINCT word) AS nq FROM bitsq GROUP BY
 SELECT u.scene, u.i, u.j, {r6('sum(pow(u, 3))/sqrt(max(nq)*max(nd))', 's')} FROM u JOIN nq USING (scene, i) JOIN nd USING (scene, j) WHERE u > 0 GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     loc, book = _local(t), _book(t)
-    q = retrieval.asmk_aggregate(loc, book, retrieval.QUERY_ASSIGN)
-    out = retrieval.asmk_scores(q, retrieval.asmk_aggregate(loc, book), DIM)
+    q = cut(retrieval.asmk_aggregate(loc, book, retrieval.QUERY_ASSIGN))
+    out = retrieval.asmk_scores(q, cut(retrieval.asmk_aggregate(loc, book)), DIM)
     return out.select("scene", "i", "j", rnd("s"))
 
 
