@@ -1,9 +1,23 @@
-"""Incremental reconstruction on Structured Streaming."""
+"""Incremental reconstruction on Structured Streaming.
+
+Every stage is a ``foreachBatch`` body over tables partitioned by batch number. A batch writes only its
+own partition, so a batch that is run again after a failure overwrites what it wrote before. Stored state
+is ids, words and observations, never depth maps.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sightline.operators.batch import timing_summary
+from sightline.operators.retrieval import BUILD_ASSIGN, QUERY_ASSIGN, asmk_aggregate, asmk_scores
+from sightline.operators.selection import topsim
+from sightline.operators.tracks import attach_last, cap_tracks, duplicated, remove_tracks, union_tracks
+from sightline.scale import cut
 
 GLOBAL_WARMUP = 8  # frames refined globally at the start of a scene
 
@@ -11,3 +25,124 @@ GLOBAL_WARMUP = 8  # frames refined globally at the start of a scene
 def refinement_mode(frame: Column, gba_step: int) -> Column:
     """'global' for the first frames and every ``gba_step``-th one (frames count from 0), else 'local'."""
     return F.when((frame < GLOBAL_WARMUP) | (frame % gba_step == 0), "global").otherwise("local")
+
+
+def frame_stream(spark: SparkSession, path: str, schema: T.StructType | str, every: int = 1,
+                 files_per_batch: int = 1, idx: str = "img_id") -> DataFrame:
+    """Stream of frame rows in file order, every ``every``-th frame; ``idx`` counts from 0."""
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return s.where(F.col(idx) % every == 0) if every > 1 else s
+
+
+class BatchTable:
+    """Parquet table with one folder per batch."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str) -> None:
+        self.spark, self.path = spark, path
+        self.schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Rows of all batches, or of those before one."""
+        full = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
+            return self.spark.createDataFrame([], self.schema)
+        df = self.spark.read.schema(full).parquet(self.path)
+        return (df if before is None else df.where(F.col("batch") < before)).drop("batch")
+
+
+class OnlineRetrieval:
+    """Query the inverted index with each new frame, then add it.
+
+    New frames also see the earlier frames of their own batch, so the batch size does not change results.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, codebook: DataFrame, dim: int, k: int) -> None:
+        self.codebook, self.dim, self.k = codebook, dim, k
+        self.index = BatchTable(spark, f"{folder}/index", "scene long, img_id long, word long, bits array<bigint>")
+        self.pairs = BatchTable(spark, f"{folder}/pairs", "scene long, query long, img_id long")
+        self.scores = BatchTable(spark, f"{folder}/scores", "scene long, i long, j long, s double")
+
+    def __call__(self, desc: DataFrame, batch: int) -> None:
+        new = cut(asmk_aggregate(desc, self.codebook, BUILD_ASSIGN))
+        query = cut(asmk_aggregate(desc, self.codebook, QUERY_ASSIGN))
+        history = self.index.read(before=batch)
+        sim = cut(asmk_scores(query, history.unionByName(new.select(history.columns)), self.dim, past_only=True))
+        self.scores.write(sim, batch)
+        self.pairs.write(topsim(sim, self.k), batch)
+        self.index.write(new, batch)
+
+
+class OnlineTracks:
+    """Growing track store: drop old tracks that new ones cover, append, cap, and attach the newest frame.
+
+    The store of a batch holds the full observations of the scenes the batch touched; other scenes stay
+    where they were last written.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, num_keep: int, thr: float = 5.0, gba_step: int = 10,
+                 on_frame: Callable[[DataFrame, int], None] | None = None) -> None:
+        self.num_keep, self.thr, self.gba_step, self.on_frame = num_keep, thr, gba_step, on_frame
+        self.schema = "scene long, img_id long, track_id long, u double, v double"
+        self.store = BatchTable(spark, f"{folder}/tracks", self.schema + ", version long")
+        self.events = BatchTable(spark, f"{folder}/events", "scene long, img_id long, attached_to long, n_matches long, mode string, n_tracks long")
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """Latest observations of every scene."""
+        rows = self.store.read(before)
+        last = rows.groupBy("scene").agg(F.max("version").alias("version"))
+        return rows.join(last, ["scene", "version"]).drop("version")
+
+    def __call__(self, new: DataFrame, batch: int) -> None:
+        new = cut(new.select("scene", "img_id", "track_id", "u", "v"))
+        if new.isEmpty():
+            return
+        touched = new.select("scene").distinct()
+        old = self.current(before=batch).join(touched, "scene", "left_semi")
+        kept = remove_tracks(old, cut(duplicated(old, new, self.thr)))
+        merged = cut(cap_tracks(union_tracks(kept, new), self.num_keep))
+        self.store.write(merged.withColumn("version", F.lit(batch).cast("long")), batch)
+        at = attach_last(merged).select("scene", F.col("j").alias("img_id"), F.col("i").alias("attached_to"), "n_matches")
+        frames = new.groupBy("scene").agg(F.max("img_id").alias("img_id"))
+        counts = merged.select("scene", "track_id").distinct().groupBy("scene").agg(F.count("*").alias("n_tracks"))
+        feed = frames.join(at, ["scene", "img_id"], "left").withColumn("mode", refinement_mode(F.col("img_id"), self.gba_step))
+        feed = cut(feed.join(counts, "scene").select("scene", "img_id", "attached_to", "n_matches", "mode", "n_tracks"))
+        self.events.write(feed, batch)
+        if self.on_frame is not None:
+            self.on_frame(feed, batch)
+
+
+def running_size(frames: DataFrame, by: str = "scene") -> DataFrame:
+    """Largest height and width and the frame count so far per scene; state is three numbers per scene."""
+    return frames.groupBy(by).agg(F.max("height").alias("max_height"), F.max("width").alias("max_width"), F.count("*").alias("n_frames"))
+
+
+def timing_stream(events: DataFrame) -> DataFrame:
+    """Stage timings summed over the stream."""
+    return timing_summary(events)
+
+
+def nearest_pose(frames: DataFrame, poses: DataFrame, max_dt: float, pose_id: str = "pose_no") -> DataFrame:
+    """Frames of a stream with the nearest pose of a static table, strictly closer than ``max_dt``.
+
+    Works without an aggregation over the stream: poses are kept per time bucket as a sorted list, and a
+    frame looks at the lists of its own and the two adjacent buckets. Ties go to the earlier pose.
+    """
+    bucket = lambda c: F.floor(F.col(c) / max_dt).cast("long")
+    cells = poses.groupBy("scene", bucket("ts").alias("_b"), "ts").agg(F.min_by(F.struct("ts", pose_id, "pose"), pose_id).alias("p"))
+    spread = cells.select("scene", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"), "p")
+    lists = spread.groupBy("scene", "_b").agg(F.array_sort(F.collect_list("p")).alias("_near"))
+    got = frames.withColumn("_b", bucket("ts")).join(lists, ["scene", "_b"])
+    cand = F.transform("_near", lambda p: F.struct(F.abs(p["ts"] - F.col("ts")).alias("gap"), p["ts"].alias("pose_ts"),
+                                                   p[pose_id].alias(pose_id), p["pose"].alias("pose")))
+    got = got.withColumn("_m", F.array_min(cand)).where(F.col("_m.gap") < max_dt)
+    return got.select(*frames.columns, "_m.gap", f"_m.{pose_id}", "_m.pose")
+
+
+def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True):
+    """Start a stream that hands each batch to ``body``."""
+    writer = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
