@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,15 @@ def project(x: Column, y: Column, z: Column, k: Column | dict, zclip: float = 1e
     return [(k["fx"] * x + k["cx"] * z) / d, (k["fy"] * y + k["cy"] * z) / d]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda of ``transform`` computes every expression it mentions again for each element, also one that
+    comes from an earlier column; a bound variable avoids that.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def array_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -47,8 +56,7 @@ def array_norm(a: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """L2 unit vector; a zero vector stays zero."""
-    n = F.greatest(array_norm(a), F.lit(1e-12))
-    return F.transform(a, lambda v: v / n)
+    return let(a, lambda x: let(F.greatest(array_norm(x), F.lit(1e-12)), lambda n: F.transform(x, lambda v: v / n)))
 
 
 def combine_depth(dep: Column, z: Column, mode: str = "log") -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.camera import filter_conf, on_stride, project, unproject
-from sightline.functions.pose import dot3, pose_inv, transform
+from sightline.functions.pose import dot3, entries, pose_inv, pose_mul, transform
 from sightline.operators.accuracy import umeyama
 from sightline.operators.graph import components
 from sightline.operators.grid import HALF_WINDOW, IMG, corners, neighbours, sample, stencil
 from sightline.operators.ordered import quantiles, row_number
-from sightline.scale import cut
+from sightline.scale import broadcast_if_small, cut
 
 K_COLS = ("fx", "fy", "cx", "cy")
 
@@ -30,7 +30,8 @@ def unproject_pixels(pixels: DataFrame, views: DataFrame, world: bool = True, st
     rows = pixels.where(F.col("depth").isNotNull())
     if stride > 1:
         rows = rows.where(on_stride(F.col("px"), F.col("py"), stride))
-    rows = rows.join(views.select("scene", "img_id", *K_COLS, *(["cam2w"] if world else [])), list(IMG))
+    cams = broadcast_if_small(views.select("scene", "img_id", *K_COLS, *(["cam2w"] if world else [])))
+    rows = rows.join(cams, list(IMG))
     p = unproject(F.col("px"), F.col("py"), F.col("depth"), _k(), 0.5, stride)
     if not world:
         return rows.select(*pixels.columns, *[c.alias(n) for c, n in zip(p, "xyz")])
@@ -57,7 +58,7 @@ def surface_edges(pixels: DataFrame, views: DataFrame, radius: float = 0.005) ->
     All offsets use the angle between adjacent rays. Pixels are numbered row by row.
     """
     defined = pixels.where(F.col("depth").isNotNull()).select("scene", "img_id", "px", "py", "depth")
-    cand = neighbours(defined, HALF_WINDOW, ["depth"]).join(_ray_angle(views), list(IMG))
+    cand = neighbours(defined, HALF_WINDOW, ["depth"]).join(broadcast_if_small(_ray_angle(views)), list(IMG))
     z1, z2 = F.col("depth"), F.col("n_depth")
     near = z1 * z1 + z2 * z2 - 2 * z1 * z2 * F.col("_cos") < radius * radius * z1 * z2
     wide = 1 << 20  # wider than any image row
@@ -78,24 +79,34 @@ def denoise_floating(pixels: DataFrame, views: DataFrame, radius: float = 0.005,
         (F.col("node") % (1 << 20)).alias("px"), F.floor(F.col("node") / (1 << 20)).alias("py"), "_n")
     need = _ray_angle(views).select("scene", "img_id", (F.floor((min_size * F.col("_long")) ** 2) if isinstance(min_size, float)
                                                        else F.lit(min_size)).alias("_need"))
-    out = pixels.join(big, [*IMG, "px", "py"], "left").join(need, list(IMG))
+    out = pixels.join(big, [*IMG, "px", "py"], "left").join(broadcast_if_small(need), list(IMG))
     ok = F.coalesce("_n", F.lit(1)) >= F.col("_need")
     return out.withColumns({"depth": F.when(ok, F.col("depth")), "conf": F.when(ok, F.col("conf")).otherwise(F.lit(0.0))}).select(
         *pixels.columns)
 
 
 def visible_in_others(pixels: DataFrame, views: DataFrame) -> DataFrame:
-    """Points of each image projected into the other images of the scene, kept where they land inside."""
-    pts = unproject_pixels(pixels, views)
-    eye = views.select("scene", F.col("img_id").alias("seen_in"), "width", "height", *K_COLS, pose_inv(F.col("cam2w")).alias("w2cam"))
-    pair = pts.join(eye, "scene").where(F.col("seen_in") != F.col("img_id"))
-    cam = transform(F.col("w2cam"), F.col("x"), F.col("y"), F.col("z"))
-    pair = pair.select("scene", "img_id", "px", "py", "conf", "seen_in", "width", "height", *K_COLS,
-                       *[c.alias(n) for c, n in zip(cam, ("_cx", "_cy", "d"))]).where("d > 0")
-    u, v = project(F.col("_cx"), F.col("_cy"), F.col("d"), _k())
-    pair = pair.withColumns({"u": u, "v": v})
-    inside = (F.col("u") > -0.5) & (F.col("v") > -0.5) & (F.col("u") < F.col("width") + 0.5) & (F.col("v") < F.col("height") + 0.5)
-    return pair.where(inside).select("scene", "img_id", "px", "py", "conf", "seen_in", "width", "height", "u", "v", "d")
+    """Points of each image projected into the other images of the scene, kept where they land inside.
+
+    The motion from one camera to the other is computed once per pair of views.
+    """
+    src = views.select("scene", "img_id", *[F.col(c).alias(f"_{c}") for c in K_COLS], F.col("cam2w").alias("_p"))
+    dst = views.select("scene", F.col("img_id").alias("seen_in"), "width", "height", *K_COLS, pose_inv(F.col("cam2w")).alias("_q"))
+    pair = src.join(dst, "scene").where(F.col("seen_in") != F.col("img_id"))
+    r, t = entries(pose_mul(F.col("_q"), F.col("_p")))
+    # per pixel: seen = depth · (R·(px, py, 1 scaled by intrinsics)) + t
+    pair = pair.select("scene", "img_id", "seen_in", "width", "height", *K_COLS, *[f"_{c}" for c in K_COLS],
+                       *[c.alias(f"_r{i}") for i, c in enumerate(r)], *[c.alias(f"_t{i}") for i, c in enumerate(t)])
+    rows = pixels.where(F.col("depth").isNotNull()).join(broadcast_if_small(pair), list(IMG))
+    x, y = (F.col("px") + 0.5 - F.col("_cx")) / F.col("_fx"), (F.col("py") + 0.5 - F.col("_cy")) / F.col("_fy")
+    rows = rows.withColumns({"_a": x * F.col("depth"), "_b": y * F.col("depth")})
+    seen = [F.col(f"_r{3 * i}") * F.col("_a") + F.col(f"_r{3 * i + 1}") * F.col("_b") + F.col(f"_r{3 * i + 2}") * F.col("depth") + F.col(f"_t{i}")
+            for i in range(3)]
+    rows = rows.select(*IMG, "px", "py", "conf", "seen_in", "width", "height", *K_COLS,
+                       *[c.alias(n) for c, n in zip(seen, ("_sx", "_sy", "d"))]).where("d > 0")
+    u, v = project(F.col("_sx"), F.col("_sy"), F.col("d"), _k())
+    rows = rows.select(*IMG, "px", "py", "conf", "seen_in", "width", "height", u.alias("u"), v.alias("v"), "d")
+    return rows.where((F.col("u") > -0.5) & (F.col("v") > -0.5) & (F.col("u") < F.col("width") + 0.5) & (F.col("v") < F.col("height") + 0.5))
 
 
 def carved_points(pixels: DataFrame, views: DataFrame, coef: float = 0.9, use_conf: bool = True) -> DataFrame:
@@ -134,7 +145,7 @@ def clean(pixels: DataFrame, views: DataFrame, conf_thr: float | None = 2.0, rad
 
 def planar_conf(pixels: DataFrame, views: DataFrame, alpha: float = 1e4) -> DataFrame:
     """``planar``: exp(−α·|Laplacian / 3×3 minimum|²) of depth; neighbours outside the image do not enter."""
-    rows = pixels.join(views.select("scene", "img_id", "width", "height"), list(IMG))
+    rows = pixels.join(broadcast_if_small(views.select("scene", "img_id", "width", "height")), list(IMG))
 
     def make(at, w) -> dict[str, Column]:
         def side(dx: int, dy: int) -> Column:

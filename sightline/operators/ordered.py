@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.camera import let
 from sightline.scale import cut, has_large_group, max_group_rows
 
 BLOCK = "_block"
@@ -243,8 +244,9 @@ def sum_vectors(df: DataFrame, by: Sequence[str], vec: Column, dim: int, chunk:
     n = -(-dim // chunk)
     width = min(dim, chunk)
     if n > 1:
-        rows = rows.select(*by, F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.slice("_v", c * chunk + 1, F.lit(chunk)))).alias("_p", "_v"))
+        cutup = let(F.col("_v"), lambda v: F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.slice(v, c * chunk + 1, F.lit(chunk))))
+        rows = rows.select(*by, F.posexplode(cutup).alias("_p", "_v"))
     else:
         rows = rows.withColumn("_p", F.lit(0))
     sums = rows.groupBy(*by, "_p").agg(*[F.sum(F.get("_v", F.lit(k))).alias(f"_s{k}") for k in range(width)])

@@ -160,12 +160,16 @@ def quantise(desc: DataFrame, codebook: DataFrame, k: int = 1, keys: Sequence[st
     return found
 
 
-def pack_signs(vec: str, dim: int):
-    """Signs of a vector as an array of longs, 32 bits each."""
-    one = F.lit(1).cast("long")
-    return F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 32)), lambda c: F.aggregate(
-        F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"),
-        lambda acc, b: acc + F.when(F.get(vec, c * 32 + b) > 0, F.call_function("shiftleft", one, b)).otherwise(F.lit(0).cast("long"))))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def residual_signs(total: pd.Series, centre: pd.Series) -> pd.Series:
+    """Signs of Σx − n·c as longs of 32 bits; ``total`` holds Σx followed by n."""
+    if total.empty:
+        return total
+    t, c = np.stack(total.to_numpy()), np.stack(centre.to_numpy())
+    bits = t[:, :-1] - t[:, -1:] * c > 0
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 32)))
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u4").astype(np.int64)
+    return pd.Series(list(words), index=total.index)
 
 
 def asmk_aggregate(desc: DataFrame, codebook: DataFrame, k: int = BUILD_ASSIGN) -> DataFrame:
@@ -175,9 +179,7 @@ def asmk_aggregate(desc: DataFrame, codebook: DataFrame, k: int = BUILD_ASSIGN)
     sums = sum_vectors(near.withColumn("_one", F.lit(1.0)), ["scene", "img_id", "word"],
                        F.concat("vec", F.array("_one")), dim + 1)
     book = codebook.select(F.col("word").cast("long").alias("word"), F.col("vec").cast("array<double>").alias("_c"))
-    res = sums.join(book, "word").select("scene", "img_id", "word", F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get("vec", i) - F.get("vec", F.lit(dim)) * F.get("_c", i)).alias("_r"))
-    return res.select("scene", "img_id", "word", pack_signs("_r", dim).alias("bits"))
+    return sums.join(book, "word").select("scene", "img_id", "word", residual_signs("vec", "_c").alias("bits"))
 
 
 def asmk_scores(query: DataFrame, index: DataFrame, dim: int, alpha: float = ALPHA, thr: float = 0.0,

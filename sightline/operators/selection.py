@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.camera import array_dot
+from sightline.functions.camera import array_dot, let
 from sightline.functions.pose import clip
 from sightline.operators.ordered import pairs_within, row_number, sum_vectors, top_k
 from sightline.operators.retrieval import dimension
@@ -151,8 +151,8 @@ def coreset_clusters(glob: DataFrame, n: int, rounds: int = 10) -> DataFrame:
 
     for _ in range(rounds):
         sums = sum_vectors(assign(centres), ["scene", "cluster"], F.concat("vec", F.array(F.lit(1.0))), dim + 1)
-        centres = cut(sums.select("scene", "cluster", F.transform(
-            F.slice("vec", 1, dim), lambda v: v / F.get("vec", F.lit(dim))).alias("vec")))
+        mean = let(F.col("vec"), lambda x: F.transform(F.slice(x, 1, dim), lambda v: v / F.get(x, F.lit(dim))))
+        centres = cut(sums.select("scene", "cluster", mean.alias("vec")))
     return assign(centres).groupBy("scene", "cluster").agg(F.min_by("img_id", F.struct("d", "img_id")).alias("img_id"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sightline.functions.camera import combine_depth, project, scale_depth, unproject
 from sightline.functions.pose import pose_inv, pose_mul, transform
 from sightline.operators.ordered import BLOCK, blocks, pairs_within, row_number, running_sum, top_k
-from sightline.scale import cut
+from sightline.scale import broadcast_if_small, cut
 
 TRACK_BIN = 16  # pixels
 MIN_SHARED = 3  # fewer shared tracks do not make an edge
@@ -30,7 +30,7 @@ def image_params(images: DataFrame, cameras: DataFrame, nodes: DataFrame) -> Dat
 
 def denormalise(obs: DataFrame, images: DataFrame, cameras: DataFrame, nodes: DataFrame) -> DataFrame:
     """Observations with the parameters of their image; the dimension tables meet first, so ``obs`` moves once."""
-    return obs.join(image_params(images, cameras, nodes), ["scene", "img_id"])
+    return obs.join(broadcast_if_small(image_params(images, cameras, nodes)), ["scene", "img_id"])
 
 
 def observed_depth(mode: str = "log") -> Column:
@@ -44,13 +44,13 @@ def apply_params(images: DataFrame, cameras: DataFrame, nodes: DataFrame, pixels
     params = image_params(images, cameras, nodes).withColumn("cam2w", pose_inv(F.col("w2cam")))
     if pixels is None:
         return params.select("scene", "img_id", *K_COLS, "cam2w")
-    rows = pixels.join(params, ["scene", "img_id"])
+    rows = pixels.join(broadcast_if_small(params), ["scene", "img_id"])
     return rows.select(*pixels.columns, *K_COLS, "cam2w", observed_depth(mode).alias("depth"))
 
 
 def unproject_obs(obs: DataFrame, cams: DataFrame) -> DataFrame:
     """3-D points of observations with a ``depth``; ``cams`` has intrinsics and optionally ``cam2w``."""
-    rows = obs.join(cams, ["scene", "img_id"])
+    rows = obs.join(broadcast_if_small(cams), ["scene", "img_id"])
     p = unproject(F.col("u"), F.col("v"), F.col("depth"), {k: F.col(k) for k in K_COLS}, offset=0.0)
     if "cam2w" in cams.columns:
         rows = rows.withColumns(dict(zip(("_x", "_y", "_z"), p)))
@@ -62,7 +62,8 @@ def track_points(obs: DataFrame, images: DataFrame, cameras: DataFrame, nodes: D
     """Mean 3-D position of each track over its images."""
     cams = apply_params(images, cameras, nodes)
     zs = images.select("scene", "img_id", "scale", "z_coefs")
-    rows = obs.join(cams.join(zs, ["scene", "img_id"]), ["scene", "img_id"]).withColumn("depth", observed_depth(mode))
+    dims = broadcast_if_small(cams.join(zs, ["scene", "img_id"]))
+    rows = obs.join(dims, ["scene", "img_id"]).withColumn("depth", observed_depth(mode))
     p = unproject(F.col("u"), F.col("v"), F.col("depth"), {k: F.col(k) for k in K_COLS}, offset=0.0)
     rows = rows.select("scene", "track_id", "cam2w", *[c.alias(n) for c, n in zip(p, ("_x", "_y", "_z"))])
     w = transform(F.col("cam2w"), F.col("_x"), F.col("_y"), F.col("_z"))
@@ -307,8 +308,8 @@ def reproj_score(res: DataFrame, by: Sequence[str] = ("scene",), percent: int =
     """
     by = list(by)
     e = res.select(*by, F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")).alias("e"))
-    n = e.groupBy(*by).agg(F.count("*").alias("n"))
-    hist = e.groupBy(*by, "e").agg(F.count("*").alias("c"))
+    hist = cut(e.groupBy(*by, "e").agg(F.count("*").alias("c")))
+    n = hist.groupBy(*by).agg(F.sum("c").alias("n"))
     cum = running_sum(blocks(hist, by, ["e"]), "c", "hi").join(n, by)
     keep = F.floor(F.col("n") * percent / 100)
     used = F.greatest(F.lit(0), F.least(F.col("hi"), keep) - (F.col("hi") - F.col("c")))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.camera import let
 from sightline.operators import retrieval, selection
 from sightline.operators.ordered import sum_vectors
 from sightline.plans.catalog import query, rnd
@@ -31,7 +32,7 @@ def _book(t: Tables) -> DataFrame:
     """Codebook: mean vector of each label."""
     d = t.read("embeddings").select(F.col("label").alias("word"), F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0))).alias("vec"))
     s = sum_vectors(d, ["word"], F.col("vec"), DIM + 1)
-    return s.select("word", F.transform(F.slice("vec", 1, DIM), lambda v: v / F.get("vec", F.lit(DIM))).alias("vec"))
+    return s.select("word", let(F.col("vec"), lambda x: F.transform(F.slice(x, 1, DIM), lambda v: v / F.get(x, F.lit(DIM)))).alias("vec"))
 
 
 @query("normalised_descriptors", f"""WITH {DESC} SELECT img_id, {r6('sqrt(list_inner_product(vec, vec))', 'attention')},

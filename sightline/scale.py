@@ -84,6 +84,15 @@ def has_large_group(df: DataFrame, by: Sequence[str], limit: int | None = None)
     return not df.groupBy(*by).count().where(F.col("count") > limit).isEmpty()
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int = 512) -> DataFrame:
+    """``df`` with a broadcast hint when a count proves it small, else as it is for a shuffled join.
+
+    Meant for dimension tables (cameras, frames), whose size the optimizer often cannot see.
+    """
+    limit = max_broadcast_bytes(df.sparkSession) // row_bytes
+    return F.broadcast(df) if df.select(F.lit(1)).limit(limit + 1).count() <= limit else df
+
+
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     """Rows of a table that must be small by design; raises instead of flooding the driver."""
     rows = df.limit(max_rows + 1).collect()
