@@ -62,15 +62,15 @@ def blocks(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Blocks:
 def running_sum(b: Blocks, value: Column | str, name: str) -> DataFrame:
     """``sum(value)`` over the rows of the group up to and including this one."""
     value = F.col(value) if isinstance(value, str) else value
-    rows = b.df.withColumn("_v", value)
-    local = F.sum("_v").over(b.window().rowsBetween(Window.unboundedPreceding, 0))
+    rows = b.df.withColumn("_run_value", value)
+    local = F.sum("_run_value").over(b.window().rowsBetween(Window.unboundedPreceding, 0))
     if not b.split:
-        return rows.withColumn(name, local).drop("_v")
-    before = (rows.groupBy(*b.keys).agg(F.sum("_v").alias("_s"))
-              .withColumn("_o", F.sum("_s").over(b.across().rowsBetween(Window.unboundedPreceding, -1)))
-              .select(*b.keys, "_o"))
+        return rows.withColumn(name, local).drop("_run_value")
+    before = (rows.groupBy(*b.keys).agg(F.sum("_run_value").alias("_run_sum"))
+              .withColumn("_run_before", F.sum("_run_sum").over(b.across().rowsBetween(Window.unboundedPreceding, -1)))
+              .select(*b.keys, "_run_before"))
     return (b.attach(rows.withColumn(name, local), before)
-            .withColumn(name, F.col(name) + F.coalesce("_o", F.lit(0))).drop("_v", "_o", BLOCK))
+            .withColumn(name, F.col(name) + F.coalesce("_run_before", F.lit(0))).drop("_run_value", "_run_before", BLOCK))
 
 
 def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "idx") -> DataFrame:
@@ -120,6 +120,18 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, nam
     return out if name else out.drop("_rank")
 
 
+def cap_pairs(candidates: DataFrame, by: list[str], score: str, ids: list[str], cap: int) -> DataFrame:
+    """The ``cap`` best candidate pairs of each group.
+
+    A small cap is taken per task before the shuffle. With a large one that would still bring many rows of a
+    big group together, so the rows are ranked by the ordered operator, which splits big groups.
+    """
+    if cap * pair_partitions(candidates) <= max_group_rows(candidates.sparkSession):
+        return top_k(candidates, by, [F.col(score).desc(), *[F.col(c) for c in ids]], cap)
+    ranked = row_number(candidates.withColumn("_neg", -F.col(score)), by, ["_neg", *ids], "_rn")
+    return ranked.where(F.col("_rn") <= cap).drop("_neg", "_rn")
+
+
 def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, float, str]]) -> DataFrame:
     """Exact quantiles per group, nulls ignored.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions.camera import normalise
-from sightline.operators.ordered import pair_partitions, row_number, salted_join, sum_vectors, top_k
+from sightline.operators.ordered import cap_pairs, pair_partitions, row_number, salted_join, sum_vectors, top_k
 from sightline.scale import collect_bounded, max_broadcast_bytes
 
 ALPHA = 3.0  # exponent of the match kernel
@@ -72,7 +72,9 @@ def fit_whitening(desc: DataFrame, shrinkage: float = 1.0, dim: int | None = Non
                 total += x.T @ x
         yield pd.DataFrame({"row": np.arange(dim + 1), "vec": list(total)})
 
-    parts = desc.select(F.col("vec").cast("array<double>").alias("vec")).mapInPandas(gram, "row long, vec array<double>")
+    # few tasks, each reading many rows: every task hands on a whole matrix
+    rows = desc.select(F.col("vec").cast("array<double>").alias("vec")).coalesce(4 * desc.sparkSession.sparkContext.defaultParallelism)
+    parts = rows.mapInPandas(gram, "row long, vec array<double>")
     rows = sorted(collect_bounded(sum_vectors(parts, ["row"], F.col("vec"), dim + 1), dim + 1, "Gram matrix"),
                   key=lambda r: r["row"])
     g = np.array([r["vec"] for r in rows])
@@ -278,4 +280,4 @@ def similar_patches(patches: DataFrame, pairs: DataFrame, thr: float | None = No
 
     found = _tiles(left, right.select(*left.columns[:3], "b", "vec"), ["scene", "i", "j"], ["a"], ["b"], tile, keep)
     found = found.withColumn("s", F.abs("s"))
-    return found if cap is None else top_k(found, ["scene", "i", "j"], [F.col("s").desc(), F.col("a"), F.col("b")], cap)
+    return found if cap is None else cap_pairs(found, ["scene", "i", "j"], "s", ["a", "b"], cap)

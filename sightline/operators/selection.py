@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.camera import array_dot, let
 from sightline.functions.pose import clip
-from sightline.operators.ordered import pairs_within, row_number, sum_vectors, top_k
+from sightline.operators.ordered import cap_pairs, pairs_within, row_number, sum_vectors, top_k
 from sightline.operators.retrieval import dimension
 from sightline.scale import cut
 
@@ -179,11 +179,6 @@ def weighted_sample(sim: DataFrame, k: int) -> DataFrame:
     return best.select("scene", F.col("i").alias("query"), F.col("j").alias("img_id"))
 
 
-def cap_pairs(candidates: DataFrame, by: list[str], score: str, ids: list[str], cap: int) -> DataFrame:
-    """The ``cap`` best candidate pairs of each group."""
-    return top_k(candidates, by, [F.col(score).desc(), *[F.col(c) for c in ids]], cap)
-
-
 def retrieve(frames: DataFrame, sim: DataFrame, mode: str, k: int) -> DataFrame:
     """Past frames to match each frame with, by strategy name.
 

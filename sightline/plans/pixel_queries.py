@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import camera
-from sightline.operators import cloud, grid, matching, tracks
+from sightline.operators import cloud, grid, matching, ordered, tracks
 from sightline.plans.catalog import query, rnd
 from sightline.plans.standins import CANDIDATES, FLOWS, PIXELS, VIEWS, Tables, r6, sql_rot, sql_trot
 from sightline.scale import cut
@@ -342,5 +342,4 @@ def _(t: Tables) -> DataFrame:
 
 @query("cap_candidate_pairs", f"""WITH {CANDIDATES} SELECT src, tgt, okey, line FROM candidates QUALIFY row_number() OVER (PARTITION BY src, tgt ORDER BY score DESC, okey, line) <= 50""")
 def _(t: Tables) -> DataFrame:
-    from sightline.operators.selection import cap_pairs
-    return cap_pairs(t.candidates(), ["src", "tgt"], "score", ["okey", "line"], 50).select("src", "tgt", "okey", "line")
+    return ordered.cap_pairs(t.candidates(), ["src", "tgt"], "score", ["okey", "line"], 50).select("src", "tgt", "okey", "line")

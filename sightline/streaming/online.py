@@ -17,6 +17,7 @@ from sightline.operators.batch import timing_summary
 from sightline.operators.retrieval import BUILD_ASSIGN, QUERY_ASSIGN, asmk_aggregate, asmk_scores
 from sightline.operators.selection import topsim
 from sightline.operators.tracks import attach_last, cap_tracks, duplicated, remove_tracks, union_tracks
+from sightline.operators.trajectory import nearest_asof
 from sightline.scale import cut
 
 GLOBAL_WARMUP = 8  # frames refined globally at the start of a scene
@@ -125,21 +126,24 @@ def timing_stream(events: DataFrame) -> DataFrame:
     return timing_summary(events)
 
 
-def nearest_pose(frames: DataFrame, poses: DataFrame, max_dt: float, pose_id: str = "pose_no") -> DataFrame:
-    """Frames of a stream with the nearest pose of a static table, strictly closer than ``max_dt``.
+class OnlineAssociation:
+    """New frames with the nearest pose of a static table, strictly closer than ``max_dt``.
 
-    Works without an aggregation over the stream: poses are kept per time bucket as a sorted list, and a
-    frame looks at the lists of its own and the two adjacent buckets. Ties go to the earlier pose.
+    Only poses in the time buckets around a batch enter its association, which is the ordered one of batch
+    jobs, so a crowded bucket is never collected.
     """
-    bucket = lambda c: F.floor(F.col(c) / max_dt).cast("long")
-    cells = poses.groupBy("scene", bucket("ts").alias("_b"), "ts").agg(F.min_by(F.struct("ts", pose_id, "pose"), pose_id).alias("p"))
-    spread = cells.select("scene", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"), "p")
-    lists = spread.groupBy("scene", "_b").agg(F.array_sort(F.collect_list("p")).alias("_near"))
-    got = frames.withColumn("_b", bucket("ts")).join(lists, ["scene", "_b"])
-    cand = F.transform("_near", lambda p: F.struct(F.abs(p["ts"] - F.col("ts")).alias("gap"), p["ts"].alias("pose_ts"),
-                                                   p[pose_id].alias(pose_id), p["pose"].alias("pose")))
-    got = got.withColumn("_m", F.array_min(cand)).where(F.col("_m.gap") < max_dt)
-    return got.select(*frames.columns, "_m.gap", f"_m.{pose_id}", "_m.pose")
+
+    def __init__(self, spark: SparkSession, folder: str, poses: DataFrame, max_dt: float, pose_id: str, schema: str) -> None:
+        self.poses, self.max_dt, self.pose_id = poses, max_dt, pose_id
+        self.matched = BatchTable(spark, f"{folder}/matched", schema)
+
+    def __call__(self, frames: DataFrame, batch: int) -> None:
+        bucket = F.floor(F.col("ts") / self.max_dt)
+        frames = cut(frames)
+        near = frames.select("scene", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b")).distinct()
+        poses = self.poses.withColumn("_b", bucket).join(near, ["scene", "_b"], "left_semi").drop("_b")
+        out = nearest_asof(frames, poses, "ts", ["scene"], self.max_dt, self.pose_id)
+        self.matched.write(out.select([f.name for f in self.matched.schema.fields]), batch)
 
 
 def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True):
