@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import camera
 from sightline.operators import graph, tracks
 from sightline.plans.catalog import query, rnd
-from sightline.plans.standins import CAMERAS, IMAGES, NODES, OBS, POINTS, Tables, r6, sql_mul, sql_rot, sql_trot
+from sightline.plans.standins import CAMERAS, IMAGES, NODES, OBS, POINTS, Tables, r6, sql_mul, sql_quat, sql_rot, sql_trot
 from sightline.scale import cut
 
 STAR = f"""{OBS}, {IMAGES}, {CAMERAS}, {NODES}, w2c AS (
@@ -253,7 +253,15 @@ def _(t: Tables) -> DataFrame:
     return graph.components(tracks.match_graph(o, 28), nodes)
 
 
-@query("max_spanning_tree")
+# Prim's algorithm grows the same tree, as the order of edges is total; its new node hangs from the visited end
+PRIM = f"""WITH RECURSIVE {OBS}, {SHARED}, edges AS MATERIALIZED (SELECT * FROM shared WHERE n_matches >= 3),
+prim AS (SELECT scene, [min(i)] AS nodes, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::BIGINT AS n_matches FROM edges GROUP BY scene
+  UNION ALL SELECT p.scene, list_append(p.nodes, CASE WHEN list_contains(p.nodes, e.i) THEN e.j ELSE e.i END), e.i, e.j, e.n_matches
+  FROM prim p JOIN edges e ON p.scene = e.scene AND list_contains(p.nodes, e.i) <> list_contains(p.nodes, e.j)
+  QUALIFY row_number() OVER (PARTITION BY p.scene ORDER BY e.n_matches DESC, e.i, e.j) = 1)"""
+
+
+@query("max_spanning_tree", f"{PRIM} SELECT scene, i, j, n_matches FROM prim WHERE i IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     return graph.max_spanning_tree(tracks.match_graph(t.obs()))
 
@@ -268,7 +276,14 @@ def _relative(edges: DataFrame) -> DataFrame:
     return both.select("scene", "i", "j", (1 + ((i * 3 + j) % 5 - 2) * F.lit(0.01)).alias("s"), F.array(*r).alias("r"), t.alias("t"))
 
 
-@query("propagate_poses")
+PLACED = f"""{PRIM}, hung AS (SELECT scene, CASE WHEN nodes[len(nodes)] = i THEN j ELSE i END AS a, nodes[len(nodes)] AS b FROM prim WHERE i IS NOT NULL),
+step AS MATERIALIZED (SELECT scene, a, b, 1 + ((a*3 + b) % 5 - 2)*0.01::DOUBLE AS q, {sql_quat('(a % 7)*0.02::DOUBLE', '(b % 5)*0.03::DOUBLE', '0.01::DOUBLE', '1.0::DOUBLE', 'e')},
+  (b - a)*0.1::DOUBLE AS et0, (a % 3)*0.2::DOUBLE AS et1, (b % 4)*0.1::DOUBLE AS et2 FROM hung),
+placed AS (SELECT scene, nodes[1] AS node, 1.0::DOUBLE AS s, {', '.join(f'{float(k % 4 == 0)}::DOUBLE AS p{k}' for k in range(9))}, 0.0::DOUBLE AS pt0, 0.0::DOUBLE AS pt1, 0.0::DOUBLE AS pt2 FROM prim WHERE i IS NULL
+  UNION ALL SELECT p.scene, e.b, p.s*e.q, {sql_mul('p', 'e', 'm')}, {', '.join(f"p.s*{sql_rot('p', ['et0', 'et1', 'et2'], k)} + pt{k}" for k in range(3))} FROM placed p JOIN step e ON p.scene = e.scene AND p.node = e.a)"""
+
+
+@query("propagate_poses", f"{PLACED} SELECT scene, node, {r6('s', 's')}, {', '.join(r6(f'p{k}', f'r{k}') for k in range(9))}, {', '.join(r6(f'pt{k}', f't{k}', 5) for k in range(3))} FROM placed")
 def _(t: Tables) -> DataFrame:
     edges = cut(tracks.match_graph(t.obs()))
     tree = graph.max_spanning_tree(edges)
