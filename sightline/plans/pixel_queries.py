@@ -210,7 +210,12 @@ def _(t: Tables) -> DataFrame:
     return cloud.median_depth(t.pixels()).select("scene", "img_id", rnd("median_depth"))
 
 
-FOCAL = f"""{CAMPTS}, votes AS (SELECT scene, img_id, (px - width/2.0::DOUBLE)*z/nullif(x, 0) AS f FROM cp UNION ALL SELECT scene, img_id, (py - height/2.0::DOUBLE)*z/nullif(y, 0) FROM cp),
+def _vote(n: str, d: str) -> str:
+    """A vote n/d, infinite where only d is zero."""
+    return f"CASE WHEN {d} <> 0 THEN ({n})/{d} WHEN ({n}) > 0 THEN 'inf'::DOUBLE WHEN ({n}) < 0 THEN '-inf'::DOUBLE END"
+
+
+FOCAL = f"""{CAMPTS}, votes AS (SELECT scene, img_id, {_vote('(px - width/2.0::DOUBLE)*z', 'x')} AS f FROM cp UNION ALL SELECT scene, img_id, {_vote('(py - height/2.0::DOUBLE)*z', 'y')} FROM cp),
 f AS (SELECT scene, img_id, quantile_disc(f, 0.5) AS focal FROM votes WHERE f IS NOT NULL GROUP BY ALL)"""
 
 

@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, con, name):
     assert got.equals(want), (got != want).any()
 
 
-@pytest.mark.parametrize("name", ["trajectory_error_unaligned", "focal_from_depth", "running_image_size", "points_within_budget",
+@pytest.mark.parametrize("name", ["focal_from_depth", "running_image_size", "points_within_budget",
                                   "nearest_asof_join", "every_nth_frame", "trajectory_segments", "relative_pose_accuracy"])
 def test_split_form_gives_the_same_result(spark, con, name):
     """The forms for groups too large for one task, forced on every group."""
