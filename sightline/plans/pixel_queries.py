@@ -316,8 +316,8 @@ zoom AS (SELECT src, tgt, px, py, qx, qy, score, coalesce(CASE WHEN xx*yy - xy*y
 
 def _kpts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     f = t.flows()
-    h = t.read("lineitem").agg((F.max(F.floor(F.col("l_partkey") / 24)) + 1).alias("height"))
-    sizes = f.select("src").distinct().crossJoin(h).withColumn("width", F.lit(24))
+    rows = t.read("lineitem").agg(F.max(F.floor(F.col("l_partkey") / 24)) + 1).first()[0]
+    sizes = f.select("src").distinct().select("src", F.lit(24).alias("width"), F.lit(rows).alias("height"))
     return grid.local_maxima(_score_map(t)), f, sizes
 
 
