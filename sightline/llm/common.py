@@ -56,7 +56,7 @@ class Encoder:
     ``memo_bytes``; then everything is forgotten, so memory is bounded. ``check`` compares with the library.
     """
 
-    def __init__(self, path: str, memo_bytes: int = 96 << 20) -> None:
+    def __init__(self, path: str, memo_bytes: int = 160 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
