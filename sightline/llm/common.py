@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,41 +50,81 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Punctuation that may end a word; behind an ASCII letter or digit the pre-tokenizer ends a piece before it.
+_TAIL = b".,!?;:|%#$&*"
+
+
+class _Words(dict):
+    """Raw ids by word, learned when first asked for."""
+
+    def __init__(self, owner: Encoder, old: dict) -> None:
+        self.owner, self.old = owner, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            head = word.rstrip(_TAIL)
+            if len(head) < len(word) and head[-1:].isalnum():
+                ids = self[head] + self[word[len(head):]]
+            else:
+                ids = self.owner.of_word(word.decode())
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of texts by a ``tokenizers`` file whose pre-tokenizer never joins across white space.
+    """Token ids of texts by a ``tokenizers`` file that lower-cases and never joins pieces across white space.
 
-    A text is cut at ASCII white space, each different word is encoded once by the library and remembered up to
-    ``memo_bytes``; then everything is forgotten, so memory is bounded. ``check`` compares with the library.
+    A text is cut at ASCII white space; each different word is encoded once by the library and remembered, words of
+    plain letters by its model alone. Of ``memo_words`` words the younger half at least is kept, so memory is bounded.
+    Texts that may hold special strings, and all texts where a probe shows that the vocabulary doesn't allow this, are
+    encoded whole.
     """
 
-    def __init__(self, path: str, memo_bytes: int = 160 << 20) -> None:
+    def __init__(self, path: str, memo_words: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.memo: dict[bytes, bytes] = {}
-        self.memo_bytes, self.held = memo_bytes, 0
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        import numpy as np
-
-        new = list(words)
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.memo[word] = ids = np.array(e.ids, self.dtype).tobytes()
-            self.held += len(word) + len(ids) + 150
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.generation = memo_words // 2
+        self.letters = self._plain_letters()
+        self.words = _Words(self, {})
+        probe = "Ab cd.\tEF, g9!?\n\ndog's it's|x \u00e9t\u00e9, \u00c9."
+        self.by_word = self._ids(probe) == b"".join(self.words[w] for w in probe.encode().lower().split())
+
+    def _plain_letters(self) -> dict[int, str]:
+        """How the pre-tokenizer spells lower-case Latin letters that the normalizer leaves alone."""
+        normal, pieces, spelt = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, {}
+        for c in [*"abcdefghijklmnopqrstuvwxyz", *map(chr, range(0xDF, 0x100))] if normal and pieces else []:
+            twice = pieces.pre_tokenize_str(c + c)
+            if c.isalpha() and normal.normalize_str(c + c) == c + c and len(twice) == 1:
+                spelt[ord(c)] = twice[0][0][:len(twice[0][0]) // 2]
+        return spelt
+
+    def _ids(self, text: str) -> bytes:
+        return self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype == "<u2" else "I", ids).tobytes()
+
+    def of_word(self, word: str) -> bytes:
+        if len(word) < 100 and self.letters.keys() >= set(map(ord, word)):
+            return self._raw([t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))])
+        return self._ids(word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw little-endian ids of each text; null and empty texts give none."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if self.held > self.memo_bytes:
-            self.memo.clear()
-            self.held = 0
-        memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
-        if new:
-            self._learn(new)
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        out = []
+        for t in texts:
+            low = (t or "").encode().lower()
+            if not self.by_word or any(x in low for x in self.special):
+                out.append(self._ids(t or ""))
+                continue
+            if len(self.words) > self.generation:
+                self.words = _Words(self, dict(self.words))
+            out.append(b"".join(map(self.words.__getitem__, low.split())))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -96,13 +137,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(texts: list, size: int = 1 << 20) -> Iterable[tuple[int, int]]:
-    """Ranges of rows with some ``size`` characters each, at least one row."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t) if t else 0
-        if held >= size:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def batches(texts, size: int = 1 << 20) -> Iterable[tuple[int, int]]:
+    """Ranges of rows of an Arrow string column with some ``size`` bytes each, at least one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
+        yield start, stop
+        start = stop

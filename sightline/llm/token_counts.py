@@ -36,7 +36,7 @@ def _count_short(rows: Iterator, vocabulary: str) -> Iterator:
     width = int(enc.dtype[-1])
     for b in rows:
         texts, counts = b.column(2), []
-        for lo, hi in batches(texts.to_pylist()):
+        for lo, hi in batches(texts):
             counts += [len(raw) // width for raw in enc.encode(texts.slice(lo, hi - lo).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

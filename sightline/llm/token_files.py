@@ -159,7 +159,7 @@ def _write(rows: Iterator, folder: str, vocabulary: str, end_id: int, frame_byte
     out, end = _Writer(store, path, enc.dtype, frame_bytes), np.array([end_id], enc.dtype).tobytes()
     for b in rows:
         ids, texts = b.column(0).to_pylist(), b.column(1)
-        for lo, hi in batches(texts.to_pylist()):
+        for lo, hi in batches(texts):
             for doc_id, raw in zip(ids[lo:hi], enc.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
                 out.add(doc_id, raw + end)
     yield pa.RecordBatch.from_pylist([dict(zip(("part", "path", "n_docs", "n_ids", "n_frames"), (part, path, *out.close()), strict=True))],
