@@ -183,7 +183,8 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 def read_archives(folder: str, manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     splits = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.select("path", "start", F.least(F.col("size"), F.col("start") + split_bytes).alias("end")).repartition("path", "start")
+    total = manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    splits = splits.select("path", "start", F.least(F.col("size"), F.col("start") + split_bytes).alias("end")).repartition(min(int(total), 100_000))
     return splits.mapInArrow(partial(_read, folder=folder), RECORDS)
 
 
