@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import mixing, token_counts, token_files, warc
+from sightline.llm import mixing, rule_ledger, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,33 @@ def _warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_mixed_sources")
 def _mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).per_document()
+
+
+_LEDGER_SQL = r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+    p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+    x AS (SELECT doc_id, i, word, lag(word) OVER o AS before, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS d,
+                 lead(word, 4) OVER o AS e FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    y AS (SELECT doc_id, i, word, before, e IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, b, c, d, e) > 1 AS twice FROM x),
+    z AS (SELECT doc_id, word = before AS echo, max(twice::int) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM y),
+    r AS (SELECT doc_id, sum(covered) AS n_repeat_words, count(*) FILTER (WHERE echo) AS n_echoes FROM z GROUP BY doc_id),
+    m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                 length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                 len(lines)::BIGINT AS n_lines, coalesce(n_echoes, 0)::BIGINT AS n_echoes,
+                 length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::BIGINT AS n_letters, length(regexp_replace(text, '[^\p{Lu}]+', '', 'g'))::BIGINT AS n_capitals
+          FROM w LEFT JOIN r ON w.doc_id IS NOT DISTINCT FROM r.doc_id),
+    f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * n_words)::BIGINT
+                 + 8 * (100 * n_dup_lines > 40 * n_lines)::BIGINT + 16 * (100 * n_echoes > 20 * n_words)::BIGINT
+                 + 32 * (100 * n_capitals > 60 * n_letters)::BIGINT + 64 * (word_chars < 2 * n_words)::BIGINT
+                 + 128 * (word_chars > 15 * n_words)::BIGINT AS failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f"""
+
+
+@query("op2_rule_ledger", _LEDGER_SQL)
+def _rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = rule_ledger.judge(rule_ledger.ledger(table(spark, sf_dir, "documents")))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       rule_ledger.rejected(book["failed"], "base").alias("base_failed"), "kept", "failed")
