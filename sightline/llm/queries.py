@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import mixing, rule_ledger, token_counts, token_files, warc
+from sightline.llm import mixing, rule_ledger, secret_scans, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,11 @@ def _rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rule_ledger.judge(rule_ledger.ledger(table(spark, sf_dir, "documents")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        rule_ledger.rejected(book["failed"], "base").alias("base_failed"), "kept", "failed")
+
+
+@query("op1_secret_scans")
+def _secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scans.find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+                        F.sha2(secret_scans.joined("base"), 256).alias("base_sha256"), secret_scans.joined("found").alias("spans"))
