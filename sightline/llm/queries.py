@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import mixing, quality_classifier, rule_ledger, secret_scans, token_counts, token_files, warc
+from sightline.llm import decontamination, mixing, quality_classifier, rule_ledger, secret_scans, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,29 @@ def _secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def _quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_LEAKS_SQL = r"""
+    WITH t AS (SELECT doc_id, 'd' AS kind, text FROM documents UNION ALL
+               SELECT min(item_id), 'i', any_value(text) FROM benchmark GROUP BY regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')),
+    a AS (SELECT doc_id AS id, kind, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS words FROM t),
+    p AS (SELECT id, kind, len(words) AS n, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos FROM a),
+    l AS (SELECT id, kind, pos, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4,
+                 lead(w, 5) OVER o AS w5, lead(w, 6) OVER o AS w6, lead(w, 7) OVER o AS w7 FROM p WINDOW o AS (PARTITION BY kind, id ORDER BY pos)),
+    s AS (SELECT id, kind, pos, 0 AS mask, [w, w1, w3, w4, w7] AS seed FROM l WHERE w7 IS NOT NULL UNION ALL
+          SELECT id, kind, pos, 1, [w, w2, w3, w5, w6] FROM l WHERE w6 IS NOT NULL UNION ALL
+          SELECT id, kind, pos, 2, [w, w1, w2, w4, w5] FROM l WHERE w5 IS NOT NULL),
+    h AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.pos - i.pos AS shift
+          FROM s d JOIN s i ON d.kind = 'd' AND i.kind = 'i' AND d.mask = i.mask AND d.seed = i.seed),
+    e AS (SELECT h.*, i.n, i.pos, CASE WHEN d.w = i.w THEN 1 ELSE -1 END AS v
+          FROM h JOIN p i ON i.kind = 'i' AND i.id = h.item_id LEFT JOIN p d ON d.kind = 'd' AND d.id = h.doc_id AND d.pos = h.shift + i.pos),
+    c AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos) AS total FROM e),
+    m AS (SELECT *, least(0, coalesce(min(total) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM c),
+    b AS (SELECT doc_id, item_id, shift, n, max(total - low) AS score FROM m GROUP BY ALL)
+    SELECT doc_id, item_id, max(score)::INT AS score FROM b WHERE score >= least(10, ceil(n * 0.7)) GROUP BY ALL"""
+
+
+@query("op4_spaced_seed_leaks", _LEAKS_SQL)
+def _spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score")
