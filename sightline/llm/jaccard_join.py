@@ -6,7 +6,7 @@ Texts with the same words are one node from the start. The rest is exact in two
   share at least ``OVERLAP`` shingles (all that they must share, if that is fewer) among the first quarter plus
   ``OVERLAP`` of each, so only these prefixes are shuffled. A frequent shingle's nodes are spread over salts.
 * First pass: next to each other in order of size, nodes that share a shingle propose each other; a node's best
-  proposal is verified exactly. What links becomes a branch of the tree, so that a group of near copies, however
+  proposal is verified exactly if it rests on enough shingles. What links becomes a branch of the tree, so that a group of near copies, however
   large, is one branch from then on and never yields all its pairs.
 * Second pass: a tree's branch holds the OR of its leaves' bitmaps and the range of their sizes. Branches that share
   enough prefix shingles are traversed together: a pair of branches is dropped where sizes or the largest possible
@@ -118,10 +118,11 @@ def _prefixes(rows: Iterator, size: int, frequent) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
 
 
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
+def _bitmap(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """The bitmap of a set and how many of its tokens share a bit with another."""
     bits = np.zeros(64 * BITMAP_LONGS, np.uint8)
     bits[(tokens >> np.uint64(20)) % np.uint64(64 * BITMAP_LONGS)] = 1
-    return np.packbits(bits).view(np.int64)
+    return np.packbits(bits).view(np.int64), len(tokens) - int(bits.sum())
 
 
 def _leaves(rows: Iterator, size: int) -> Iterator:
@@ -137,8 +138,8 @@ def _leaves(rows: Iterator, size: int) -> Iterator:
             if not len(w) or want not in (None, node := hashing.sequence(w)) or node in seen:
                 continue
             seen.add(node)
-            bits = _bitmap(tokens)
-            out.append((node, len(tokens), len(tokens) - int(np.bitwise_count(bits).sum()), bits, tokens.tobytes()))
+            bits, extra = _bitmap(tokens)
+            out.append((node, len(tokens), extra, bits, tokens.tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -254,7 +255,7 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id of every document."""
         self._nodes()
         shared = self._shared()
-        proposed = shared.where("before IS NOT NULL").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).count()
+        proposed = shared.where("before IS NOT NULL").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).count().where(F.col("count") >= OVERLAP)
         best = cut(proposed.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
         links = cut(self._verified(best, self._leaves(best.select(F.explode(F.array("a", "b")).alias("node")))).select("a", "b"))
         branches = cut(self._branches(links))
