@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import cut, let, pick, text_or_empty, words_column
+from sightline.scale import broadcast_if_small
 
 MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 5, 6), (0, 1, 2, 4, 5))
 MIN_SCORE = 10
@@ -105,7 +106,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     judged = let(word_hashes("text"), lambda h: F.filter(F.transform("lines", lambda x: F.struct(
         x["item"].alias("item"), x["item_id"].alias("item_id"), least(x["words"]).alias("least"), x["shift"].alias("shift"),
         best_stretch(h, x["words"], x["shift"]).alias("b"))), lambda x: x["b"]["score"] >= x["least"]))
-    true = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.explode(judged).alias("x"))
+    # The ids of suspects travel to the texts while they are provably few; then only suspects' texts are shuffled.
+    suspects = rows.join(broadcast_if_small(per_doc.select("of"), 16), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    true = suspects.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.explode(judged).alias("x"))
     best = F.max(F.struct(F.col("x.b.score").alias("score"), (-(F.col("x.shift") + F.col("x.b.lo"))).alias("back"), (F.col("x.b.hi") - F.col("x.b.lo") + 1).alias("n_words")))
     return true.groupBy("doc_id", F.col("x.item").alias("item"), F.col("x.item_id").alias("item_id")).agg(best.alias("m")).select(
         "doc_id", "item_id", "m.score", (-F.col("m.back")).alias("first_word"), "m.n_words")
@@ -113,5 +116,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the documents of ``leaks``; rows that share an id go or stay together."""
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = cut(found.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(broadcast_if_small(gone, 16), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
