@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, jaccard_join, mixing, quality_classifier, rule_ledger, secret_scans, token_counts, token_files, warc
+from sightline.llm import decontamination, jaccard_join, mixing, quality_classifier, rule_ledger, secret_scans, suffix_dedup, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,9 @@ def _spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def _jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
