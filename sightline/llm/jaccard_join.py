@@ -3,11 +3,12 @@
 Texts with the same words are one node from the start. The rest is exact in two passes over what nodes share:
 
 * Shingles have one order for all: those in a bounded list of frequent ones last, all others by hash. Two linked nodes
-  share at least ``OVERLAP`` shingles (all that they must share, if that is fewer) among the first quarter plus
-  ``OVERLAP`` of each, so only these prefixes are shuffled. A frequent shingle's nodes are spread over salts.
-* First pass: next to each other in order of size, nodes that share a shingle propose each other; a node's best
-  proposal is verified exactly if it rests on enough shingles. What links becomes a branch of the tree, so that a group of near copies, however
-  large, is one branch from then on and never yields all its pairs.
+  share at least ``OVERLAP`` shingles (all that they must share, if that is fewer; more, if they are alike in size)
+  among the first quarter plus ``OVERLAP`` of each, so only these prefixes are shuffled. A frequent shingle's nodes are spread over salts.
+* First pass: the nodes of a shingle propose to the node before them in order of size and to a few hubs, the nodes
+  with the least hashes in parts of the group; of a node's proposals the ``PROPOSALS`` that rest on most shingles are verified exactly. What
+  links becomes a branch of the tree, so that a group of near copies, however large, is a branch or few from then on
+  and never yields all its pairs.
 * Second pass: a tree's branch holds the OR of its leaves' bitmaps and the range of their sizes. Branches that share
   enough prefix shingles are traversed together: a pair of branches is dropped where sizes or the largest possible
   overlap rule a link out, the others are opened to pairs of leaves, which are pruned alike by their own bitmaps and
@@ -40,6 +41,9 @@ FREQUENT = 1 << 17
 FREQUENT_LEAST = 64
 SALT_ROWS = 8192
 BITMAP_LONGS = 32
+HUBS = (1, 6, 36)
+PROPOSALS = 3
+ROUNDS = 2
 NODES = "doc_id long, node long, n int, token long, times long"
 
 
@@ -180,15 +184,32 @@ class JaccardJoin:
         self.frequent = self.spark.sparkContext.broadcast((tokens.view(np.uint64)[order], times[order]))
 
     def _shared(self) -> DataFrame:
-        """(token, node, n, before): prefix rows of shingles that several nodes have, with the node before in order of size."""
+        """(token, node, before): prefix rows of shingles that several nodes have, with the node before in order of size."""
         rows = self.docs.select("text").mapInArrow(partial(_prefixes, size=self.size, frequent=self.frequent),
                                                    "token long, salt int, salts int, node long, n int")
-        order = Window.partitionBy("token", "salt").orderBy("n", "node")
-        rows = rows.withColumn("before", F.lag("node").over(order)).withColumn("after", F.lead("node").over(order)).withColumn("before_n", F.lag("n").over(order))
-        rows = rows.where((F.col("before") != F.col("node")) | (F.col("after") != F.col("node")) | (F.col("salts") > 1))
-        fits = (F.col("before") != F.col("node")) & (100 * F.col("before_n") >= self.percent * F.col("n"))
+        group = Window.partitionBy("token", "salt")
+        order = group.orderBy("n", "node")
+        rows = rows.withColumn("before", F.lag("node").over(order)).withColumn("before_n", F.lag("n").over(order))
+        rows = rows.withColumn("several", (F.min("node").over(group) < F.max("node").over(group)) | (F.col("salts") > 1))
+        rows = rows.where(F.col("several") & (F.col("before").isNull() | (F.col("before") != F.col("node"))))
+        fits = 100 * F.col("before_n") >= self.percent * F.col("n")
         return cut(rows.select("token", "node", "n", F.when(fits, F.col("before")).alias("before")))
 
+    def _proposals(self, shared: DataFrame, branches: DataFrame | None, seed: int) -> DataFrame:
+        """Pairs (a, b) of nodes that are likely to link; which ones only decides how much is left to the second pass."""
+        rows = shared if branches is None else shared.join(branches, "node", "left")
+        rows = rows.withColumn("branch", F.col("node") if branches is None else F.coalesce("branch", "node"))
+        met = rows.select(F.col("node").alias("a"), F.col("branch").alias("of_a"), F.col("before").alias("b"), F.col("before").alias("of_b")) if branches is None else None
+        for parts in HUBS:  # one unlucky hub must not fail a whole group, so the larger a group, the more hubs it has
+            parted = rows.select("token", "node", "branch", F.pmod(F.xxhash64(F.lit(seed), F.lit(parts), "branch"), F.lit(parts)).alias("part"))
+            rank = F.xxhash64(F.lit(seed), "node")
+            hubs = parted.groupBy("token", "part").agg(F.min_by("node", rank).alias("b"), F.min_by("branch", rank).alias("of_b"))
+            found = parted.join(hubs, ["token", "part"]).select(F.col("node").alias("a"), F.col("branch").alias("of_a"), "b", "of_b")
+            met = found if met is None else met.unionAll(found)
+        met = met.where("of_a <> of_b").groupBy("of_a", "a", "b").count().where(F.col("count") >= OVERLAP)
+        place = F.row_number().over(Window.partitionBy("of_a").orderBy(F.desc("count"), "a", "b"))
+        return cut(met.withColumn("place", place).where(F.col("place") <= PROPOSALS).select("a", "b"))
+
     def _leaves(self, nodes: DataFrame) -> DataFrame:
         """Bitmaps and shingles of some nodes, taken from their texts."""
         wanted = cut(nodes.distinct().join(self.nodes, "node").select("node", F.col("name").alias("of")))
@@ -208,9 +229,15 @@ class JaccardJoin:
         edges = links.select(F.lit(0).alias("scene"), F.col("a").alias("i"), F.col("b").alias("j"))
         return components(edges).select("node", F.col("component").alias("branch"))
 
-    def _need(self, least_a: Column, least_b: Column) -> Column:
-        """Prefix shingles that a linked pair of at least these sizes shares."""
-        return F.least(F.lit(OVERLAP), F.ceil(F.greatest(least_a, least_b) * self.percent / 100))
+    def _need(self) -> Column:
+        """Prefix shingles that a linked pair of sizes between least and most shares.
+
+        What two sets have in common lies in both prefixes or behind the prefix that ends first.
+        """
+        rest = lambda n: F.col(n) - F.least(F.col(n), F.floor(F.col(n) / 4) + OVERLAP)
+        overlap = F.ceil((F.col("a_least") + F.col("b_least")) * self.percent / (100 + self.percent))
+        few = F.least(F.lit(OVERLAP), F.ceil(F.greatest("a_least", "b_least") * self.percent / 100))
+        return F.greatest(few, overlap - F.greatest(rest("a_most"), rest("b_most")))
 
     def _fit(self, a: str, b: str) -> Column:
         return (100 * F.col(f"{a}_most") >= self.percent * F.col(f"{b}_least")) & (100 * F.col(f"{b}_most") >= self.percent * F.col(f"{a}_least"))
@@ -223,13 +250,13 @@ class JaccardJoin:
 
     def _second_pass(self, shared: DataFrame, branches: DataFrame) -> DataFrame:
         """Links between nodes of different branches."""
-        rows = shared.select("token", "node", "n").join(branches, "node", "left").withColumn("branch", F.coalesce("branch", "node"))
-        rows = cut(rows.groupBy("token", "branch", "node").agg(F.max("n").alias("n")))
+        rows = cut(shared.select("token", "node", "n").join(branches, "node", "left").withColumn("branch", F.coalesce("branch", "node")))
         tree = rows.groupBy("token", "branch").agg(F.min("n").alias("least"), F.max("n").alias("most"))
         side = lambda t, x: t.select("token", *[F.col(c).alias(f"{x}_{c}") for c in t.columns if c != "token"])
         met = side(tree, "a").join(side(tree, "b"), "token").where((F.col("a_branch") < F.col("b_branch")) & self._fit("a", "b"))
-        met = met.groupBy("a_branch", "b_branch").agg(F.count("*").alias("shared"), F.min("a_least").alias("a_least"), F.min("b_least").alias("b_least"))
-        met = cut(met.where(F.col("shared") >= self._need(F.col("a_least"), F.col("b_least"))).select("a_branch", "b_branch"))
+        met = met.groupBy("a_branch", "b_branch").agg(F.count("*").alias("shared"), F.min("a_least").alias("a_least"), F.min("b_least").alias("b_least"),
+                                                      F.max("a_most").alias("a_most"), F.max("b_most").alias("b_most"))
+        met = cut(met.where(F.col("shared") >= self._need()).select("a_branch", "b_branch"))
 
         ends = met.select(F.explode(F.array("a_branch", "b_branch")).alias("branch")).distinct()
         inside = cut(self.nodes.select("node").join(branches, "node", "left").select("node", F.coalesce("branch", "node").alias("branch")).join(ends, "branch", "left_semi"))
@@ -245,8 +272,8 @@ class JaccardJoin:
         mine = rows.select("token", "branch", "node", F.col("n").alias("least"), F.col("n").alias("most"))
         a = side(mine, "a").join(open_pairs, "a_branch")
         pairs = a.join(side(mine, "b"), ["token", "b_branch"]).where(self._fit("a", "b")).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(
-            F.count("*").alias("shared"), F.first("a_least").alias("a_least"), F.first("b_least").alias("b_least"))
-        pairs = pairs.where(F.col("shared") >= self._need(F.col("a_least"), F.col("b_least")))
+            F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("a_least", "b_least", "a_most", "b_most")])
+        pairs = pairs.where(F.col("shared") >= self._need())
         leaf = lambda x: leaves.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("extra").alias(f"{x}_extra"))
         pairs = cut(pairs.join(leaf("a"), "a").join(leaf("b"), "b").where(self._possible()).select("a", "b"))
         return self._verified(pairs, leaves)
@@ -255,10 +282,12 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id of every document."""
         self._nodes()
         shared = self._shared()
-        proposed = shared.where("before IS NOT NULL").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).count().where(F.col("count") >= OVERLAP)
-        best = cut(proposed.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
-        links = cut(self._verified(best, self._leaves(best.select(F.explode(F.array("a", "b")).alias("node")))).select("a", "b"))
-        branches = cut(self._branches(links))
+        links = branches = None
+        for seed in range(ROUNDS):
+            best = self._proposals(shared, branches, seed)
+            found = self._verified(best, self._leaves(best.select(F.explode(F.array("a", "b")).alias("node")))).select("a", "b")
+            links = cut(found if links is None else links.unionAll(found))
+            branches = cut(self._branches(links))
         more = cut(self._second_pass(shared, branches).select("a", "b"))
         final = branches if more.isEmpty() else self._branches(links.unionAll(more))
         named = self.nodes.join(final, "node", "left").select("node", "name", F.coalesce("branch", "node").alias("branch"))
