@@ -13,7 +13,9 @@ drops out:
    in common with another document is done.
 4. ``LENGTH`` bytes: each window of what is left.
 
-Ranks are 64-bit hashes of the strings, equal where the strings are, so no numbering of the whole corpus is needed.
+Ranks are 64-bit hashes of the strings, equal where the strings are, so no numbering of the whole corpus is needed; the
+first ones, which only select, keep as many bits as tell the corpus's anchors apart but for one in some 16,000. Equal
+strings within a batch of texts are settled there, so that no group, however large, comes to one task as it is.
 Equal texts are settled before all that: every copy but that with the smallest id goes whole if it has ``LENGTH`` bytes.
 
 Matches never cross documents; null and empty texts have nothing to remove. A document with a null id is neither
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -80,15 +83,16 @@ def _rows(batch) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in part.columns[:-1]), (np.frombuffer(t.as_buffer(), np.uint8) for t in part.columns[-1]), strict=True)
 
 
-def _base(rows: Iterator) -> Iterator:
-    """(rank, doc_id, fp, q) of all anchors."""
+def _base(rows: Iterator, bits: int) -> Iterator:
+    """(rank, doc_id, fp, q) of all anchors; ranks of so many bits."""
     import pyarrow as pa
 
+    mask = np.uint64((1 << bits) - 1)
     for batch in rows:
         out, held = ([], [], [], []), 0
         for doc_id, fp, raw in _rows(batch):
             packed, ranks = anchors(raw)
-            for c, x in zip(out, (ranks.view(np.int64), np.full(len(ranks), doc_id), np.full(len(ranks), fp), packed), strict=True):
+            for c, x in zip(out, ((ranks & mask).view(np.int64), np.full(len(ranks), doc_id), np.full(len(ranks), fp), packed), strict=True):
                 c.append(x)
             held += len(ranks)
             if held > 200_000:
@@ -106,48 +110,65 @@ def _ends(windows: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(rows: Iterator) -> Iterator:
-    """Runs of the anchors asked for: (doc_id, fp, q, run, left, right).
+def _settle(rank: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks, and which rows are settled: those whose rank a smaller document of the batch has.
 
-    Of equal runs in one batch only that of the smallest document goes on; the others are settled (run is null).
+    A settled row gets a rank of its own, so that it is dealt out like any other and meets none.
     """
+    order = np.lexsort((doc, rank))
+    first = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
+    least = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    settled = np.zeros(len(order), bool)
+    settled[order] = doc[order] > least
+    own = hashing.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+    return np.where(settled, own, rank).view(np.int64), settled
+
+
+def _runs(rows: Iterator) -> Iterator:
+    """Runs of the anchors asked for: (doc_id, fp, q, run, settled, left, right)."""
     import pyarrow as pa
 
-    names = ["doc_id", "fp", "q", "run", "left", "right"]
     for batch in rows:
-        out: list[list[np.ndarray]] = [[] for _ in names]
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
         for doc_id, fp, held, raw in _rows(batch):
             packed = np.array(held, np.int64)
             q, lo, hi = _unpack(packed)
             whole, part = hashing.byte_windows(raw, LENGTH), hashing.byte_windows(raw, MIDDLE)
             run = hashing.mix(hashing.mix(whole[lo] + (packed & 4095).astype(np.uint64)) ^ whole[hi])
             left, right = _ends(part, len(raw), q + BASE - MIDDLE), _ends(part, len(raw), q)
-            for c, x in zip(out, (np.full(len(q), doc_id), np.full(len(q), fp), packed, run.view(np.int64), left.view(np.int64), right.view(np.int64)), strict=True):
+            for c, x in zip(out, (np.full(len(q), doc_id), np.full(len(q), fp), packed, run, left.view(np.int64), right.view(np.int64)), strict=True):
                 c.append(x)
         if out[0]:
             doc, fps, q, run, left, right = map(np.concatenate, out)
-            order = np.lexsort((doc, run))
-            first = np.concatenate([[True], run[order][1:] != run[order][:-1]])
-            least = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-            settled = np.zeros(len(order), bool)
-            settled[order] = doc[order] > least
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(fps), pa.array(q), *(pa.array(x, mask=settled) for x in (run, left, right))], names=names)
+            run, settled = _settle(run, doc, q)
+            left[settled] = right[settled] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, fps, q, run, settled, left, right)],
+                                             names=["doc_id", "fp", "q", "run", "settled", "left", "right"])
 
 
 def _windows(rows: Iterator) -> Iterator:
-    """(rank, doc_id, fp, p) of every window of the runs asked for."""
+    """(rank, doc_id, fp, p, settled) of every window of the runs asked for."""
     import pyarrow as pa
 
+    def made(out: list[list[np.ndarray]]):
+        rank, doc, fps, p = map(np.concatenate, out)
+        rank, settled = _settle(rank, doc, p)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rank, doc, fps, p, settled)], names=["rank", "doc_id", "fp", "p", "settled"])
+
     for batch in rows:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out, held_rows = ([], [], [], []), 0
         for doc_id, fp, held, raw in _rows(batch):
             _, lo, hi = _unpack(np.array(held, np.int64))
-            p = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
-            ranks = hashing.byte_windows(raw, LENGTH)[p]
-            for c, x in zip(out, (ranks.view(np.int64), np.full(len(p), doc_id), np.full(len(p), fp), p), strict=True):
+            sizes = hi - lo + 1
+            p = np.unique(np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))
+            for c, x in zip(out, (hashing.byte_windows(raw, LENGTH)[p], np.full(len(p), doc_id), np.full(len(p), fp), p), strict=True):
                 c.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc_id", "fp", "p"])
+            held_rows += len(p)
+            if held_rows > 2_000_000:
+                yield made(out)
+                out, held_rows = ([], [], [], []), 0
+        if held_rows:
+            yield made(out)
 
 
 def _remove(rows: Iterator) -> Iterator:
@@ -173,8 +194,7 @@ class SuffixDedup:
     """Removal over one table; ``result`` has spans, and digests of what is kept."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        rows = pick(docs, doc_id=doc_id, text=text).withColumn("text", text_or_empty("text"))
-        self.docs = rows.withColumn("fp", F.xxhash64("text"))
+        self.rows = pick(docs, doc_id=doc_id, text=text).withColumn("text", text_or_empty("text"))
 
     def _with_texts(self, lists: DataFrame, *columns: str) -> DataFrame:
         """(doc_id, fp, lists, raw) of the documents in ``lists``; while they are provably few, only their texts move."""
@@ -184,37 +204,44 @@ class SuffixDedup:
         return lists.join(texts, ["doc_id", "fp"]).select("doc_id", "fp", *columns, F.encode("text", "UTF-8").alias("raw"))
 
     def _copies(self) -> None:
-        """Digests of all rows, and for each text that several rows have the smallest id."""
-        self.known = cut(self.docs.select("doc_id", "fp", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
-        self.firsts = self.known.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-        self.copies = cut(self.known.join(self.firsts, "sha").where(f"doc_id > first AND n_bytes >= {LENGTH}").select("doc_id", "fp").distinct())
-        self.repeated = not self.known.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+        """Digests of all rows, and the copies of texts that stand in a smaller document. fp tells rows of one id apart."""
+        known = cut(self.rows.select("doc_id", F.xxhash64("text").alias("fp"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
+        self.repeated = not known.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+        tell = F.xxhash64("text") if self.repeated else F.lit(0).cast("long")
+        self.docs, self.known = self.rows.withColumn("fp", tell), known if self.repeated else known.withColumn("fp", tell)
+        firsts = known.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+        self.copies = cut(self.known.join(firsts, "sha").where(f"doc_id > first AND n_bytes >= {LENGTH}").select("doc_id", "fp").distinct())
+        total = known.agg(F.sum("n_bytes")).first()[0] or 0
+        self.bits = min(64, max(total // 16, 1).bit_length() + 14)
 
     def _alike(self) -> DataFrame:
         """(doc_id, fp, held): anchors whose first bytes also stand at an anchor of another document."""
         gone = broadcast_if_small(self.copies.select(F.col("doc_id").alias("of"), F.col("fp").alias("of_fp")), 24)
         rows = self.docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}").join(
             gone, (F.col("doc_id") == F.col("of")) & (F.col("fp") == F.col("of_fp")), "left_anti")
-        ranked = rows.select("doc_id", "fp", F.encode("text", "UTF-8").alias("raw")).mapInArrow(_base, "rank long, doc_id long, fp long, q long")
+        ranked = rows.select("doc_id", "fp", F.encode("text", "UTF-8").alias("raw")).mapInArrow(partial(_base, bits=self.bits), "rank long, doc_id long, fp long, q long")
         group = Window.partitionBy("rank")
         ranked = ranked.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low < high")
         return cut(ranked.groupBy("doc_id", "fp").agg(F.collect_list("q").alias("held")))
 
+    def _refined(self) -> DataFrame:
+        """Runs with the smallest document that has each; settled ones have a smaller one than their own."""
+        runs = self._with_texts(self._alike(), "held").mapInArrow(_runs, f"{PLACE}, run long, settled boolean, left long, right long")
+        runs = runs.withColumn("first", F.min("doc_id").over(Window.partitionBy("run")))
+        return cut(runs.select("doc_id", "fp", "q", (F.col("settled") | (F.col("first") < F.col("doc_id"))).alias("settled"), "left", "right"))
+
     def _removed(self) -> DataFrame:
         """(doc_id, fp, start, stop): byte ranges to remove, before they are merged."""
-        runs = cut(self._with_texts(self._alike(), "held").mapInArrow(_runs, f"{PLACE}, run long, left long, right long"))
-        least = runs.where("run IS NOT NULL").withColumn("first", F.min("doc_id").over(Window.partitionBy("run")))
-        least = cut(least)
-        settled = runs.where("run IS NULL").select("doc_id", "fp", "q").unionAll(least.where("first < doc_id").select("doc_id", "fp", "q"))
+        runs = self._refined()
         start = F.shiftright("q", 12) - F.shiftright("q", 6).bitwiseAND(F.lit(63))
-        settled = settled.select("doc_id", "fp", start.alias("start"), (start + F.col("q").bitwiseAND(F.lit(63)) + LENGTH).alias("stop"))
+        settled = runs.where("settled").select("doc_id", "fp", start.alias("start"), (start + F.col("q").bitwiseAND(F.lit(63)) + LENGTH).alias("stop"))
 
-        stand = least.where("first = doc_id").select("doc_id", "fp", "q", F.explode(F.array("left", "right")).alias("rank")).where("rank <> 0")
+        stand = runs.where("NOT settled").select("doc_id", "fp", "q", F.explode(F.array("left", "right")).alias("rank")).where("rank <> 0")
         shared = stand.groupBy("rank").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("rank")
         left = cut(stand.join(shared, "rank").groupBy("doc_id", "fp").agg(F.collect_set("q").alias("held")))
-        windows = cut(self._with_texts(left, "held").mapInArrow(_windows, "rank long, doc_id long, fp long, p long"))
-        firsts = windows.groupBy("rank").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("rank", "low")
-        single = windows.join(firsts, "rank").where("low < doc_id").select("doc_id", "fp", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop"))
+        windows = self._with_texts(left, "held").mapInArrow(_windows, "rank long, doc_id long, fp long, p long, settled boolean")
+        windows = windows.withColumn("low", F.min("doc_id").over(Window.partitionBy("rank"))).where("settled OR low < doc_id")
+        single = windows.select("doc_id", "fp", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop"))
         return settled.unionAll(single)
 
     def result(self) -> DataFrame:
