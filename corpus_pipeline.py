@@ -1,22 +1,56 @@
-"""From raw documents to token files in stages, each one operator of ``sightline.llm``."""
+"""From raw documents to token files in stages, each one operator of ``sightline.llm``.
+
+Each stage works on all rows the one before it kept. Documents without an id pass the stages that name documents by id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sightline.llm import decontamination, jaccard_join, mixing, quality_classifier
 from sightline.llm.common import cut
 from sightline.llm.queries import table, vocabulary
 from sightline.llm.token_files import token_files
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled rows of the original table."""
+    net = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, net)
+    return scored.where(F.col("score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near copies."""
+    return jaccard_join.representatives(docs)
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified passage of the benchmark."""
+    return decontamination.clean(docs, decontamination.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a row for each pass over a source that takes words of a document."""
+    out = mixing.mixed_texts(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all that is left; a row per document as the files hold it."""
     return token_files(docs, vocabulary())
 
 
-STAGES = [("token_files", write_tokens)]
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("jaccard_join", one_of_near_copies),
+    ("spaced_seed_leaks", not_in_benchmark),
+    ("mixed_sources", mixed),
+    ("token_files", write_tokens),
+]
 
-#: Token counts of a trained vocabulary can't be had in SQL.
+#: A trained network and a trained vocabulary can't be had in SQL.
 ORACLE_SQL = None
 
 

@@ -301,3 +301,19 @@ class JaccardJoin:
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return JaccardJoin(docs, doc_id, text).classes()
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class, the one whose id names it.
+
+    Rows without id and texts without words stay. Rows that share an id are one document; the first text in order stays.
+    """
+    found = link_classes(docs, doc_id, text)
+    gone = cut(found.where("doc_id IS NOT NULL AND n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(broadcast_if_small(gone, 16), F.col(doc_id) == F.col("_gone"), "left_anti")
+    same = cut(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias("_same")).count().where("count > 1").select("_same"))
+    if same.isEmpty():
+        return kept
+    twice = F.col(doc_id) == F.col("_same")
+    first = kept.join(same, twice, "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).where("_place = 1").drop("_place")
+    return kept.join(same, twice, "left_anti").unionAll(first)

@@ -159,32 +159,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     return net
 
 
-def _score(rows: Iterator, shared, columns: list[str]) -> Iterator:
+def _score(rows: Iterator, shared, at: int, keep: int) -> Iterator:
     import pyarrow as pa
 
     net = shared.value
     for b in rows:
-        texts = b.column(b.num_columns - 1)
-        scores: list[float] = []
+        texts, scores = b.column(at), []
         for lo, hi in batches(texts):
             scores += [float(net.score((t or "").encode())) for t in texts.slice(lo, hi - lo).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*columns, "score"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(scores, pa.float64())], names=[*b.schema.names[:keep], "score"])
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``; an equally named one is replaced."""
-    keep = [c for c in docs.columns if c != "score"]
-    names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("_text"))
-    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, rows.dtypes, strict=False)) + ", score double"
+def score(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) and ``score``; an equally named one is replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    order = keep if text in keep else [*keep, text]
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:len(keep)]) + ", score double"
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size: the weights
-    scored = rows.mapInArrow(partial(_score, shared=shared, columns=names), schema)
-    return scored.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")
+    scored = rows.mapInArrow(partial(_score, shared=shared, at=order.index(text), keep=len(keep)), schema.removeprefix(", "))
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text",
              label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     net = fit(docs, labels, sample, doc_id, text, label)
-    scored = score(pick(docs, doc_id=doc_id, text=text), net).select("doc_id", held_out("doc_id").alias("held_out"), "score")
+    scored = score(pick(docs, doc_id=doc_id, text=text), net, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
