@@ -11,8 +11,9 @@ Texts with the same words are one node from the start. The rest is exact in two
   and never yields all its pairs.
 * Second pass: a tree's branch holds the OR of its leaves' bitmaps and the range of their sizes. Branches that share
   enough prefix shingles are traversed together: a pair of branches is dropped where sizes or the largest possible
-  overlap rule a link out, the others are opened to pairs of leaves, which are pruned alike by their own bitmaps and
-  sizes and verified exactly. Every pair of nodes of different branches that could link is seen.
+  overlap rule a link out, the others are opened to pairs of leaves. The likeliest are verified exactly, and branches
+  that link are one. All other leaf pairs of branches still apart are pruned by their own bitmaps and sizes and
+  verified: between different classes, every pair that could link is seen.
 
 Null and empty texts have no shingles and link with nothing, themselves included. A text of fewer words than a shingle
 is one shingle. Rows with equal ids are texts of their own; rows with null ids take part, but do not name a class; a class of
@@ -43,7 +44,8 @@ SALT_ROWS = 8192
 BITMAP_LONGS = 32
 HUBS = (1, 6, 36)
 PROPOSALS = 3
-ROUNDS = 2
+#: Leaves of a branch that are tried before all others.
+FIRST = 6
 NODES = "doc_id long, node long, n int, token long, times long"
 
 
@@ -195,19 +197,15 @@ class JaccardJoin:
         fits = 100 * F.col("before_n") >= self.percent * F.col("n")
         return cut(rows.select("token", "node", "n", F.when(fits, F.col("before")).alias("before")))
 
-    def _proposals(self, shared: DataFrame, branches: DataFrame | None, seed: int) -> DataFrame:
+    def _proposals(self, shared: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes that are likely to link; which ones only decides how much is left to the second pass."""
-        rows = shared if branches is None else shared.join(branches, "node", "left")
-        rows = rows.withColumn("branch", F.col("node") if branches is None else F.coalesce("branch", "node"))
-        met = rows.select(F.col("node").alias("a"), F.col("branch").alias("of_a"), F.col("before").alias("b"), F.col("before").alias("of_b")) if branches is None else None
+        met = shared.select(F.col("node").alias("a"), F.col("before").alias("b"))
         for parts in HUBS:  # one unlucky hub must not fail a whole group, so the larger a group, the more hubs it has
-            parted = rows.select("token", "node", "branch", F.pmod(F.xxhash64(F.lit(seed), F.lit(parts), "branch"), F.lit(parts)).alias("part"))
-            rank = F.xxhash64(F.lit(seed), "node")
-            hubs = parted.groupBy("token", "part").agg(F.min_by("node", rank).alias("b"), F.min_by("branch", rank).alias("of_b"))
-            found = parted.join(hubs, ["token", "part"]).select(F.col("node").alias("a"), F.col("branch").alias("of_a"), "b", "of_b")
-            met = found if met is None else met.unionAll(found)
-        met = met.where("of_a <> of_b").groupBy("of_a", "a", "b").count().where(F.col("count") >= OVERLAP)
-        place = F.row_number().over(Window.partitionBy("of_a").orderBy(F.desc("count"), "a", "b"))
+            parted = shared.select("token", "node", F.pmod(F.xxhash64(F.lit(parts), "node"), F.lit(parts)).alias("part"))
+            hubs = parted.groupBy("token", "part").agg(F.min_by("node", F.xxhash64("node")).alias("b"))
+            met = met.unionAll(parted.join(hubs, ["token", "part"]).select(F.col("node").alias("a"), "b"))
+        met = met.where("a <> b").groupBy("a", "b").count().where(F.col("count") >= OVERLAP)
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))
         return cut(met.withColumn("place", place).where(F.col("place") <= PROPOSALS).select("a", "b"))
 
     def _leaves(self, nodes: DataFrame) -> DataFrame:
@@ -261,33 +259,44 @@ class JaccardJoin:
         ends = met.select(F.explode(F.array("a_branch", "b_branch")).alias("branch")).distinct()
         inside = cut(self.nodes.select("node").join(branches, "node", "left").select("node", F.coalesce("branch", "node").alias("branch")).join(ends, "branch", "left_semi"))
         leaves = self._leaves(inside.select("node"))
-        marked = leaves.select("node", "n", "extra", "bits").join(inside, "node")
+        marked = cut(leaves.select("node", "n", "extra", "bits").join(inside, "node"))
         tops = marked.groupBy("branch").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("extra").alias("extra"),
                                             F.array(*[F.bit_or(F.get("bits", k)) for k in range(BITMAP_LONGS)]).alias("bits"))
         named = lambda t, x: t.select(*[F.col(c).alias(f"{x}_{c}") for c in t.columns])
         open_pairs = cut(met.join(named(tops, "a"), "a_branch").join(named(tops, "b"), "b_branch").where(self._fit("a", "b") & self._possible())
                          .select("a_branch", "b_branch"))
 
-        # The branches that stay are opened: their leaves meet on the shingles they share.
-        mine = rows.select("token", "branch", "node", F.col("n").alias("least"), F.col("n").alias("most"))
-        a = side(mine, "a").join(open_pairs, "a_branch")
-        pairs = a.join(side(mine, "b"), ["token", "b_branch"]).where(self._fit("a", "b")).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(
-            F.count("*").alias("shared"), *[F.max(c).alias(c) for c in ("a_least", "b_least", "a_most", "b_most")])
-        pairs = pairs.where(F.col("shared") >= self._need())
-        leaf = lambda x: leaves.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("extra").alias(f"{x}_extra"))
-        pairs = cut(pairs.join(leaf("a"), "a").join(leaf("b"), "b").where(self._possible()).select("a", "b"))
-        return self._verified(pairs, leaves)
+        # The branches that stay are opened, the smaller of two first. A few leaves of each are tried before all others: where
+        # one pair links, the branches are one, and no other pair of theirs matters.
+        place = F.row_number().over(Window.partitionBy("branch").orderBy(F.xxhash64("node")))
+        few = marked.select("branch", "node").withColumn("place", place).where(F.col("place") <= FIRST).drop("place")
+        counts = inside.groupBy("branch").agg(F.count("*").alias("leaves"))
+        sized = open_pairs.join(named(counts, "a"), "a_branch").join(named(counts, "b"), "b_branch")
+        swap = F.col("a_leaves") > F.col("b_leaves")
+        sized = cut(sized.select(F.when(swap, F.col("b_branch")).otherwise(F.col("a_branch")).alias("a_branch"),
+                                 F.when(swap, F.col("a_branch")).otherwise(F.col("b_branch")).alias("b_branch")))
+        links = cut(self._verified(self._open(sized, marked.join(few, ["branch", "node"], "left_semi")), leaves).select("a", "b"))
+        joined = links.join(named(inside, "i").select(F.col("i_node").alias("a"), F.col("i_branch").alias("i")), "a").join(
+            named(inside, "j").select(F.col("j_node").alias("b"), F.col("j_branch").alias("j")), "b")
+        now = cut(components(joined.select(F.lit(0).alias("scene"), "i", "j").distinct()).select(F.col("node").alias("branch"), "component"))
+        apart = sized.join(named(now, "a"), "a_branch", "left").join(named(now, "b"), "b_branch", "left").where(
+            F.coalesce("a_component", "a_branch") != F.coalesce("b_component", "b_branch")).select("a_branch", "b_branch")
+        return links.unionAll(self._verified(self._open(apart, marked), leaves).select("a", "b"))
+
+    def _open(self, pairs: DataFrame, leaves: DataFrame) -> DataFrame:
+        """Pairs (a, b) of leaves of pairs of branches that sizes and bitmaps don't rule out."""
+        side = lambda x: leaves.select(*[F.col(c).alias(f"{x}_{n}") for c, n in (
+            ("branch", "branch"), ("node", "node"), ("n", "least"), ("n", "most"), ("extra", "extra"), ("bits", "bits"))])
+        met = pairs.join(side("a"), "a_branch").join(side("b"), "b_branch").where(self._fit("a", "b") & self._possible())
+        return cut(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
         self._nodes()
         shared = self._shared()
-        links = branches = None
-        for seed in range(ROUNDS):
-            best = self._proposals(shared, branches, seed)
-            found = self._verified(best, self._leaves(best.select(F.explode(F.array("a", "b")).alias("node")))).select("a", "b")
-            links = cut(found if links is None else links.unionAll(found))
-            branches = cut(self._branches(links))
+        best = self._proposals(shared)
+        links = cut(self._verified(best, self._leaves(best.select(F.explode(F.array("a", "b")).alias("node")))).select("a", "b"))
+        branches = cut(self._branches(links))
         more = cut(self._second_pass(shared, branches).select("a", "b"))
         final = branches if more.isEmpty() else self._branches(links.unionAll(more))
         named = self.nodes.join(final, "node", "left").select("node", "name", F.coalesce("branch", "node").alias("branch"))
