@@ -113,33 +113,32 @@ def _col(v: int | Column) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def _whole_patches(n: Column, patch: int) -> tuple[Column, Column]:
+    """Size of the centred part of ``n`` pixels that is whole pairs of half patches, and how much is cut on the near side."""
+    middle = F.floor(n / 2)
+    kept = F.floor(middle * 2 / patch) * (patch // 2)
+    return kept * 2, middle - kept
+
+
 def resize_transform(w: Column, h: Column, size: int, patch: int = 16, ar: float | None = None) -> Column:
     """Output size and pixel transform of centre crop to an aspect ratio, resize and patch crop.
 
-    The transform is ``u' = scale·u + dx``, ``v' = scale·v + dy``. Halves round up in the aspect crop
-    and to even in the resize.
+    The transform is ``u' = scale·u + dx``, ``v' = scale·v + dy``. ``ar`` is the ratio of a box's height to its width. The
+    box is the largest centred one: as high as the image if its width then fits; else as wide as the image, turned
+    on its side if that fits. Its size is twice a whole number, halves up; the resized size rounds halves to even.
     """
-    dx = dy = F.lit(0.0)
+    shift_x = shift_y = F.lit(0.0)
     if ar is not None:
-        cx, cy = F.floor(w / 2), F.floor(h / 2)
-
-        def half_up(c: Column) -> Column:
-            return F.floor(c + 0.5)
-
-        halfw = (F.when(h / ar <= w, half_up(cy / ar)).when(w / ar <= h, cx)
-                 .when(w * ar <= h, cx).otherwise(half_up(cy * ar)))
-        halfh = (F.when(h / ar <= w, cy).when(w / ar <= h, half_up(cx / ar))
-                 .when(w * ar <= h, half_up(cx * ar)).otherwise(cy))
-        dx, dy = (halfw - cx).cast("double"), (halfh - cy).cast("double")
-        w, h = 2 * halfw, 2 * halfh
+        mid_x, mid_y = F.floor(w / 2), F.floor(h / 2)
+        by_height, on_side = h / ar <= w, w / ar <= h
+        reach_x = F.when(by_height, F.floor(mid_y / ar + 0.5)).otherwise(mid_x)
+        reach_y = F.when(by_height, mid_y).otherwise(F.floor(F.when(on_side, mid_x / ar).otherwise(mid_x * ar) + 0.5))
+        shift_x, shift_y = (reach_x - mid_x).cast("double"), (reach_y - mid_y).cast("double")
+        w, h = 2 * reach_x, 2 * reach_y
     scale = F.lit(float(size)) / F.greatest(w, h)
-    w2, h2 = F.bround(w * scale, 0), F.bround(h * scale, 0)
-    cx2, cy2 = F.floor(w2 / 2), F.floor(h2 / 2)
-    halfw2 = F.floor(2 * cx2 / patch) * (patch // 2)
-    halfh2 = F.floor(2 * cy2 / patch) * (patch // 2)
-    return F.struct((2 * halfw2).cast("long").alias("width"), (2 * halfh2).cast("long").alias("height"),
-                    scale.alias("scale"), (scale * dx - (cx2 - halfw2)).alias("dx"),
-                    (scale * dy - (cy2 - halfh2)).alias("dy"))
+    (width, cut_x), (height, cut_y) = (_whole_patches(F.bround(n * scale, 0), patch) for n in (w, h))
+    return F.struct(width.cast("long").alias("width"), height.cast("long").alias("height"), scale.alias("scale"),
+                    (scale * shift_x - cut_x).alias("dx"), (scale * shift_y - cut_y).alias("dy"))
 
 
 def quantise_flow(v: Column) -> Column:

@@ -52,6 +52,10 @@ def _ray_angle(views: DataFrame) -> DataFrame:
     return views.select("scene", "img_id", F.cos(F.least(ax, ay)).alias("_cos"), F.greatest("width", "height").alias("_long"))
 
 
+#: Row step of pixel numbers: twice the largest 32-bit coordinate, so that no two pixels of any image share a number.
+ROW = 1 << 32
+
+
 def surface_edges(pixels: DataFrame, views: DataFrame, radius: float = 0.005) -> DataFrame:
     """Neighbouring pixels (5×5 window) whose points are closer than radius·√(z1·z2).
 
@@ -61,9 +65,8 @@ def surface_edges(pixels: DataFrame, views: DataFrame, radius: float = 0.005) ->
     cand = neighbours(defined, HALF_WINDOW, ["depth"]).join(broadcast_if_small(_ray_angle(views)), list(IMG))
     z1, z2 = F.col("depth"), F.col("n_depth")
     near = z1 * z1 + z2 * z2 - 2 * z1 * z2 * F.col("_cos") < radius * radius * z1 * z2
-    wide = 1 << 20  # wider than any image row
-    return cand.where(near).select(F.struct("scene", "img_id").alias("scene"), (F.col("py") * wide + F.col("px")).alias("i"),
-                                   (F.col("ny") * wide + F.col("nx")).alias("j"))
+    return cand.where(near).select(F.struct("scene", "img_id").alias("scene"), (F.col("py") * ROW + F.col("px")).alias("i"),
+                                   (F.col("ny") * ROW + F.col("nx")).alias("j"))
 
 
 def denoise_floating(pixels: DataFrame, views: DataFrame, radius: float = 0.005, min_size: float = 0.01) -> DataFrame:
@@ -76,7 +79,7 @@ def denoise_floating(pixels: DataFrame, views: DataFrame, radius: float = 0.005,
     size = comp.groupBy("scene", "component").agg(F.count("*").alias("_n"))
     big = comp.join(size, ["scene", "component"]).select(
         F.col("scene.scene").alias("scene"), F.col("scene.img_id").alias("img_id"),
-        (F.col("node") % (1 << 20)).alias("px"), F.floor(F.col("node") / (1 << 20)).alias("py"), "_n")
+        (F.col("node") % ROW).alias("px"), F.expr(f"node div {ROW}").alias("py"), "_n")
     need = _ray_angle(views).select("scene", "img_id", (F.floor((min_size * F.col("_long")) ** 2) if isinstance(min_size, float)
                                                        else F.lit(min_size)).alias("_need"))
     out = pixels.join(big, [*IMG, "px", "py"], "left").join(broadcast_if_small(need), list(IMG))

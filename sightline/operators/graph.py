@@ -100,6 +100,8 @@ def max_spanning_tree(edges: DataFrame) -> DataFrame:
              .groupBy("scene", "u", "v").agg(F.max_by(F.struct("i", "j", "n_matches"), order).alias("b"))
              .select("scene", "u", "v", "b.*"))
         e = cut(e)
+    else:
+        raise RuntimeError("the spanning tree did not end")
     if tree is None:
         return edges.select("scene", "i", "j", "n_matches").limit(0)
     return tree.distinct()
@@ -134,6 +136,8 @@ def root_tree(tree: DataFrame, roots: DataFrame) -> DataFrame:
         rank = cut(rank.join(nxt, ["scene", "nu", "nv"], "left").select(
             "scene", "u", "v", F.col("_nu").alias("nu"), F.col("_nv").alias("nv"),
             (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d")))
+    else:
+        raise ValueError("the edges hold a cycle, so they are no tree")
     rev = rank.select("scene", F.col("v").alias("u"), F.col("u").alias("v"), F.col("d").alias("_rd"))
     down = rank.join(rev, ["scene", "u", "v"]).where(F.col("d") > F.col("_rd"))
     return down.select("scene", F.col("v").alias("node"), F.col("u").alias("parent"))

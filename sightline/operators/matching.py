@@ -15,8 +15,6 @@ from sightline.operators.grid import sample_array
 from sightline.operators.ordered import top_k
 from sightline.scale import cut
 
-MAX_ROUNDS = 10_000
-
 
 def best_match(cand: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], values: Sequence[str],
                null_score: float | None = None) -> DataFrame:
@@ -78,7 +76,7 @@ def nms(peaks: DataFrame, k: int, max_points: int | None = None, by: Sequence[st
     todo = cut(base.select(*by, "px", "py", score))
     here, there = [*by, "px", "py"], [*by, "_bx", "_by"]
     kept = []
-    for _ in range(MAX_ROUNDS):
+    while True:  # the strongest peak left is kept in each round, so the rounds end
         keep = cut(todo.join(edges.select(*here).distinct(), here, "left_anti"))
         kept.append(keep)
         as_b = keep.select(*by, F.col("px").alias("_bx"), F.col("py").alias("_by"))

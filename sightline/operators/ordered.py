@@ -70,7 +70,7 @@ def running_sum(b: Blocks, value: Column | str, name: str) -> DataFrame:
               .withColumn("_run_before", F.sum("_run_sum").over(b.across().rowsBetween(Window.unboundedPreceding, -1)))
               .select(*b.keys, "_run_before"))
     return (b.attach(rows.withColumn(name, local), before)
-            .withColumn(name, F.col(name) + F.coalesce("_run_before", F.lit(0))).drop("_run_value", "_run_before", BLOCK))
+            .withColumn(name, F.coalesce(F.col(name) + F.col("_run_before"), name, "_run_before")).drop("_run_value", "_run_before", BLOCK))
 
 
 def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "idx") -> DataFrame:
@@ -120,15 +120,22 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, nam
     return out if name else out.drop("_rank")
 
 
+def best_first(score: str) -> Column:
+    """Key that orders by falling score, with null and NaN after all numbers."""
+    s = F.col(score).cast("double")
+    return F.when(s.isNull() | F.isnan(s), F.lit(float("inf"))).otherwise(-s)
+
+
 def cap_pairs(candidates: DataFrame, by: list[str], score: str, ids: list[str], cap: int) -> DataFrame:
     """The ``cap`` best candidate pairs of each group.
 
     A small cap is taken per task before the shuffle. With a large one that would still bring many rows of a
-    big group together, so the rows are ranked by the ordered operator, which splits big groups.
+    big group together, so the rows are ranked by the ordered operator, which splits big groups. Unknown scores
+    (null, NaN) come last in both forms.
     """
     if cap * pair_partitions(candidates) <= max_group_rows(candidates.sparkSession):
-        return top_k(candidates, by, [F.col(score).desc(), *[F.col(c) for c in ids]], cap)
-    ranked = row_number(candidates.withColumn("_neg", -F.col(score)), by, ["_neg", *ids], "_rn")
+        return top_k(candidates, by, [best_first(score), *[F.col(c) for c in ids]], cap)
+    ranked = row_number(candidates.withColumn("_neg", best_first(score)), by, ["_neg", *ids], "_rn")
     return ranked.where(F.col("_rn") <= cap).drop("_neg", "_rn")
 
 
@@ -156,7 +163,12 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str,
             out = out.alias("l").join(one.alias("r"), keys, "full").select(
                 *[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in by],
                 *[F.col(f"l.{c}") for c in out.columns if c not in by], *[F.col(f"r.{c}") for c in mine])
-    return out
+    if not by:
+        return out
+    # a group of nulls alone has no rank, but it is a group
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"o.{k}")) for k in by]
+    return df.select(*by).distinct().alias("g").join(out.alias("o"), same, "left").select(
+        *[F.col(f"g.{k}") for k in by], *[F.col(f"o.{n}") for n in wanted])
 
 
 def _ranked_quantiles(df: DataFrame, by: list[str], col: str, wanted: Mapping[str, tuple[float, str]]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions.camera import normalise
-from sightline.operators.ordered import cap_pairs, pair_partitions, row_number, salted_join, sum_vectors, top_k
+from sightline.operators.ordered import best_first, cap_pairs, pair_partitions, row_number, salted_join, sum_vectors, top_k
 from sightline.scale import collect_bounded, max_broadcast_bytes
 
 ALPHA = 3.0  # exponent of the match kernel
@@ -35,8 +35,8 @@ def dimension(df: DataFrame, vec: str = "vec") -> int:
 def select_local(desc: DataFrame, nfeat: float, by: Sequence[str] = ("scene", "img_id")) -> DataFrame:
     """The ``nfeat`` descriptors of highest attention per image; −0.25 keeps a quarter of them."""
     if nfeat >= 0:
-        return top_k(desc, by, [F.col("attn").desc(), F.col("feat_id")], int(nfeat))
-    ranked = row_number(desc.withColumn("_neg", -F.col("attn")), by, ["_neg", "feat_id"], "_rn")
+        return top_k(desc, by, [best_first("attn"), F.col("feat_id")], int(nfeat))
+    ranked = row_number(desc.withColumn("_neg", best_first("attn")), by, ["_neg", "feat_id"], "_rn")
     sizes = desc.groupBy(*by).agg(F.floor(F.lit(-float(nfeat)) * F.count("*")).alias("_keep"))
     return ranked.join(sizes, list(by)).where(F.col("_rn") <= F.col("_keep")).drop("_neg", "_rn", "_keep")
 
@@ -100,6 +100,19 @@ def whiten(df: DataFrame, mean: np.ndarray, proj: np.ndarray, vec: str = "vec",
 
 
 # ------------------------------------------------------------------ codebook
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row; of equal values the first columns."""
+    if k == 1:
+        return d.argmin(1)[:, None]
+    if k >= d.shape[1]:
+        return np.tile(np.arange(k), (len(d), 1))
+    pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(d, pick, 1).max(1)
+    for row in np.flatnonzero((d <= last[:, None]).sum(1) > k):  # more equal values than places
+        pick[row] = np.argsort(d[row], kind="stable")[:k]
+    return pick
+
+
 def _nearest(keys: list[str], words: np.ndarray, centres: np.ndarray, k: int) -> Callable:
     k = min(k, len(words))
     half = (centres ** 2).sum(1) / 2
@@ -110,7 +123,7 @@ def _nearest(keys: list[str], words: np.ndarray, centres: np.ndarray, k: int) ->
                 part = pdf.iloc[at:at + TILE]
                 x = np.stack(part["vec"].to_numpy()).astype(float)
                 d = half[None, :] - x @ centres.T  # distance up to a constant per row
-                pick = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(k), (len(d), 1))
+                pick = _least(d, k)
                 rows = np.repeat(np.arange(len(part)), k)
                 out = part[[*keys, "vec"]].iloc[rows].reset_index(drop=True)
                 cols = pick.ravel()

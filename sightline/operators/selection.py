@@ -200,7 +200,12 @@ def retrieve(frames: DataFrame, sim: DataFrame, mode: str, k: int) -> DataFrame:
 
 
 def keyframes(frames: DataFrame, sim: DataFrame, step: int, inner: str, k: int) -> DataFrame:
-    """Three quarters of k from keyframes, the rest from other frames, each by the ``inner`` strategy."""
+    """Three quarters of k from keyframes, the rest from other frames, each by the ``inner`` strategy.
+
+    The inner strategy ``none`` sets no limit, so that all past frames are taken.
+    """
+    if inner == "none":
+        return all_past(frames)
     n = row_number(frames.select("scene", "img_id"), ["scene"], ["img_id"], "_n")
     n = cut(n.withColumn("_key", (F.col("_n") - 1) % step == 0))
     past = sim.join(n.select("scene", F.col("img_id").alias("j"), "_key"), ["scene", "j"])
@@ -208,10 +213,8 @@ def keyframes(frames: DataFrame, sim: DataFrame, step: int, inner: str, k: int)
 
     def side(key: bool, count: int) -> DataFrame:
         part = past.where(F.col("_key") == F.lit(key)).drop("_key")
-        if inner in ("none", "last"):
-            # these ignore similarity: rank the allowed past by time
-            recent = part.withColumn("s", F.col("j").cast("double"))
-            return topsim(recent, count) if inner == "last" else part.select("scene", F.col("i").alias("query"), F.col("j").alias("img_id"))
+        if inner == "last":  # ignores similarity: rank the allowed past by time
+            return topsim(part.withColumn("s", F.col("j").cast("double")), count)
         return retrieve(frames, part, inner, count)
 
     first = cut(side(True, want))

@@ -146,19 +146,19 @@ def redundant_tracks(obs: DataFrame, num_keep: int, bin_size: int = TRACK_BIN, s
     return out
 
 
-def cap_tracks(obs: DataFrame, num_keep: int, bin_size: int = TRACK_BIN, subsample: int | None = None,
-               max_rounds: int = 100) -> DataFrame:
-    """Drop redundant tracks until each scene fits the cap or nothing redundant is left."""
-    for _ in range(max_rounds if subsample else 1):
-        drop = redundant_tracks(obs, num_keep, bin_size, subsample)
-        if subsample:
-            drop = cut(drop)
-            if drop.isEmpty():
-                return obs
-        obs = remove_tracks(obs, drop)
-        if subsample:
-            obs = cut(obs)
-    return obs
+def cap_tracks(obs: DataFrame, num_keep: int, bin_size: int = TRACK_BIN, subsample: int | None = None) -> DataFrame:
+    """Drop redundant tracks until each scene fits the cap or nothing redundant is left.
+
+    With ``subsample`` so many tracks go in a round; every round takes at least one from each scene above the cap that has
+    one to give, so the rounds end.
+    """
+    if not subsample:
+        return remove_tracks(obs, redundant_tracks(obs, num_keep, bin_size))
+    while True:
+        drop = cut(redundant_tracks(obs, num_keep, bin_size, subsample))
+        if drop.isEmpty():
+            return obs
+        obs = cut(remove_tracks(obs, drop))
 
 
 # ------------------------------------------------------------------ inclusion

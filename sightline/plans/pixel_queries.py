@@ -210,6 +210,12 @@ def _(t: Tables) -> DataFrame:
     return cloud.median_depth(t.pixels()).select("scene", "img_id", rnd("median_depth"))
 
 
+@query("median_depth_with_empty_frames", f"WITH {PIXELS} SELECT scene, img_id, {r6('coalesce(median(depth) FILTER (WHERE depth > 0 AND img_id % 2 = 0), 1.0::DOUBLE)', 'median_depth')} FROM pixels GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    some = t.pixels().withColumn("depth", F.when(F.col("img_id") % 2 == 0, F.col("depth")))
+    return cloud.median_depth(some).select("scene", "img_id", rnd("median_depth"))
+
+
 def _vote(n: str, d: str) -> str:
     """A vote n/d, infinite where only d is zero."""
     return f"CASE WHEN {d} <> 0 THEN ({n})/{d} WHEN ({n}) > 0 THEN 'inf'::DOUBLE WHEN ({n}) < 0 THEN '-inf'::DOUBLE END"
@@ -257,9 +263,9 @@ def _(t: Tables) -> DataFrame:
     return t.flows().select("src", "tgt", "px", "py", rnd(camera.gate(F.col("score"), (F.col("px") + 1) / 24, 0.35), "score"))
 
 
-@query("identity_flow", f"""{PV} SELECT img_id AS src, img_id AS tgt, px, py, px + 0.5::DOUBLE AS qx, py + 0.5::DOUBLE AS qy, 255 AS score FROM views, (SELECT unnest(range(24)) AS px), (SELECT unnest(range((SELECT max(height)::BIGINT FROM views))) AS py) WHERE scene = 0 AND py < height""")
+@query("identity_flow", f"""{PV} SELECT img_id AS src, img_id AS tgt, px, py, px + 0.5::DOUBLE AS qx, py + 0.5::DOUBLE AS qy, 255 AS score FROM views, (SELECT unnest(range(24)) AS px), (SELECT unnest(range((SELECT max(height)::BIGINT FROM views))) AS py) WHERE py < height""")
 def _(t: Tables) -> DataFrame:
-    return matching.identity_flow(t.views().where("scene = 0").select("img_id", "width", "height"))
+    return matching.identity_flow(t.views().select("img_id", "width", "height"))
 
 
 @query("match_repeatability", f"WITH {FLOWS} SELECT src, px, py, {r6('sum(score)', 'score')} FROM flows GROUP BY ALL")

@@ -276,20 +276,19 @@ def _(t: Tables) -> DataFrame:
 
 
 def _resize_sql(ar: float | None) -> str:
-    w, h = "(100 + event_id*7 % 1920)", "(100 + event_id*11 % 1080)"
-    first = f"SELECT event_id, {w} AS w, {h} AS h, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy FROM events"
+    """All boxes of the ratio as candidates; the first that fits is taken."""
+    image = "image AS (SELECT event_id, (100 + event_id*7 % 1920)::DOUBLE AS w, (100 + event_id*11 % 1080)::DOUBLE AS h FROM events)"
+    box = "box AS (SELECT event_id, w, h, 0.0::DOUBLE AS sx, 0.0::DOUBLE AS sy FROM image)"
     if ar:
-        cx, cy = "floor(w/2.0::DOUBLE)", "floor(h/2.0::DOUBLE)"
-        a = f"{ar}::DOUBLE"
-        first = f"""SELECT event_id, 2*hw AS w, 2*hh AS h, hw - cx AS dx, hh - cy AS dy FROM (SELECT *,
-          CASE WHEN h/{a} <= w THEN floor({cy}/{a} + 0.5::DOUBLE) WHEN w/{a} <= h THEN {cx} WHEN w*{a} <= h THEN {cx} ELSE floor({cy}*{a} + 0.5::DOUBLE) END AS hw,
-          CASE WHEN h/{a} <= w THEN {cy} WHEN w/{a} <= h THEN floor({cx}/{a} + 0.5::DOUBLE) WHEN w*{a} <= h THEN floor({cx}*{a} + 0.5::DOUBLE) ELSE {cy} END AS hh,
-          {cx} AS cx, {cy} AS cy FROM ({first}))"""
-    return f"""WITH a AS ({first}), b AS (SELECT *, 512.0::DOUBLE/greatest(w, h) AS s FROM a),
-    c AS (SELECT *, floor(round_even(w*s, 0)/2) AS cx2, floor(round_even(h*s, 0)/2) AS cy2 FROM b),
-    d AS (SELECT *, floor(2*cx2/16)*8 AS hw2, floor(2*cy2/16)*8 AS hh2 FROM c)
-    SELECT event_id, CAST(2*hw2 AS BIGINT) AS width, CAST(2*hh2 AS BIGINT) AS height, {r6('s', 'scale')},
-           {r6('s*dx - (cx2 - hw2)', 'dx')}, {r6('s*dy - (cy2 - hh2)', 'dy')} FROM d"""
+        image += f""", candidate AS (
+            SELECT event_id, 1 AS place, w, h, floor(floor(h/2)/{ar}::DOUBLE + 0.5::DOUBLE) AS x, floor(h/2) AS y FROM image WHERE h/{ar}::DOUBLE <= w UNION ALL
+            SELECT event_id, 2, w, h, floor(w/2), floor(floor(w/2)/{ar}::DOUBLE + 0.5::DOUBLE) FROM image WHERE w/{ar}::DOUBLE <= h UNION ALL
+            SELECT event_id, 3, w, h, floor(w/2), floor(floor(w/2)*{ar}::DOUBLE + 0.5::DOUBLE) FROM image)"""
+        box = "box AS (SELECT event_id, 2*x AS w, 2*y AS h, x - floor(w/2) AS sx, y - floor(h/2) AS sy FROM candidate QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY place) = 1)"
+    return f"""WITH {image}, {box}, sized AS (SELECT *, 512::DOUBLE/greatest(w, h) AS scale FROM box),
+    half AS (SELECT *, floor(round_even(w*scale, 0)/2) AS x, floor(round_even(h*scale, 0)/2) AS y FROM sized)
+    SELECT event_id, CAST(16*floor(x/8) AS BIGINT) AS width, CAST(16*floor(y/8) AS BIGINT) AS height, {r6('scale', 'scale')},
+           {r6('scale*sx - (x - 8*floor(x/8))', 'dx')}, {r6('scale*sy - (y - 8*floor(y/8))', 'dy')} FROM half"""
 
 
 def _resize(t: Tables, ar: float | None) -> DataFrame:

@@ -245,6 +245,11 @@ def _(t: Tables) -> DataFrame:
     return selection.retrieve(_frames(t), _sim(t), "keyframe3-topsim", 8)
 
 
+@query("retrieve_keyframes_none", f"WITH {SIM} SELECT scene, i AS query, j AS img_id FROM sim")
+def _(t: Tables) -> DataFrame:
+    return selection.retrieve(_frames(t), _sim(t), "keyframe3-none", 8)
+
+
 PATCH = "patch AS (SELECT label AS scene, vec_id % 4 AS img_id, vec_id AS patch, embedding::DOUBLE[] AS vec FROM embeddings)"
 
 

@@ -140,6 +140,17 @@ def _(t: Tables) -> DataFrame:
     return tracks.cap_tracks(t.obs(), 1500, 64).select("scene", "img_id", "track_id")
 
 
+_DROP = """binned{k} AS (SELECT scene, track_id, count(*) OVER (PARTITION BY scene, img_id, floor(floor(u)/64), floor(floor(v)/64)) AS n FROM {at}),
+score{k} AS (SELECT scene, track_id, min(n) AS score FROM binned{k} GROUP BY ALL),
+over{k} AS (SELECT scene, track_id FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score, track_id) AS rn FROM score{k}) WHERE rn > 1400 AND score > 1),
+left{k} AS (SELECT * FROM {at} ANTI JOIN over{k} USING (scene, track_id))"""
+
+
+@query("cap_tracks_in_rounds", f"WITH {OBS}, {_DROP.format(k=1, at='obs')}, {_DROP.format(k=2, at='left1')} SELECT scene, img_id, track_id FROM left2")
+def _(t: Tables) -> DataFrame:
+    return tracks.cap_tracks(t.obs(), 1400, 64, subsample=1_000_000).select("scene", "img_id", "track_id")
+
+
 INCLUSION = """o AS (SELECT l_returnflag AS scene, l_suppkey % 4 AS img_id, l_orderkey AS track_id, min(l_quantity)*4 AS u,
   min(l_partkey % 100)*2.0::DOUBLE AS v FROM lineitem GROUP BY ALL)"""
 

@@ -15,8 +15,9 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_GROUP_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -84,13 +85,30 @@ def has_large_group(df: DataFrame, by: Sequence[str], limit: int | None = None)
     return not df.groupBy(*by).count().where(F.col("count") > limit).isEmpty()
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int = 512) -> DataFrame:
-    """``df`` with a broadcast hint when a count proves it small, else as it is for a shuffled join.
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 8 for a value of fixed width, else its length, in text form where it is nested."""
+    def of(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.lit(8)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            return 8 * F.greatest(F.size(c), F.lit(0)) + 24
+        return F.coalesce(F.length(F.to_json(F.struct(c.alias("v")))), F.lit(0)) + 24
+    return sum((of(f) for f in df.schema.fields), F.lit(16))
 
-    Meant for dimension tables (cameras, frames), whose size the optimizer often cannot see.
+
+def broadcast_if_small(df: DataFrame, least_row_bytes: int = 24) -> DataFrame:
+    """``df`` with a broadcast hint when its bytes are proven few, else as it is for a shuffled join.
+
+    Meant for dimension tables (cameras, frames), whose size the optimizer often cannot see. At most as many rows are
+    looked at as could fit.
     """
-    limit = max_broadcast_bytes(df.sparkSession) // row_bytes
-    return F.broadcast(df) if df.select(F.lit(1)).limit(limit + 1).count() <= limit else df
+    limit = max_broadcast_bytes(df.sparkSession)
+    rows = limit // least_row_bytes
+    seen = df.select(row_bytes(df).alias("b")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["b"] or 0) <= limit else df
 
 
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:

@@ -136,3 +136,50 @@ def test_cap_pairs_small_and_large_cap(spark, rows, split):
         got = o.cap_pairs(df, ["scene"], "ts", ["id"], cap).toPandas()
         want = pdf.sort_values(["ts", "id"], ascending=[False, True]).groupby("scene").head(cap)
         assert set(got["id"]) == set(want["id"]) and len(got) == len(want)
+
+
+AWKWARD = [("a", 0, 1.0), ("a", 1, None), ("a", 2, float("nan")), ("a", 3, 1.0), ("a", 4, -2.0), ("a", 5, 7.0), ("a", 6, 7.0), ("a", 7, None),
+           ("nulls", 8, None), ("nulls", 9, None), ("one", 10, 3.0), (None, 11, 5.0), (None, 12, None), ("nan", 13, float("nan"))]
+
+
+def both_forms(spark, make):
+    """Rows of an operator in its plain and in its split form."""
+    plain = [tuple(r) for r in make().collect()]
+    spark.conf.set("spark.sightline.maxGroupRows", "1")
+    try:
+        split = [tuple(r) for r in make().collect()]
+    finally:
+        spark.conf.unset("spark.sightline.maxGroupRows")
+    return sorted(map(str, plain)), sorted(map(str, split))
+
+
+@pytest.mark.parametrize("name", ["quantiles", "cap_pairs", "row_number", "running_sum", "carry", "neighbour"])
+def test_forms_agree_on_nulls_nan_and_ties(spark, name):
+    df = spark.createDataFrame(AWKWARD, "scene string, id long, v double")
+    key = F.coalesce("v", F.lit(-1.0))
+    make = {
+        "quantiles": lambda: o.quantiles(df, ["scene"], {"lo": ("v", 0.5, "disc"), "mid": ("v", 0.25, "cont"), "top": ("v", 1.0, "disc")}),
+        "cap_pairs": lambda: o.cap_pairs(df, ["scene"], "v", ["id"], 3),
+        "row_number": lambda: o.row_number(df, ["scene"], ["v", "id"], "n"),
+        "running_sum": lambda: o.running_sum(o.blocks(df, ["scene"], ["id"]), F.when(~F.isnan("v"), F.col("v")), "s"),
+        "carry": lambda: o.carry(o.blocks(df.withColumn("k", key), ["scene"], ["id"]), {"c": F.col("v")}),
+        "neighbour": lambda: o.neighbour(o.blocks(df, ["scene"], ["id"]), {"before": F.col("v")}),
+    }[name]
+    if name == "carry":
+        keep = ["scene", "id", "c"]
+    elif name == "neighbour":
+        keep = ["scene", "id", "before"]
+    elif name == "running_sum":
+        keep = ["scene", "id", "s"]
+    else:
+        keep = ["*"]
+    plain, split = both_forms(spark, lambda: make().select(*keep) if name not in ("quantiles",) else make().select("scene", "lo", "mid", "top"))
+    assert plain == split
+    if name == "quantiles":
+        assert any("nulls" in r for r in split)
+
+
+def test_cap_tracks_goes_on_until_scenes_fit(spark):
+    obs = spark.createDataFrame([("s", 0, t, 1.0, 1.0) for t in range(300)], "scene string, img_id long, track_id long, u double, v double")
+    left = tracks.cap_tracks(obs, 2, 64, subsample=150)
+    assert left.count() == 2

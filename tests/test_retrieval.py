@@ -168,3 +168,10 @@ def test_similar_patches_threshold_and_cap(spark, glob):
     got = {(r["a"], r["b"]) for r in rt.similar_patches(p, pairs, 0.3, tile=3).collect()}
     assert got == {(a, b) for a in range(0, 14, 2) for b in range(1, 14, 2) if abs(s[a, b]) > 0.3}
     assert rt.similar_patches(p, pairs, 0.0, cap=4).count() == 4
+
+
+def test_least_breaks_ties_by_place():
+    from sightline.operators.retrieval import _least
+    d = np.array([[3.0, 1.0, 1.0, 1.0, 0.0], [2.0, 2.0, 2.0, 2.0, 2.0], [5.0, 4.0, 3.0, 2.0, 1.0]])
+    assert [sorted(r) for r in _least(d, 2).tolist()] == [[1, 4], [0, 1], [3, 4]]
+    assert _least(d, 1).ravel().tolist() == [4, 0, 4]
