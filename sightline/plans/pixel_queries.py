@@ -167,9 +167,22 @@ def _(t: Tables) -> DataFrame:
     return cloud.visible_in_others(t.pixels(), t.views()).groupBy("scene", "seen_in").agg(F.count("*").alias("n"))
 
 
-@query("clean_point_cloud")
+# the steps of cleaning in turn, each on the pixels the one before left
+_SURE = "sure AS (SELECT scene, img_id, px, py, CASE WHEN conf >= 4 THEN depth END AS depth, CASE WHEN conf >= 4 THEN conf ELSE 0 END AS conf FROM pixels)"
+_GROUPED = """both_ways AS MATERIALIZED (SELECT scene, img_id, i AS n, j AS o FROM edges UNION ALL SELECT scene, img_id, j, i FROM edges),
+reach AS (SELECT scene, img_id, n, n AS seen FROM both_ways UNION SELECT r.scene, r.img_id, r.n, b.o FROM reach r JOIN both_ways b ON r.scene = b.scene AND r.img_id = b.img_id AND r.seen = b.n),
+size AS (SELECT scene, img_id, n, count(*) AS size FROM reach GROUP BY ALL),
+left_over AS MATERIALIZED (SELECT p.scene, p.img_id, px, py, CASE WHEN coalesce(size, 1) >= 3 THEN depth END AS depth, CASE WHEN coalesce(size, 1) >= 3 THEN conf ELSE 0 END AS conf
+  FROM sure p LEFT JOIN size s ON p.scene = s.scene AND p.img_id = s.img_id AND s.n = py*1000 + px)"""
+_UNEVEN_PV = CARVE[:CARVE.index(", cp AS")]
+CLEAN = (_UNEVEN_PV.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _SURE + EDGES[len(PV):].replace("pixels", "sure") + ", " + _GROUPED
+         + CARVE[CARVE.index(", cp AS"):].replace("pixels", "left_over"))
+
+
+@query("clean_point_cloud", f"""{CLEAN} SELECT p.scene, p.img_id, count(depth) AS defined, count(*) FILTER (WHERE g.px IS NULL AND conf > 0) AS confident
+FROM left_over p LEFT JOIN gone g USING (scene, img_id, px, py) GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    out = cloud.clean(t.pixels(), t.views(), 4.0, 0.045, 3)
+    out = cloud.clean(_uneven(t), t.views(), 4.0, 0.045, 3)
     return out.groupBy("scene", "img_id").agg(F.count("depth").alias("defined"), F.count_if(F.col("conf") > 0).alias("confident"))
 
 
@@ -238,7 +251,15 @@ def _(t: Tables) -> DataFrame:
     return cloud.mono_focal(f.select("scene", "img_id", F.col("focal").alias("fx"), F.col("focal").alias("fy"))).select("scene", "img_id", rnd("fx", "focal"))
 
 
-@query("weiszfeld_focal")
+def _weiszfeld_sql(rounds: int) -> str:
+    steps = [f"""{CAMPTS}, r AS (SELECT scene, img_id, px - width/2.0::DOUBLE AS u, py - height/2.0::DOUBLE AS v, coalesce(x/nullif(z, 0), 0) AS a, coalesce(y/nullif(z, 0), 0) AS b FROM cp)""",
+             "f0 AS (SELECT scene, img_id, sum(a*u + b*v)/nullif(sum(a*a + b*b), 0) AS f FROM r GROUP BY ALL)"]
+    steps += [f"""f{k} AS MATERIALIZED (SELECT scene, img_id, sum(w*(a*u + b*v))/nullif(sum(w*(a*a + b*b)), 0) AS f FROM (SELECT r.*,
+      1/greatest(sqrt((u - f*a)*(u - f*a) + (v - f*b)*(v - f*b)), 1e-8) AS w FROM r JOIN f{k - 1} USING (scene, img_id)) GROUP BY ALL)""" for k in range(1, rounds + 1)]
+    return ", ".join(steps) + f" SELECT scene, img_id, {r6('greatest(f, 0)', 'focal')} FROM f{rounds}"
+
+
+@query("weiszfeld_focal", _weiszfeld_sql(10))
 def _(t: Tables) -> DataFrame:
     v = t.views()
     return cloud.focal(cloud.unproject_pixels(t.pixels(), v, world=False), v, "weiszfeld").select("scene", "img_id", rnd("focal"))
