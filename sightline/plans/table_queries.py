@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators import batch, cloud, initial, refine, tracks
 from sightline.plans.catalog import query, rnd
 from sightline.plans.standins import Tables, r6
+from sightline.plans.track_queries import RES
 from sightline.scale import cut
 from sightline.sources import readers, tables
 
@@ -95,7 +96,19 @@ def _(t: Tables) -> DataFrame:
     return b.select("scene", "i", "j", *[rnd(F.get("vec", F.lit(k * 12)), f"s{k}", 4) for k in range(11)])
 
 
-@query("refinement_loss")
+def _soft(axis: str) -> str:
+    """The robust loss of a clipped residual at exponent 1 and Huber width 0.5."""
+    r = f"least(abs(r{axis}), 100.0::DOUBLE)"
+    return f"(CASE WHEN {r} <= 0.5 THEN {r}*{r} ELSE {r} - 0.25 END)"
+
+
+LIFTED = RES.replace("JOIN points USING (scene, track_id)", "JOIN lifted USING (scene, track_id)").replace(
+    ", cam AS", ", lifted AS (SELECT scene, track_id, x, y, z + 4 AS z FROM points), cam AS")
+
+
+@query("refinement_loss", f"""WITH {LIFTED}, each AS (SELECT scene, valid, CASE WHEN valid THEN ({_soft('x')} + {_soft('y')} + 1e-4::DOUBLE*{_soft('z')})/3 ELSE 0 END AS l,
+sqrt(rx*rx + ry*ry) AS e, row_number() OVER (PARTITION BY scene ORDER BY sqrt(rx*rx + ry*ry)) AS rn, count(*) OVER (PARTITION BY scene) AS n FROM res)
+SELECT scene, {r6('avg(l)', 'loss')}, {r6('avg(e) FILTER (WHERE rn <= n*80//100)', 'score')}, count(*) FILTER (WHERE NOT valid) AS n_invalid FROM each GROUP BY scene""")
 def _(t: Tables) -> DataFrame:
     o, s = _scene(t)
     return refine.scene_loss(o, s, refine.Phase()).select("scene", rnd("loss"), rnd("score"), "n_invalid")
