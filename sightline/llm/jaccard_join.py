@@ -3,8 +3,8 @@
 Texts with the same words are one node from the start. The rest is exact in two passes over what nodes share:
 
 * Shingles have one order for all: those in a bounded list of frequent ones last, all others by hash. Two linked nodes
-  share at least ``OVERLAP`` shingles (all that they must share, if that is fewer; more, if they are alike in size)
-  among the first quarter plus ``OVERLAP`` of each, so only these prefixes are shuffled. A frequent shingle's nodes are spread over salts.
+  share at least ``OVERLAP`` shingles (all that they must share, if that is fewer) among the first quarter plus
+  ``OVERLAP`` of each, so only these prefixes are shuffled; those alike in size share them still earlier. A frequent shingle's nodes are spread over salts.
 * First pass: the nodes of a shingle propose to the node before them in order of size and to a few hubs, the nodes
   with the least hashes in parts of the group; of a node's proposals the ``PROPOSALS`` that rest on most shingles are verified exactly. What
   links becomes a branch of the tree, so that a group of near copies, however large, is a branch or few from then on
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm import hashing
-from sightline.llm.common import batches, cut, pick
+from sightline.llm.common import batches, cut, map_arrow, pick
 from sightline.operators.graph import components
 from sightline.scale import broadcast_if_small
 
@@ -100,11 +100,11 @@ def _describe(rows: Iterator, size: int) -> Iterator:
 
 
 def _prefixes(rows: Iterator, size: int, frequent) -> Iterator:
-    """(token, salt, salts, node, n) of the prefix of every different text."""
+    """(token, salt, salts, node, n, at) of the prefix of every different text; ``at`` is the place in the order."""
     import pyarrow as pa
 
     known, times = frequent.value
-    names = ["token", "salt", "salts", "node", "n"]
+    names = ["token", "salt", "salts", "node", "n", "at"]
     seen: set[int] = set()
     for (), texts in _texts(rows):
         out: list[list[np.ndarray]] = [[] for _ in names]
@@ -118,7 +118,8 @@ def _prefixes(rows: Iterator, size: int, frequent) -> Iterator:
             salts = np.where(hot, 1 + times[at] // SALT_ROWS, 1) if len(known) else np.ones(len(tokens), np.int64)
             first = np.argsort(hot, kind="stable")[:len(tokens) // 4 + OVERLAP]
             k, salts = len(first), salts[first]
-            for c, x in zip(out, (_signed(tokens[first]), (np.int64(node) % salts).astype(np.int32), salts.astype(np.int32), np.full(k, node), np.full(k, len(tokens), np.int32)), strict=True):
+            for c, x in zip(out, (_signed(tokens[first]), (np.int64(node) % salts).astype(np.int32), salts.astype(np.int32), np.full(k, node), np.full(k, len(tokens), np.int32),
+                                np.arange(k, dtype=np.int32)), strict=True):
                 c.append(x)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
@@ -176,7 +177,7 @@ class JaccardJoin:
         self.spark = docs.sparkSession
 
     def _nodes(self) -> None:
-        described = cut(self.docs.mapInArrow(partial(_describe, size=self.size), NODES))
+        described = cut(map_arrow(self.docs, partial(_describe, size=self.size), NODES))
         self.members = described.where("token IS NULL").select("doc_id", "node", "n")
         self.nodes = cut(self.members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("name"), F.max("n").alias("n")))
         hot = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT_LEAST)
@@ -187,15 +188,15 @@ class JaccardJoin:
 
     def _shared(self) -> DataFrame:
         """(token, node, before): prefix rows of shingles that several nodes have, with the node before in order of size."""
-        rows = self.docs.select("text").mapInArrow(partial(_prefixes, size=self.size, frequent=self.frequent),
-                                                   "token long, salt int, salts int, node long, n int")
+        rows = map_arrow(self.docs.select("text"), partial(_prefixes, size=self.size, frequent=self.frequent),
+                                                   "token long, salt int, salts int, node long, n int, at int")
         group = Window.partitionBy("token", "salt")
         order = group.orderBy("n", "node")
         rows = rows.withColumn("before", F.lag("node").over(order)).withColumn("before_n", F.lag("n").over(order))
         rows = rows.withColumn("several", (F.min("node").over(group) < F.max("node").over(group)) | (F.col("salts") > 1))
         rows = rows.where(F.col("several") & (F.col("before").isNull() | (F.col("before") != F.col("node"))))
         fits = 100 * F.col("before_n") >= self.percent * F.col("n")
-        return cut(rows.select("token", "node", "n", F.when(fits, F.col("before")).alias("before")))
+        return cut(rows.select("token", "node", "n", "at", F.when(fits, F.col("before")).alias("before")))
 
     def _proposals(self, shared: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes that are likely to link; which ones only decides how much is left to the second pass."""
@@ -214,13 +215,13 @@ class JaccardJoin:
         named = self.docs.join(broadcast_if_small(wanted.where("of IS NOT NULL"), 32), F.col("doc_id") == F.col("of")).select("node", "text")
         unnamed = self.docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text")
         rows = named if wanted.where("of IS NULL").isEmpty() else named.unionAll(unnamed)
-        return cut(rows.mapInArrow(partial(_leaves, size=self.size), "node long, n int, extra int, bits array<long>, tokens binary"))
+        return cut(map_arrow(rows, partial(_leaves, size=self.size), "node long, n int, extra int, bits array<long>, tokens binary"))
 
     def _verified(self, pairs: DataFrame, leaves: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
         of = lambda c: leaves.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "tokens_a", "tokens_b")
-        return both.mapInArrow(_overlaps, "a long, b long, common long, total long").where(F.col("common") * 100 >= F.col("total") * self.percent)
+        return map_arrow(both, _overlaps, "a long, b long, common long, total long").where(F.col("common") * 100 >= F.col("total") * self.percent)
 
     def _branches(self, links: DataFrame) -> DataFrame:
         """(node, branch) of the nodes that have links."""
@@ -228,14 +229,18 @@ class JaccardJoin:
         return components(edges).select("node", F.col("component").alias("branch"))
 
     def _need(self) -> Column:
-        """Prefix shingles that a linked pair of sizes between least and most shares.
+        """Shingles that a linked pair of at least these sizes shares among those that ``_early`` lets through."""
+        return F.least(F.lit(OVERLAP), F.ceil(F.greatest("a_least", "b_least") * self.percent / 100))
 
-        What two sets have in common lies in both prefixes or behind the prefix that ends first.
+    def _early(self) -> Column:
+        """Whether a shared shingle is so early in both orders that it counts.
+
+        A linked pair shares at least ``overlap`` shingles. The OVERLAP first of those are followed by all others, so they lie
+        among the first n - overlap + OVERLAP of either set.
         """
-        rest = lambda n: F.col(n) - F.least(F.col(n), F.floor(F.col(n) / 4) + OVERLAP)
         overlap = F.ceil((F.col("a_least") + F.col("b_least")) * self.percent / (100 + self.percent))
-        few = F.least(F.lit(OVERLAP), F.ceil(F.greatest("a_least", "b_least") * self.percent / 100))
-        return F.greatest(few, overlap - F.greatest(rest("a_most"), rest("b_most")))
+        early = lambda x: F.col(f"{x}_at") < F.col(f"{x}_most") - overlap + OVERLAP
+        return early("a") & early("b")
 
     def _fit(self, a: str, b: str) -> Column:
         return (100 * F.col(f"{a}_most") >= self.percent * F.col(f"{b}_least")) & (100 * F.col(f"{b}_most") >= self.percent * F.col(f"{a}_least"))
@@ -248,12 +253,11 @@ class JaccardJoin:
 
     def _second_pass(self, shared: DataFrame, branches: DataFrame) -> DataFrame:
         """Links between nodes of different branches."""
-        rows = cut(shared.select("token", "node", "n").join(branches, "node", "left").withColumn("branch", F.coalesce("branch", "node")))
-        tree = rows.groupBy("token", "branch").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        rows = shared.select("token", "node", "n", "at").join(branches, "node", "left").withColumn("branch", F.coalesce("branch", "node"))
+        tree = cut(rows.groupBy("token", "branch").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at")))
         side = lambda t, x: t.select("token", *[F.col(c).alias(f"{x}_{c}") for c in t.columns if c != "token"])
-        met = side(tree, "a").join(side(tree, "b"), "token").where((F.col("a_branch") < F.col("b_branch")) & self._fit("a", "b"))
-        met = met.groupBy("a_branch", "b_branch").agg(F.count("*").alias("shared"), F.min("a_least").alias("a_least"), F.min("b_least").alias("b_least"),
-                                                      F.max("a_most").alias("a_most"), F.max("b_most").alias("b_most"))
+        met = side(tree, "a").join(side(tree, "b"), "token").where((F.col("a_branch") < F.col("b_branch")) & self._fit("a", "b") & self._early())
+        met = met.groupBy("a_branch", "b_branch").agg(F.count("*").alias("shared"), F.min("a_least").alias("a_least"), F.min("b_least").alias("b_least"))
         met = cut(met.where(F.col("shared") >= self._need()).select("a_branch", "b_branch"))
 
         ends = met.select(F.explode(F.array("a_branch", "b_branch")).alias("branch")).distinct()
