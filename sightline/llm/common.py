@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,33 @@ def words_column(text: str | Column) -> Column:
     return F.filter(F.split(text_or_empty(text), SPACE), lambda w: w != "")
 
 
+#: Bytes of an Arrow batch; several batches per task exist at once, in the JVM and in Python, and texts come on top.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+class _Released:
+    """A task body that gives Arrow's unused memory back when it is done; idle workers would keep it."""
+
+    def __init__(self, body: Callable) -> None:
+        self.body = body
+
+    def __call__(self, rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from self.body(rows)
+        pa.default_memory_pool().release_unused()
+
+
+def map_arrow(df: DataFrame, body: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size; lowers the session's limit where it is larger."""
+    spark = df.sparkSession
+    limit = (spark.conf.get(_BATCH, None) or "").removesuffix("b")
+    if not limit.isdigit() or not 0 < int(limit) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(_Released(body), schema)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, although ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batches, pick, text_or_empty
+from sightline.llm.common import batches, map_arrow, pick, text_or_empty
 
 WIDTH = 6
 FILTERS = 40
@@ -177,7 +177,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | N
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:len(keep)]) + ", score double"
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size: the weights
-    scored = rows.mapInArrow(partial(_score, shared=shared, at=order.index(text), keep=len(keep)), schema.removeprefix(", "))
+    scored = map_arrow(rows, partial(_score, shared=shared, at=order.index(text), keep=len(keep)), schema.removeprefix(", "))
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 

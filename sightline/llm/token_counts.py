@@ -20,7 +20,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batches, cut, encoder, pick, text_or_empty
+from sightline.llm.common import batches, cut, encoder, map_arrow, pick, text_or_empty
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -114,12 +114,12 @@ def meet(right: list[dict], left: list[dict], agree: int = AGREE) -> tuple[int |
 
 def _round(texts: DataFrame, vocabulary: str, chunk: int, overlap: int) -> DataFrame:
     """(key, n_tokens) of long texts; n_tokens is null where a cut could not be spliced."""
-    chunks = texts.mapInArrow(partial(_cut_chunks, chunk=chunk, overlap=overlap),
+    chunks = map_arrow(texts, partial(_cut_chunks, chunk=chunk, overlap=overlap),
                               "key string, k long, last boolean, start long, cut long, piece string").repartition("key", "k")
-    encoded = chunks.mapInArrow(partial(_encode_chunks, vocabulary=vocabulary, chunk=chunk, overlap=overlap),
+    encoded = map_arrow(chunks, partial(_encode_chunks, vocabulary=vocabulary, chunk=chunk, overlap=overlap),
                                 f"key string, k long, last boolean, n long, left {EDGE}, right {EDGE}")
     pairs = encoded.select("key", "k", "last", "n", "right", F.lead("left").over(Window.partitionBy("key").orderBy("k")).alias("next_left"))
-    spliced = pairs.mapInArrow(_splice, "key string, k long, stop long, skip long")
+    spliced = map_arrow(pairs, _splice, "key string, k long, stop long, skip long")
     return spliced.groupBy("key").agg(F.when(F.count("stop") == F.count("*"), F.sum("stop") - F.sum("skip")).alias("n_tokens"))
 
 
@@ -142,7 +142,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, chunk: in
     docs = pick(docs, doc_id=doc_id, text=text).select("doc_id", text_or_empty("text").alias("text")).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     long = F.length("text") > chunk
-    short = docs.where(~long).mapInArrow(partial(_count_short, vocabulary=vocabulary), "doc_id long, n_bytes long, n_tokens long")
+    short = map_arrow(docs.where(~long), partial(_count_short, vocabulary=vocabulary), "doc_id long, n_bytes long, n_tokens long")
     keyed = docs.where(long).withColumn("key", F.sha2("text", 256))
     counted = count_long(keyed.select("key", "text").dropDuplicates(["key"]), vocabulary, chunk, overlap)
     spliced = keyed.select("doc_id", "n_bytes", "key").join(counted, "key").select("doc_id", "n_bytes", "n_tokens")

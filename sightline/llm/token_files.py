@@ -29,7 +29,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batches, cut, encoder, fresh_folder, open_store, pick
+from sightline.llm.common import batches, cut, encoder, fresh_folder, map_arrow, open_store, pick
 
 #: Fixed values of the zstandard container formats.
 SKIPPABLE = 0x184D2A50
@@ -189,7 +189,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, doc_id:
     folder = fresh_folder(spark, "tokens")
     ordered = pick(docs, doc_id=doc_id, text=text).repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_last(), "text")
-    return folder, cut(ordered.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, end_id=end_id, frame_bytes=frame_bytes), MANIFEST))
+    return folder, cut(map_arrow(ordered, partial(_write, folder=folder, vocabulary=vocabulary, end_id=end_id, frame_bytes=frame_bytes), MANIFEST))
 
 
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
         files.append((f.path, base))
         base += f.n_ids
     splits = spark.createDataFrame(files, "path string, base long").repartition(max(1, len(files)))
-    return splits.mapInArrow(partial(_read, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(splits, partial(_read, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, **names: str) -> DataFrame:

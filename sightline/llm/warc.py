@@ -26,7 +26,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import cut, fresh_folder, open_store, pick, text_or_empty
+from sightline.llm.common import cut, fresh_folder, map_arrow, open_store, pick, text_or_empty
 
 MIN_BYTES = 100
 SPLIT_BYTES = 16 << 20
@@ -177,7 +177,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pick(pages, page_id=page_id, url=url, html=html).withColumn("html", text_or_empty("html"))
     folder = fresh_folder(pages.sparkSession, "warc")
     records = with_originals(rows, min_bytes).select("page_id", "url", "html", "digest", "refers_to")
-    return folder, cut(records.mapInArrow(partial(_write, folder=folder), "path string, size long"))
+    return folder, cut(map_arrow(records, partial(_write, folder=folder), "path string, size long"))
 
 
 def read_archives(folder: str, manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -185,7 +185,7 @@ def read_archives(folder: str, manifest: DataFrame, split_bytes: int = SPLIT_BYT
     splits = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     total = manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
     splits = splits.select("path", "start", F.least(F.col("size"), F.col("start") + split_bytes).alias("end")).repartition(min(int(total), 100_000))
-    return splits.mapInArrow(partial(_read, folder=folder), RECORDS)
+    return map_arrow(splits, partial(_read, folder=folder), RECORDS)
 
 
 def archive(pages: DataFrame, split_bytes: int = SPLIT_BYTES, **columns: str) -> DataFrame:
