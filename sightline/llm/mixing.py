@@ -131,7 +131,8 @@ def mix_sizes(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     cells = cells.select("rank", "block", "row", low.alias("low"), high.alias("high"), (F.col("block") * block + low - F.col("start")).alias("first"))
 
-    pieces = slots.join(cells, ["rank", "block"]).where("take > low").select(
+    # Slots come from the tiny table of sources, so the planner would take them for tiny and broadcast them.
+    pieces = slots.hint("merge").join(cells, ["rank", "block"]).where("take > low").select(
         "shard", "rank", "j", "row", "first", (F.least("high", "take") - F.col("low")).alias("n_words"))
     return Mix(documents, src, slots, pieces)
 
