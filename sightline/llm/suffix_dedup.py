@@ -40,6 +40,11 @@ from sightline.scale import broadcast_if_small
 LENGTH = 50
 BASE = 20
 MIDDLE = 35
+#: Ranks that many anchors have: at most so many are listed, seen so often in all and in a million anchors of a task.
+#: Whatever the list, the result is the same; it only keeps frequent strings from meeting in one task.
+FREQUENT = 1 << 16
+FREQUENT_LEAST = 2000
+SEEN_LEAST = 32
 #: An anchor in one long: place, windows of its run before it, windows of the run less one.
 PLACE = "doc_id long, fp long, q long"
 
@@ -83,23 +88,54 @@ def _rows(batch) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in part.columns[:-1]), (np.frombuffer(t.as_buffer(), np.uint8) for t in part.columns[-1]), strict=True)
 
 
-def _base(rows: Iterator, bits: int) -> Iterator:
-    """(rank, doc_id, fp, q) of all anchors; ranks of so many bits."""
+def _frequent(rows: Iterator) -> Iterator:
+    """(rank, times) of ranks that a task sees often in some million anchors."""
     import pyarrow as pa
 
-    mask = np.uint64((1 << bits) - 1)
+    counts: dict[int, int] = {}
+    held: list[np.ndarray] = []
+
+    def count() -> None:
+        ranks, times = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        often = times >= SEEN_LEAST
+        for r, k in zip(ranks[often].view(np.int64).tolist(), times[often].tolist(), strict=True):
+            counts[r] = counts.get(r, 0) + k
+        held.clear()
+
+    waiting = 0
+    for batch in rows:
+        for (raw,) in _rows(batch):
+            held.append(anchors(raw)[1])
+            waiting += len(held[-1])
+            if waiting > 1 << 20:
+                count()
+                waiting = 0
+    count()
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["rank", "times"])
+
+
+def _base(rows: Iterator, bits: int, frequent) -> Iterator:
+    """(rank, doc_id, fp, q, sure) of all anchors; ranks of so many bits.
+
+    Anchors of frequent ranks are sure to be kept; each gets a rank of its own, so that they are dealt out evenly.
+    """
+    import pyarrow as pa
+
+    mask, often = np.uint64((1 << bits) - 1), frequent.value
     for batch in rows:
-        out, held = ([], [], [], []), 0
+        out, held = ([], [], [], [], []), 0
         for doc_id, fp, raw in _rows(batch):
             packed, ranks = anchors(raw)
-            for c, x in zip(out, ((ranks & mask).view(np.int64), np.full(len(ranks), doc_id), np.full(len(ranks), fp), packed), strict=True):
+            sure = np.isin(ranks, often)
+            ranks = np.where(sure, hashing.mix(packed.astype(np.uint64) * np.uint64(31) + np.uint64(doc_id & (1 << 63) - 1)), ranks) & mask
+            for c, x in zip(out, (ranks.view(np.int64), np.full(len(ranks), doc_id), np.full(len(ranks), fp), packed, sure), strict=True):
                 c.append(x)
             held += len(ranks)
             if held > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc_id", "fp", "q"])
-                out, held = ([], [], [], []), 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc_id", "fp", "q", "sure"])
+                out, held = ([], [], [], [], []), 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc_id", "fp", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc_id", "fp", "q", "sure"])
 
 
 def _ends(windows: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
@@ -219,9 +255,13 @@ class SuffixDedup:
         gone = broadcast_if_small(self.copies.select(F.col("doc_id").alias("of"), F.col("fp").alias("of_fp")), 24)
         rows = self.docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}").join(
             gone, (F.col("doc_id") == F.col("of")) & (F.col("fp") == F.col("of_fp")), "left_anti")
-        ranked = rows.select("doc_id", "fp", F.encode("text", "UTF-8").alias("raw")).mapInArrow(partial(_base, bits=self.bits), "rank long, doc_id long, fp long, q long")
+        raw = rows.select("doc_id", "fp", F.encode("text", "UTF-8").alias("raw"))
+        seen = raw.select("raw").mapInArrow(_frequent, "rank long, times long").groupBy("rank").agg(F.sum("times").alias("times"))
+        often = np.array([r["rank"] for r in seen.where(F.col("times") >= FREQUENT_LEAST).orderBy(F.desc("times"), "rank").limit(FREQUENT).collect()], np.int64)
+        shared = self.rows.sparkSession.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+        ranked = raw.mapInArrow(partial(_base, bits=self.bits, frequent=shared), "rank long, doc_id long, fp long, q long, sure boolean")
         group = Window.partitionBy("rank")
-        ranked = ranked.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low < high")
+        ranked = ranked.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low < high OR sure")
         return cut(ranked.groupBy("doc_id", "fp").agg(F.collect_list("q").alias("held")))
 
     def _refined(self) -> DataFrame:
