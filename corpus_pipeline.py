@@ -1,6 +1,7 @@
 """From raw documents to token files in stages, each one operator of ``sightline.llm``.
 
-Each stage works on all rows the one before it kept. Documents without an id pass the stages that name documents by id.
+Each stage works on all rows the one before it kept. Rows are judged one by one, under their id and a hash of their
+text: rows that share an id, or have none, stay or go each by its own text.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies."""
-    return jaccard_join.representatives(docs)
+    """One row of each class of near copies, of those with the smallest id."""
+    return jaccard_join.representatives(docs, each_text=True)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified passage of the benchmark."""
-    return decontamination.clean(docs, decontamination.leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Rows without a verified passage of the benchmark."""
+    return decontamination.clean(docs, decontamination.leaks(docs, table(spark, sf_dir, "benchmark"), each_text=True))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sightline.scale import cut, shared_dir
 
-__all__ = ["cut", "fresh_folder", "open_store", "text_or_empty", "pick", "words_column", "Encoder"]
+__all__ = ["cut", "fresh_folder", "open_store", "text_or_empty", "text_hash", "pick", "words_column", "Encoder"]
 
 #: White space of every word pattern of this package: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,6 +40,11 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_hash(text: str | Column) -> Column:
+    """Tells apart texts whose rows have the same id or none."""
+    return F.xxhash64(text_or_empty(text))
+
+
 def words_column(text: str | Column) -> Column:
     """Array of the words of a text, split at SPACE; no empty strings, null gives no words."""
     return F.filter(F.split(text_or_empty(text), SPACE), lambda w: w != "")

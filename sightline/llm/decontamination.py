@@ -8,8 +8,9 @@ leak when its sum reaches ``MIN_SCORE``, or ``MIN_SHARE`` of the item's words wh
 
 Words are runs of anything but space and 0x09 to 0x0D, in lower case. Null texts have no words. Items of
 fewer words than the shortest mask spans are no evidence and never match; of items with the same words the one with the
-smallest id speaks for all (null ids last). Documents with equal ids are verified text by text, rows with null ids
-among them, and repeated rows are reported once. Either table may be empty; the result is then empty.
+smallest id speaks for all (null ids last). Each text is verified by itself, also where rows share an id or have none.
+A null id names no document, so texts without id are reported one by one, under a hash of the text; repeated rows are
+reported once. Either table may be empty; the result is then empty.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import cut, let, pick, text_or_empty, words_column
+from sightline.llm.common import cut, let, pick, text_hash, text_or_empty, words_column
 from sightline.scale import broadcast_if_small
 
 MASKS = ((0, 1, 3, 4, 7), (0, 2, 3, 5, 6), (0, 1, 2, 4, 5))
@@ -87,34 +88,48 @@ def best_stretch(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(flags, start, step)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, score, first_word, n_words: the best verified stretch of each item in each document."""
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+          each_text: bool = False) -> DataFrame:
+    """doc_id, item_id, score, first_word, n_words, text_hash: the best verified stretch of each item in each document.
+
+    ``text_hash`` tells the text that leaks where the id doesn't: in rows without id, and with ``each_text`` in all rows,
+    so that texts that share an id are reported one by one.
+    """
     items = pick(benchmark, item_id=item_id, text=item_text).select("item_id", word_hashes("text").alias("words"))
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"))
     items = cut(items.select("item_id", "words", F.monotonically_increasing_id().alias("item")))
     known = cut(items.select("item", F.explode(seeds(F.col("words"))).alias("s")).select("item", F.col("s.at").alias("item_at"), "s.seed"))
     held = bitmap(known)
 
-    rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", "text")
+    rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", text_hash("text").alias("text_hash"), "text")
     found = let(word_hashes("text"), lambda h: seeds(h, lambda s: in_bitmap(held, s)))
-    hits = rows.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.at", "s.seed").join(known, "seed")
-    lines = hits.groupBy("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).count().select("doc_id", "item", "shift")
+    hits = rows.select("doc_id", "text_hash", F.explode(found).alias("s")).select("doc_id", "text_hash", "s.at", "s.seed").join(known, "seed")
+    lines = hits.groupBy("doc_id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift")).count().select("doc_id", "text_hash", "item", "shift")
     lines = lines.join(items.select("item", "item_id", "words"), "item")
-    per_doc = cut(lines.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item", "item_id", "words", "shift")).alias("lines")))
+    per_doc = cut(lines.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).agg(F.collect_list(F.struct("item", "item_id", "words", "shift")).alias("lines")))
 
     least = lambda w: F.least(F.lit(MIN_SCORE), F.ceil(F.size(w) * MIN_SHARE).cast("int"))
     judged = let(word_hashes("text"), lambda h: F.filter(F.transform("lines", lambda x: F.struct(
         x["item"].alias("item"), x["item_id"].alias("item_id"), least(x["words"]).alias("least"), x["shift"].alias("shift"),
         best_stretch(h, x["words"], x["shift"]).alias("b"))), lambda x: x["b"]["score"] >= x["least"]))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))
     # The ids of suspects travel to the texts while they are provably few; then only suspects' texts are shuffled.
-    suspects = rows.join(broadcast_if_small(per_doc.select("of"), 16), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    true = suspects.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.explode(judged).alias("x"))
+    suspects = rows.join(broadcast_if_small(per_doc.select("of", "of_hash")), same, "left_semi")
+    named = F.col("text_hash") if each_text else F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    true = suspects.join(per_doc, same).select("doc_id", named.alias("text_hash"), F.explode(judged).alias("x"))
     best = F.max(F.struct(F.col("x.b.score").alias("score"), (-(F.col("x.shift") + F.col("x.b.lo"))).alias("back"), (F.col("x.b.hi") - F.col("x.b.lo") + 1).alias("n_words")))
-    return true.groupBy("doc_id", F.col("x.item").alias("item"), F.col("x.item_id").alias("item_id")).agg(best.alias("m")).select(
-        "doc_id", "item_id", "m.score", (-F.col("m.back")).alias("first_word"), "m.n_words")
+    return true.groupBy("doc_id", "text_hash", F.col("x.item").alias("item"), F.col("x.item_id").alias("item_id")).agg(best.alias("m")).select(
+        "doc_id", "item_id", "m.score", (-F.col("m.back")).alias("first_word"), "m.n_words", "text_hash")
+
 
+def clean(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without what ``leaks`` found.
 
-def clean(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents of ``leaks``; rows that share an id go or stay together."""
-    gone = cut(found.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone, 16), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    A leak with a ``text_hash`` removes the rows of that id, null ids included, that hold that very text; one without
+    removes all rows of its id.
+    """
+    gone = cut(found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct())
+    texts = broadcast_if_small(gone.where("_gone_hash IS NOT NULL"))
+    kept = docs.join(texts, F.col(doc_id).eqNullSafe(F.col("_gone")) & (text_hash(text) == F.col("_gone_hash")), "left_anti")
+    ids = gone.where("_gone_hash IS NULL").select("_gone")
+    return kept if ids.isEmpty() else kept.join(broadcast_if_small(ids, 16), F.col(doc_id) == F.col("_gone"), "left_anti")

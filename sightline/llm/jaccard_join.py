@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm import hashing
-from sightline.llm.common import batches, cut, map_arrow, pick
+from sightline.llm.common import batches, cut, map_arrow, pick, text_hash
 from sightline.operators.graph import components
 from sightline.scale import broadcast_if_small
 
@@ -46,7 +46,7 @@ HUBS = (1, 6, 36)
 PROPOSALS = 3
 #: Leaves of a branch that are tried before all others.
 FIRST = 6
-NODES = "doc_id long, node long, n int, token long, times long"
+NODES = "doc_id long, text_hash long, node long, n int, token long, times long"
 
 
 def _texts(rows: Iterator) -> Iterator[tuple[list, list]]:
@@ -77,7 +77,7 @@ def _describe(rows: Iterator, size: int) -> Iterator:
             counts[t] = counts.get(t, 0) + k
         held.clear()
 
-    for (ids,), texts in _texts(rows):
+    for (ids, hashes), texts in _texts(rows):
         nodes, sizes = [], []
         for text in texts:
             w, tokens = hashing.shingles(text, size)
@@ -91,12 +91,13 @@ def _describe(rows: Iterator, size: int) -> Iterator:
                     count()
                     waiting = 0
         n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
-                                          pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "node", "n", "token", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
+                                          pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "text_hash", "node", "n", "token", "times"])
     count()
     n = len(counts)
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(list(counts), pa.int64()),
-                                      pa.array(list(counts.values()), pa.int64())], names=["doc_id", "node", "n", "token", "times"])
+    none = pa.nulls(n, pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(n, pa.int32()), pa.array(list(counts), pa.int64()),
+                                      pa.array(list(counts.values()), pa.int64())], names=["doc_id", "text_hash", "node", "n", "token", "times"])
 
 
 def _prefixes(rows: Iterator, size: int, frequent) -> Iterator:
@@ -177,8 +178,9 @@ class JaccardJoin:
         self.spark = docs.sparkSession
 
     def _nodes(self) -> None:
-        described = cut(map_arrow(self.docs, partial(_describe, size=self.size), NODES))
-        self.members = described.where("token IS NULL").select("doc_id", "node", "n")
+        hashed = self.docs.select("doc_id", text_hash("text").alias("text_hash"), "text")
+        described = cut(map_arrow(hashed, partial(_describe, size=self.size), NODES))
+        self.members = described.where("token IS NULL").select("doc_id", "text_hash", "node", "n")
         self.nodes = cut(self.members.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("name"), F.max("n").alias("n")))
         hot = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT_LEAST)
         rows = hot.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
@@ -294,33 +296,38 @@ class JaccardJoin:
         met = pairs.join(side("a"), "a_branch").join(side("b"), "b_branch").where(self._fit("a", "b") & self._possible())
         return cut(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
-    def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every document."""
+    def _classed(self) -> DataFrame:
+        """(doc_id, text_hash, node, n, branch, component_id) of every document; ``final`` has the nodes that link."""
         self._nodes()
         shared = self._shared()
         best = self._proposals(shared)
         links = cut(self._verified(best, self._leaves(best.select(F.explode(F.array("a", "b")).alias("node")))).select("a", "b"))
         branches = cut(self._branches(links))
         more = cut(self._second_pass(shared, branches).select("a", "b"))
-        final = branches if more.isEmpty() else self._branches(links.unionAll(more))
-        named = self.nodes.join(final, "node", "left").select("node", "name", F.coalesce("branch", "node").alias("branch"))
+        self.final = branches if more.isEmpty() else self._branches(links.unionAll(more))
+        named = self.nodes.join(self.final, "node", "left").select("node", "name", F.coalesce("branch", "node").alias("branch"))
         names = named.groupBy("branch").agg(F.min("name").alias("component_id"))
-        of_node = named.join(names, "branch").select("node", "component_id")
-        known = self.members.join(of_node, "node", "left")
-        return known.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        return self.members.join(named.join(names, "branch").select("node", "branch", "component_id"), "node", "left")
 
+    def classes(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every document."""
+        return self._classed().select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+                                      F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return JaccardJoin(docs, doc_id, text).classes()
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", each_text: bool = False) -> DataFrame:
     """One document of each class, the one whose id names it.
 
     Rows without id and texts without words stay. Rows that share an id are one document; the first text in order stays.
+    With ``each_text`` rows are documents of their own, named by id and text, also where they share an id or have none: one
+    row of each class stays, of those with the smallest id, and different texts of an id stay unless they are near copies.
     """
+    if each_text:
+        return _one_row_of_each_class(docs, doc_id, text)
     found = link_classes(docs, doc_id, text)
     gone = cut(found.where("doc_id IS NOT NULL AND n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     kept = docs.join(broadcast_if_small(gone, 16), F.col(doc_id) == F.col("_gone"), "left_anti")
@@ -330,3 +337,21 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     twice = F.col(doc_id) == F.col("_same")
     first = kept.join(same, twice, "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).where("_place = 1").drop("_place")
     return kept.join(same, twice, "left_anti").unionAll(first)
+
+
+def _one_row_of_each_class(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    known = JaccardJoin(docs, doc_id, text)._classed().where("node IS NOT NULL")
+    known = cut(known.groupBy("branch", "doc_id", "text_hash").agg(F.count("*").alias("times")))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = known.groupBy("branch").agg(F.min(name).alias("first"))
+    of = known.join(first, "branch").select("doc_id", F.col("text_hash").alias("_hash"), "times", (name == F.col("first")).alias("stays"))
+    of = cut(of.where("NOT stays OR times > 1").withColumnRenamed("doc_id", "_of"))
+    same = F.col(doc_id).eqNullSafe(F.col("_of")) & (text_hash(text) == F.col("_hash"))
+    kept = docs.join(broadcast_if_small(of.where("NOT stays").select("_of", "_hash")), same, "left_anti")
+    twice = of.where("stays").select("_of", "_hash")
+    if twice.isEmpty():
+        return kept
+    twice = broadcast_if_small(twice)
+    place = F.row_number().over(Window.partitionBy(doc_id, "_text_hash").orderBy(F.xxhash64(*docs.columns)))
+    one = kept.join(twice, same, "left_semi").withColumn("_text_hash", text_hash(text)).withColumn("_place", place).where("_place = 1")
+    return kept.join(twice, same, "left_anti").unionAll(one.select(*docs.columns))

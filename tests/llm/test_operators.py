@@ -187,6 +187,17 @@ def test_leaks_survive_substitutions(spark, none):
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(rows(spark, texts), items.where("false")).count() == 0
 
 
+def test_clean_takes_only_the_row_that_leaks(spark):
+    passage = " ".join(f"b{i}" for i in range(40))
+    texts = [(None, passage), (None, "clean " + prose(60)), (None, None), (None, prose(9) + " " + passage), (1, passage), (1, "same id " + prose(60)), (2, prose(60))]
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    found = decontamination.leaks(rows(spark, texts), items)
+    assert bag(found, "doc_id", "item_id") == Counter({(None, 7): 2, (1, 7): 1})
+    assert bag(decontamination.clean(rows(spark, texts), found), "doc_id", "text") == Counter([texts[1], texts[2], texts[6]])
+    each = decontamination.leaks(rows(spark, texts), items, each_text=True)
+    assert bag(decontamination.clean(rows(spark, texts), each), "doc_id", "text") == Counter([texts[1], texts[2], texts[5], texts[6]])
+
+
 # 5 repeated strings ---------------------------------------------------------------------------------------------------
 
 def removal(texts, length=50):
@@ -337,6 +348,15 @@ def test_one_of_each_class_stays(docs):
     assert kept[1] == 1 and not {2, 3, 8, 17, 18} & set(kept) and kept[12] == 1 and kept[None] == 2 and {4, 5, 6, 7, 9} <= set(kept)
 
 
+def test_rows_that_share_an_id_stay_by_their_own_text(spark, docs):
+    texts = [(None, BASE), (1, BASE), (1, BASE), (1, NEAR), (1, "apart " + prose(40)), (2, BASE), (None, "alone " + prose(40)), (3, None), (3, None), (None, "")]
+    near = prose(80)
+    texts += [(None, near), (None, near), (4, "token " + prose(40))]
+    kept = bag(jaccard_join.representatives(rows(spark, texts), each_text=True), "doc_id", "text")
+    base = [k for k in kept if k in {(1, BASE), (1, NEAR)}]
+    assert len(base) == 1 and kept == Counter([*base, texts[4], texts[6], *texts[7:10], texts[10], texts[12]])
+
+
 # 9 classifier ---------------------------------------------------------------------------------------------------------
 
 def test_classifier_learns_and_holds_out(spark, docs, none):
