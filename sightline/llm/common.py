@@ -87,7 +87,11 @@ _TAIL = b".,!?;:|%#$&*"
 
 
 class _Words(dict):
-    """Raw ids by word, learned when first asked for."""
+    """Raw ids by word, learned when first asked for. Only words of ASCII alone are lower-cased here.
+
+    The library composes marks with their letters before it lower-cases, and some letters (J with caron) are composed in
+    lower case only; so all other words reach it as they stand.
+    """
 
     def __init__(self, owner: Encoder, old: dict) -> None:
         self.owner, self.old = owner, old
@@ -97,6 +101,8 @@ class _Words(dict):
             head = word.rstrip(_TAIL)
             if len(head) < len(word) and head[-1:].isalnum():
                 ids = self[head] + self[word[len(head):]]
+            elif word.isascii() and (low := word.lower()) != word:
+                ids = self[low]
             else:
                 ids = self.owner.of_word(word.decode())
         self[word] = ids
@@ -122,8 +128,8 @@ class Encoder:
         self.generation = memo_words // 2
         self.letters = self._plain_letters()
         self.words = _Words(self, {})
-        probe = "Ab cd.\tEF, g9!?\n\ndog's it's|x \u00e9t\u00e9, \u00c9."
-        self.by_word = self._ids(probe) == b"".join(self.words[w] for w in probe.encode().lower().split())
+        probe = "Ab cd.\tEF, g9!?\n\ndog's it's|x \u00e9t\u00e9, \u00c9. J\u030ca H\u0331a T\u0308a W\u030aa Y\u030aa j\u030cA"
+        self.by_word = self._ids(probe) == b"".join(self.words[w] for w in probe.encode().split())
 
     def _plain_letters(self) -> dict[int, str]:
         """How the pre-tokenizer spells lower-case Latin letters that the normalizer leaves alone."""
@@ -149,13 +155,14 @@ class Encoder:
         """Raw little-endian ids of each text; null and empty texts give none."""
         out = []
         for t in texts:
-            low = (t or "").encode().lower()
+            raw = (t or "").encode()
+            low = raw.lower()
             if not self.by_word or any(x in low for x in self.special):
                 out.append(self._ids(t or ""))
                 continue
             if len(self.words) > self.generation:
                 self.words = _Words(self, dict(self.words))
-            out.append(b"".join(map(self.words.__getitem__, low.split())))
+            out.append(b"".join(map(self.words.__getitem__, raw.split())))
         return out
 
 

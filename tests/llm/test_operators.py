@@ -155,6 +155,15 @@ def test_memo_is_bounded_and_exact():
     assert len(e.encode([prose(50)])) == 1 and len(e.words.old) < 20_000
 
 
+def test_memo_leaves_marks_on_capitals_to_the_library():
+    library, e = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    texts = [f"{a}{c}{m}{b}" for c, m in zip("JHTWYEjhtwy", "\u030c\u0331\u0308\u030a\u030a\u0301\u030c\u0331\u0308\u030a\u030a", strict=True)
+             for a in ("", "x ", "X") for b in ("", "a", "A.", " B")]
+    texts += [" ".join(texts), "\u0130stanbul \u212a \u1e9e \u03a3\u03a3 \u0301x", "Word WORD word Word. WORD!"]
+    assert e.by_word
+    assert [np.frombuffer(r, e.dtype).tolist() for r in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_round_trip(spark, docs, none):
     folder, manifest = token_files.write_token_files(docs, VOCABULARY, frame_bytes=4096)
     order = sorted(encoded(), key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None, x[1] or ""))
