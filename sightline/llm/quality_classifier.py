@@ -6,12 +6,16 @@ mean of the chunks' features gives one probability. The first layer is a table o
 gathers and sums per byte, and memory is bounded by the slice of text at hand, not by the text.
 
 The network is trained on the driver on a bounded sample: up to ``SAMPLE`` rows of each label, those with the least
-hashes, of texts of up to ``TRAIN_BYTES`` bytes; rows whose crc32 of the document id modulo 4 is 2 are held out and never
-seen. The sample is balanced, so the log odds of the labels among all rows that may be learned from are put back.
+hashes among all that have a document, whatever its length. A text of more than ``TRAIN_BYTES`` bytes is learned from
+``PIECES`` pieces that together have as many bytes, one from each equal part of the text at a place chosen by hash; each
+piece is pooled by itself, and the mean is taken over the chunks of all. Rows whose crc32 of the document id modulo 4 is
+2 are held out and never seen. The sample is balanced, so the log odds of the labels among all rows that may be learned
+from are put back.
 
 Null texts count as empty; these and other texts get a score from their padding alone. Ids play no part in a score, so
-null ids, ties and repeated rows are scored row by row. Without labelled rows of both kinds, scores are the share of
-label 1, or 1 without any. An empty table gives an empty result.
+null ids, ties and repeated rows are scored row by row. Without labels of both kinds, or where no labelled row has a
+document, scores are the share of label 1, or 1 without any; where only the rows of one kind have documents, ``fit``
+raises. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import batches, map_arrow, pick, text_or_empty
+from sightline.llm.common import batches, cut, map_arrow, pick, text_hash, text_or_empty
 
 WIDTH = 6
 FILTERS = 40
@@ -31,6 +35,7 @@ HIDDEN = 12
 SEGMENT = 256
 SAMPLE = 1200
 TRAIN_BYTES = 32_768
+PIECES = 16
 EPOCHS = 10
 THRESHOLD = 0.7
 SLICE = 1 << 17
@@ -85,9 +90,9 @@ class Network:
             return self.fixed
         return 1 / (1 + np.exp(-np.clip(self.logit(text) + self.odds, -30, 30)))
 
-    def gradients(self, text: bytes, label: int, g: dict[str, np.ndarray]) -> None:
-        """Adds the gradients of one text's loss; the maxima pass theirs to one place each."""
-        p, n = self.p, max(1, len(text))
+    def _tops(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of one text, the maxima over each of its chunks and the place of each maximum."""
+        n = max(1, len(text))
         raw = np.frombuffer(text + bytes(WIDTH - 1), np.uint8) if text else np.zeros(WIDTH, np.uint8)
         r = self.respond(raw[:n + WIDTH - 1])
         starts = np.arange(0, len(r), SEGMENT)
@@ -96,6 +101,18 @@ class Network:
         if len(top) > 1:
             left = top[:-1] >= top[1:]
             top, where = np.where(left, top[:-1], top[1:]), np.where(left, where[:-1], where[1:])
+        return raw, top, where
+
+    def gradients(self, text: bytes | list[bytes], label: int, g: dict[str, np.ndarray]) -> None:
+        """Adds the gradients of the loss of one text, or of pieces of one; the maxima pass theirs to one place each."""
+        p, base = self.p, 0
+        raws, tops, places = [], [], []
+        for raw, top, where in map(self._tops, [text] if isinstance(text, bytes) else text):
+            raws.append(raw)
+            tops.append(top)
+            places.append(where + base)
+            base += len(raw)
+        raw, top, where = np.concatenate(raws), np.concatenate(tops), np.concatenate(places)
         h = np.maximum(top + p["lift"], 0)
         f = np.maximum(h @ p["mix"] + p["shift"], 0)
         mean = f.mean(0)
@@ -111,7 +128,7 @@ class Network:
         for k in range(WIDTH):
             np.add.at(g["filters"][k], (raw[where + k], each), dh)
 
-    def train(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int = 16, rate: float = 0.01, seed: int = 7) -> None:
+    def train(self, texts: list[bytes | list[bytes]], labels: list[int], epochs: int = EPOCHS, batch: int = 16, rate: float = 0.01, seed: int = 7) -> None:
         """Adam over the sample, in an order fixed by the seed."""
         rng, steps = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
@@ -132,6 +149,14 @@ class Network:
                     x -= now * (m[k] / (1 - 0.9 ** steps)) / (np.sqrt(v[k] / (1 - 0.99 ** steps)) + 1e-8)
 
 
+def _pieces(text: Column, key: Column) -> Column:
+    """The bytes of a text as an array: whole, or of a long one PIECES pieces spread over it."""
+    raw, part, size = F.encode(text, "UTF-8"), F.floor(F.octet_length(text) / PIECES), TRAIN_BYTES // PIECES
+    at = lambda k: (k * part + F.pmod(F.xxhash64(key, k), part - size + 1) + 1).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(raw, at(k), F.lit(size)))
+    return F.when(F.octet_length(text) > TRAIN_BYTES, spread).otherwise(F.array(raw))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
     """A network trained on a bounded sample of the labelled rows that are not held out."""
     known = pick(labels, label_of=doc_id, label=label).where(~held_out("label_of")).where("label IN (0, 1) AND label_of IS NOT NULL").dropDuplicates(["label_of", "label"])
@@ -141,18 +166,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
         net.fixed = float(next(iter(seen), 1))
         return net
     order = F.xxhash64("label_of")
-    # Twice as many as asked for, so that texts that are too long or missing can be passed over.
-    chosen = known.where("label = 0").orderBy(order, "label_of").limit(2 * sample).unionAll(known.where("label = 1").orderBy(order, "label_of").limit(2 * sample))
-    rows = pick(docs, doc_id=doc_id, text=text).withColumn("text", text_or_empty("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    joined = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_of")).select("label", order.alias("h"), "text")
+    rows = pick(docs, doc_id=doc_id, text=text)
+    there = known.join(rows.select(F.col("doc_id").alias("label_of")), "label_of", "left_semi")
+    least = lambda k: there.where(F.col("label") == k).orderBy(order, "label_of").limit(sample)
+    chosen = cut(least(0).unionAll(least(1)))
+    joined = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_of")).select(
+        "label", order.alias("h"), text_hash("text").alias("t"), _pieces(text_or_empty("text"), F.col("doc_id")).alias("pieces"))
     texts, marks = [], []
     for k in (0, 1):
-        for r in joined.where(F.col("label") == k).orderBy("h", "text").limit(sample).collect():
-            texts.append(r["text"].encode())
+        for r in joined.where(F.col("label") == k).orderBy("h", "t").limit(sample).collect():
+            texts.append([bytes(x) for x in r["pieces"]])
             marks.append(k)
-    if len(set(marks)) < 2:
+    if not marks:
         net.fixed = seen[1] / (seen[0] + seen[1])
         return net
+    if len(set(marks)) < 2:
+        raise ValueError(f"none of the {seen[1 - marks[0]]} rows of label {1 - marks[0]} has a document to learn from")
     net.train(texts, marks)
     n1 = sum(marks)
     net.odds = float(np.log(seen[1] / seen[0]) - np.log(n1 / (len(marks) - n1)))

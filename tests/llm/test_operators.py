@@ -387,6 +387,29 @@ def test_classifier_learns_and_holds_out(spark, docs, none):
     assert scored.columns == [c for c in docs.columns if c != "score"] + ["score"]
 
 
+def test_classifier_learns_from_long_texts(spark):
+    rng = random.Random(6)
+    junk = lambda n: " ".join(f"w{rng.randrange(3000)}%%%" for _ in range(n))
+    texts = [(i, prose(60, 3000) if i % 2 else junk(5000)) for i in range(60)]
+    assert min(len(t) for i, t in texts if i % 2 == 0) > quality_classifier.TRAIN_BYTES
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    got = quality_classifier.classify(rows(spark, texts), labels).where("held_out").collect()
+    assert len(got) > 5 and sum((r.score > 0.5) == bool(r.doc_id % 2) for r in got) / len(got) > 0.9
+    with pytest.raises(ValueError, match="label 0"):
+        quality_classifier.fit(rows(spark, [t for t in texts if t[0] % 2]), labels)
+
+
+def test_pieces_of_long_texts_are_spread(spark):
+    n = 3 * quality_classifier.TRAIN_BYTES + 7
+    long = "".join(f"{i:08d}" for i in range(-(-n // 8)))[:n]
+    df = spark.createDataFrame([(1, long), (2, long[:quality_classifier.TRAIN_BYTES]), (3, "")], "k long, text string")
+    whole, short, empty = (r.p for r in df.select(quality_classifier._pieces(F.col("text"), F.col("k")).alias("p")).collect())
+    part = n // quality_classifier.PIECES
+    places = [long.index(bytes(x).decode()) for x in whole]
+    assert sum(map(len, whole)) == quality_classifier.TRAIN_BYTES and [p // part for p in places] == list(range(quality_classifier.PIECES))
+    assert [bytes(x) for x in short] == [long[:quality_classifier.TRAIN_BYTES].encode()] and [bytes(x) for x in empty] == [b""]
+
+
 def test_gradients_match_differences():
     net = quality_classifier.Network(seed=1)
     text = prose(90).encode()
