@@ -100,8 +100,12 @@ def matches(obs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def attach_last(obs: DataFrame) -> DataFrame:
     """The past image that shares most tracks with the newest image of each scene (smallest id on ties)."""
-    newest = obs.groupBy("scene").agg(F.max("img_id").alias("j"))
-    mine = (obs.join(newest, "scene").where(F.col("img_id") == F.col("j")).select("scene", "j", "track_id"))
+    return attach_frames(obs, obs.groupBy("scene").agg(F.max("img_id").alias("j")))
+
+
+def attach_frames(obs: DataFrame, frames: DataFrame) -> DataFrame:
+    """The past image that shares most tracks with each image ``j`` of ``frames`` (scene, j); smallest id on ties."""
+    mine = obs.withColumnRenamed("img_id", "j").join(frames, ["scene", "j"], "left_semi").select("scene", "j", "track_id")
     past = obs.select("scene", "track_id", F.col("img_id").alias("i")).join(mine, ["scene", "track_id"])
     counts = past.where(F.col("i") < F.col("j")).groupBy("scene", "j", "i").agg(F.count("*").alias("n_matches"))
     best = F.max_by(F.struct("i", "n_matches"), F.struct("n_matches", (-F.col("i")).alias("k")))

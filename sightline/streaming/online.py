@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from sightline.operators.batch import timing_summary
 from sightline.operators.retrieval import BUILD_ASSIGN, QUERY_ASSIGN, asmk_aggregate, asmk_scores
 from sightline.operators.selection import topsim
-from sightline.operators.tracks import attach_last, cap_tracks, duplicated, remove_tracks, union_tracks
+from sightline.operators.tracks import attach_frames, cap_tracks, duplicated, remove_tracks, union_tracks
 from sightline.operators.trajectory import nearest_asof
 from sightline.scale import cut
 
@@ -78,9 +78,10 @@ class OnlineRetrieval:
 
 
 class OnlineTracks:
-    """Growing track store: drop old tracks that new ones cover, append, cap, and attach the newest frame.
+    """Growing track store: drop old tracks that new ones cover, append, cap, and attach every new frame.
 
-    The store of a batch holds the full observations of the scenes the batch touched; other scenes stay
+    Each frame is attached to the past frame, of its own batch or before, that shares most tracks with it, and gets one
+    event, in the batch that brings it first. Covered and capped tracks are dropped once per batch. The store of a batch holds the full observations of the scenes the batch touched; other scenes stay
     where they were last written.
     """
 
@@ -106,11 +107,13 @@ class OnlineTracks:
         kept = remove_tracks(old, cut(duplicated(old, new, self.thr)))
         merged = cut(cap_tracks(union_tracks(kept, new), self.num_keep))
         self.store.write(merged.withColumn("version", F.lit(batch).cast("long")), batch)
-        at = attach_last(merged).select("scene", F.col("j").alias("img_id"), F.col("i").alias("attached_to"), "n_matches")
-        frames = new.groupBy("scene").agg(F.max("img_id").alias("img_id"))
-        counts = merged.select("scene", "track_id").distinct().groupBy("scene").agg(F.count("*").alias("n_tracks"))
+        frames = cut(new.select("scene", "img_id").distinct().join(self.events.read(before=batch), ["scene", "img_id"], "left_anti"))
+        at = attach_frames(merged, frames.withColumnRenamed("img_id", "j")).select("scene", F.col("j").alias("img_id"), F.col("i").alias("attached_to"), "n_matches")
+        born = merged.groupBy("scene", "track_id").agg(F.min("img_id").alias("first")).groupBy("scene", "first").agg(F.count("*").alias("n"))
+        counts = frames.join(born, "scene").where("first <= img_id").groupBy("scene", "img_id").agg(F.sum("n").alias("n_tracks"))
         feed = frames.join(at, ["scene", "img_id"], "left").withColumn("mode", refinement_mode(F.col("img_id"), self.gba_step))
-        feed = cut(feed.join(counts, "scene").select("scene", "img_id", "attached_to", "n_matches", "mode", "n_tracks"))
+        feed = feed.join(counts, ["scene", "img_id"], "left").withColumn("n_tracks", F.coalesce("n_tracks", F.lit(0).cast("long")))
+        feed = cut(feed.select("scene", "img_id", "attached_to", "n_matches", "mode", "n_tracks"))
         self.events.write(feed, batch)
         if self.on_frame is not None:
             self.on_frame(feed, batch)
