@@ -15,6 +15,11 @@ Texts with the same words are one node from the start. The rest is exact in two
   that link are one. All other leaf pairs of branches still apart are pruned by their own bitmaps and sizes and
   verified: between different classes, every pair that could link is seen.
 
+Classes need no more than that. ``links`` gives the join itself: every link lies within a class, so the nodes of each class
+are put in order of size and cut into blocks of ``BLOCK``, the upper nodes of a tree with OR-combined bitmaps and size
+ranges. Pairs of blocks that a link is not ruled out for are opened to pairs of leaves, which are pruned in the same way and
+verified exactly, whether or not they are connected already. A class of n texts that all link has n * (n - 1) / 2 links.
+
 Null and empty texts have no shingles and link with nothing, themselves included. A text of fewer words than a shingle
 is one shingle. Rows with equal ids are texts of their own; rows with null ids take part, but do not name a class; a class of
 null ids alone has a null name. An empty table gives an empty result. Shingles and word sequences are told apart by
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from sightline.llm import hashing
 from sightline.llm.common import batches, cut, map_arrow, pick, text_hash
 from sightline.operators.graph import components
+from sightline.operators.ordered import row_number
 from sightline.scale import broadcast_if_small
 
 SHINGLE = 5
@@ -46,6 +52,8 @@ HUBS = (1, 6, 36)
 PROPOSALS = 3
 #: Leaves of a branch that are tried before all others.
 FIRST = 6
+#: Leaves of an upper node where all links of a class are followed.
+BLOCK = 64
 NODES = "doc_id long, text_hash long, node long, n int, token long, times long"
 
 
@@ -169,7 +177,10 @@ def _overlaps(rows: Iterator) -> Iterator:
 
 
 class JaccardJoin:
-    """One join over one table; ``classes`` is the result."""
+    """One join over one table: ``classes`` names the connected ones, ``links`` are the links themselves.
+
+    ``members`` (doc_id, text_hash, node, n) tells which documents a node stands for, once either was called.
+    """
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, size: int = SHINGLE) -> None:
         if percent != 75:
@@ -289,11 +300,13 @@ class JaccardJoin:
             F.coalesce("a_component", "a_branch") != F.coalesce("b_component", "b_branch")).select("a_branch", "b_branch")
         return links.unionAll(self._verified(self._open(apart, marked), leaves).select("a", "b"))
 
-    def _open(self, pairs: DataFrame, leaves: DataFrame) -> DataFrame:
-        """Pairs (a, b) of leaves of pairs of branches that sizes and bitmaps don't rule out."""
+    def _open(self, pairs: DataFrame, leaves: DataFrame, within: bool = False) -> DataFrame:
+        """Pairs (a, b) of leaves of pairs of branches that sizes and bitmaps don't rule out; ``within`` also pairs a branch with itself."""
         side = lambda x: leaves.select(*[F.col(c).alias(f"{x}_{n}") for c, n in (
             ("branch", "branch"), ("node", "node"), ("n", "least"), ("n", "most"), ("extra", "extra"), ("bits", "bits"))])
         met = pairs.join(side("a"), "a_branch").join(side("b"), "b_branch").where(self._fit("a", "b") & self._possible())
+        if within:
+            met = met.where((F.col("a_branch") != F.col("b_branch")) | (F.col("a_node") < F.col("b_node")))
         return cut(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
     def _classed(self) -> DataFrame:
@@ -314,6 +327,32 @@ class JaccardJoin:
         return self._classed().select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                                       F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def links(self) -> DataFrame:
+        """a, b, common, total of every link between different nodes, a < b; ``members`` has the documents of a node."""
+        self._classed()
+        final = cut(self.final)
+        leaves = self._leaves(final.select("node"))
+        placed = row_number(leaves.select("node", "n", "extra", "bits").join(final, "node"), ["branch"], ["n", "node"], "place")
+        block = F.concat_ws("/", "branch", F.floor((F.col("place") - 1) / BLOCK))
+        marked = cut(placed.select("node", "n", "extra", "bits", F.col("branch").alias("class"), block.alias("branch")))
+        tops = cut(marked.groupBy("class", "branch").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("extra").alias("extra"),
+                                                         F.array(*[F.bit_or(F.get("bits", k)) for k in range(BITMAP_LONGS)]).alias("bits")))
+        side = lambda x: tops.select("class", *[F.col(c).alias(f"{x}_{c}") for c in tops.columns if c != "class"])
+        met = side("a").join(side("b"), "class").where((F.col("a_branch") <= F.col("b_branch")) & self._fit("a", "b") & self._possible())
+        opened = self._open(cut(met.select("a_branch", "b_branch")), marked, within=True)
+        return self._verified(opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), leaves)
+
+    def link_counts(self) -> DataFrame:
+        """doc_id, text_hash, n_shingles, n_links: how many other documents each document links with, those of equal words included."""
+        links = cut(self.links())
+        times = self.members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"))
+        both = links.select(F.col("a").alias("of"), F.col("b").alias("node")).unionAll(links.select(F.col("b").alias("of"), F.col("a").alias("node")))
+        more = both.join(times, "node").groupBy(F.col("of").alias("node")).agg(F.sum("times").alias("more"))
+        counted = times.join(more, "node", "left").select("node", (F.col("times") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+        return self.members.join(counted, "node", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"),
+                                                                 F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return JaccardJoin(docs, doc_id, text).classes()

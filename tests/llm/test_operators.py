@@ -345,6 +345,21 @@ def test_classes_equal_all_pairs(spark, docs, none):
     assert jaccard_join.link_classes(none).count() == 0
 
 
+def test_links_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [(k, " ".join(f"e{rng.randrange(99)}" if rng.random() < 0.02 else w for w in BASE.split())) for k in range(60)]
+    texts += [(70, texts[0][1]), (None, texts[1][1].upper()), (71, prose(40)), (72, None), (70, prose(30)), (73, "two words"), (74, "two  words")]
+    sets = [shingle_set(t) for _, t in texts]
+    linked = [[b for b in range(len(texts)) if b != a and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])] for a in range(len(texts))]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    join = jaccard_join.JaccardJoin(rows(spark, texts))
+    assert bag(join.link_counts(), "doc_id", "n_shingles", "n_links") == Counter((i, len(sets[a]), len(linked[a])) for a, (i, _) in enumerate(texts))
+    pairs = {frozenset((sets[a], sets[b])) for a in range(len(texts)) for b in linked[a] if sets[a] != sets[b]}
+    links = join.links().collect()
+    assert len(links) == len({(r.a, r.b) for r in links}) == len(pairs) > 300
+    assert Counter((r.common, r.total) for r in links) == Counter((len(x & y), len(x | y)) for x, y in pairs)
+
+
 def test_frequent_shingles_do_not_change_classes(spark, monkeypatch):
     rng = random.Random(4)
     texts = [(k, " ".join(f"e{rng.randrange(99)}" if rng.random() < 0.02 else w for w in BASE.split())) for k in range(80)]
