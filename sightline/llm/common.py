@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.scale import cut, shared_dir
+from sightline.scale import broadcast_if_small, cut, shared_dir
 
-__all__ = ["cut", "fresh_folder", "open_store", "text_or_empty", "text_hash", "pick", "words_column", "Encoder"]
+__all__ = ["cut", "fresh_folder", "open_store", "text_or_empty", "text_hash", "pick", "words_column", "join_counted", "Encoder"]
 
 #: White space of every word pattern of this package: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -77,6 +77,22 @@ def map_arrow(df: DataFrame, body: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(_Released(body), schema)
 
 
+#: A key is heavy when it holds more than this share of all rows, so at most so many keys are.
+HEAVY = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with a written table of one row per key that tells how many rows the key has.
+
+    No more than ``HEAVY`` keys can be heavy; these are broadcast, so that their rows stay where they are. All other
+    rows are shuffled to their key.
+    """
+    heavy = F.col(count) > max(1, total // HEAVY)
+    few = broadcast_if_small(groups.where(heavy))
+    rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~heavy), key, "left")
+    return rows.join(few, key).unionByName(rest)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, although ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

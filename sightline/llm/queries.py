@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontamination, jaccard_join, mixing, quality_classifier, rule_ledger, secret_scans, suffix_dedup, token_counts, token_files, warc
+from sightline.llm import (
+    chunk_recipes,
+    decontamination,
+    jaccard_join,
+    mixing,
+    prefix_trie,
+    quality_classifier,
+    rule_ledger,
+    secret_scans,
+    spelling,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +150,63 @@ def _jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def _crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {byte}), 4294967295::BIGINT)"
+
+
+_TRIE_SQL = f"""
+    WITH RECURSIVE t AS (SELECT conv_id, list(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, text) AS said,
+                      list(strlen(coalesce(text, ''))::BIGINT ORDER BY turn NULLS FIRST, text) AS sizes
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    h AS (SELECT *, {_crc32_sql("list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 9 AS h FROM t),
+    r AS (SELECT o.conv_id, list_concat(coalesce(f.said[1:o.h], []), o.said[o.h + 1:]) AS said, list_concat(coalesce(f.sizes[1:o.h], []), o.sizes[o.h + 1:]) AS sizes
+          FROM h o LEFT JOIN t f ON f.conv_id = o.conv_id - o.conv_id % 5),
+    p AS (SELECT conv_id, len(said) AS size, d, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS b, said[1:d]::VARCHAR AS key, CASE WHEN d > 0 THEN said[1:d - 1]::VARCHAR END AS up
+          FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM r)),
+    n AS (SELECT d, key, any_value(up) AS up, min(conv_id) AS conv, count(*) AS n, any_value(b) AS b,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends FROM p GROUP BY d, key),
+    k AS (SELECT up AS key, count(*) AS kids FROM n WHERE d > 0 GROUP BY up),
+    m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (key)),
+    a AS (SELECT key AS top, key, up, (kids = 0)::BIGINT AS leaf, (n - 1) * b AS saved FROM m UNION ALL
+          SELECT u.key, a.key, u.up, leaf, saved FROM a JOIN m c ON c.key = a.top JOIN m u ON u.key = c.up),
+    s AS (SELECT top AS key, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM a GROUP BY top)
+    SELECT m.conv AS conv_id, m.d AS depth, u.conv AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, n_leaves, saved_tokens, sha256(m.ends) AS ends_sha256
+    FROM m JOIN s USING (key) LEFT JOIN n u ON u.key = m.up"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def _prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_chunk_recipes", r"""
+    WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+    SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+    FROM t WINDOW w AS (PARTITION BY norm)""")
+def _chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+_SPELLING_SQL = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+    r AS (SELECT run, length(run) AS size, hex(encode(concat(doc_id, ':', run))) AS code, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY ALL),
+    c AS (SELECT *, {_crc32_sql("list_transform(range(0, length(code) // 2), lambda i: ('0x' || code[2 * i + 1:2 * i + 2])::BIGINT)")} AS h FROM r),
+    o AS (SELECT CASE WHEN h % 31 = 0 THEN concat(run[1:h % size], run[h % size + 2:]) ELSE run END AS word, n FROM c),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    x AS (SELECT word, n, i, concat(word[1:i - 1], word[i + 1:]) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    e AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION
+          SELECT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word),
+    b AS (SELECT word, count(*) AS n_near, arg_min(other, {{'r': -m, 'w': encode(other)}}) AS other, max(m) AS m FROM e GROUP BY word),
+    f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN b USING (word)),
+    g AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.next)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON g.word = f.word AND g.next IS NULL"""
+
+
+@query("op13_spelling_variants", _SPELLING_SQL)
+def _spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
