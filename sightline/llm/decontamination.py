@@ -102,7 +102,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     held = bitmap(known)
 
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", text_hash("text").alias("text_hash"), "text")
-    found = let(word_hashes("text"), lambda h: seeds(h, lambda s: in_bitmap(held, s)))
+    found = let(held, lambda bits: let(word_hashes("text"), lambda h: seeds(h, lambda s: in_bitmap(bits, s))))  # the constant stands once in the plan
     hits = rows.select("doc_id", "text_hash", F.explode(found).alias("s")).select("doc_id", "text_hash", "s.at", "s.seed").join(known, "seed")
     lines = hits.groupBy("doc_id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift")).count().select("doc_id", "text_hash", "item", "shift")
     lines = lines.join(items.select("item", "item_id", "words"), "item")

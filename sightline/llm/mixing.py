@@ -13,8 +13,8 @@ Weights repeat over the sources in code point order, null last. Targets share ``
 stop at ``most`` times the source's words; the excess is shared again by weight among the others.
 
 A null text has no words; documents without words give nothing to the mix and are reported with 0. Null is a source of
-its own. Rows with equal ids are documents of their own. Rows with null ids are dealt out as they were read, all others
-by their id, so reruns agree. An empty table gives an empty result.
+its own. Rows with equal ids are documents of their own. The order of documents hangs
+on their id, text and number among equal rows, so reruns agree, also for rows without id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import cut, pick, text_or_empty
+from sightline.llm.common import cut, pick, text_hash, text_or_empty
+from sightline.operators.ordered import row_number
 
 BLOCK = 128
 SHARD_SLOTS = 4096
@@ -82,14 +83,21 @@ class Mix:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 1,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Mix:
     """The mix of all documents."""
-    sized = pick(docs, doc_id=doc_id, text=text, source=source).select(
-        "doc_id", "source", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
-    return mix_sizes(cut(sized), weights, share, most, block, seed)
+    rows = pick(docs, doc_id=doc_id, text=text, source=source).withColumn("row", F.monotonically_increasing_id())
+    return mix_sizes(_sized(rows), weights, share, most, block, seed)
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, source, size, fp, copy) of (row, doc_id, text, source): equal rows are numbered, so that they can be told apart."""
+    size = F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")
+    sized = cut(rows.select("row", "doc_id", "source", size, text_hash("text").alias("fp")))
+    return cut(row_number(sized, ["doc_id", "source", "fp"], ["row"], "copy"))
 
 
 def mix_sizes(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK,
               seed: int = 1) -> Mix:
-    """The mix of a written table (row, doc_id, source, size)."""
+    """The mix of a table as ``_sized`` writes it. The order of a source's documents hangs on ids, texts and the number
+    among equal rows alone, so it is the same however the rows were read; ``row`` only names them in the result."""
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = (F.lit(seed), F.col("rank"))
@@ -119,9 +127,9 @@ def mix_sizes(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
 
     # Places of documents in the streams: running sums inside buckets of bounded size, then of the buckets.
     ranked = documents.where("size > 0").join(src.select(F.col("source").alias("of"), "rank"), F.col("source").eqNullSafe(F.col("of")))
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "row")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "size"))
-    ranked = ranked.select("row", "rank", "size", "doc_id", spread.alias("spread"), F.pmod(spread, F.lit(max(1, -(-n_docs // BUCKET_ROWS)))).alias("bucket"))
-    bucket = Window.partitionBy("rank", "bucket").orderBy("spread", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    spread = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "fp", "copy")
+    ranked = ranked.select("row", "rank", "size", "doc_id", "fp", "copy", spread.alias("spread"), F.pmod(spread, F.lit(max(1, -(-n_docs // BUCKET_ROWS)))).alias("bucket"))
+    bucket = Window.partitionBy("rank", "bucket").orderBy("spread", "doc_id", "fp", "copy").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranked.groupBy("rank", "bucket").agg(F.sum("size").alias("held")).select(
         "rank", "bucket", F.coalesce(F.sum("held").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     placed = ranked.withColumn("start", F.coalesce(F.sum("size").over(bucket), F.lit(0))).join(sums, ["rank", "bucket"]).select(
@@ -143,9 +151,7 @@ def mixed_texts(docs: DataFrame, seed: int = 1, doc_id: str = "doc_id", text: st
     A text taken whole stays as it is; otherwise it is the words taken, in their order, joined by spaces.
     """
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    sized = rows.select(F.col("_row").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                        F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"))
-    made = mix_sizes(cut(sized), seed=seed, **options)
+    made = mix_sizes(_sized(pick(rows, row="_row", doc_id=doc_id, text=text, source=source)), seed=seed, **options)
     turns = made.pieces.join(made.sources.select("rank", "blocks"), "rank").groupBy(
         F.col("row").alias("_row"), F.floor(F.col("j") / F.col("blocks")).alias("_turn")).agg(
         F.sort_array(F.collect_list(F.struct("first", "n_words"))).alias("_parts"), F.sum("n_words").alias("_taken"))

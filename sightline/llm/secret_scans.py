@@ -105,6 +105,21 @@ def p_value(run: Column) -> Column:
     return let(F.split(body, ""), tests)
 
 
+def rests(text: Column, run: Column, within: Column) -> Column:
+    """What fixed spans leave of a run: the parts before, between and behind them, without separators at a cut."""
+    whole = F.struct(run["start"].alias("start"), run["stop"].alias("stop"), run["hit"].alias("hit"))
+
+    def part(k: Column) -> Column:
+        start = F.coalesce(F.array_max(F.transform(F.slice(within, F.lit(1), k), lambda b: b["stop"])), run["start"])
+        stop = F.greatest(start, F.coalesce(F.get(within, k)["start"], run["stop"]))
+        hit = F.substring(text, start + 1, stop - start)
+        left, right = F.length(F.regexp_extract(hit, "^[^A-Za-z0-9]*", 0)), F.length(F.regexp_extract(hit, "[^A-Za-z0-9]*$", 0))
+        low, high = start + left, F.greatest(start + left, stop - right)
+        return F.struct(low.alias("start"), high.alias("stop"), F.substring(text, low + 1, high - low).alias("hit"))
+
+    return F.when(F.size(within) == 0, F.array(whole)).otherwise(F.transform(F.sequence(F.lit(0), F.size(within)), part))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and runs: spans of the fixed kinds, and candidates of the battery with length class and p-value."""
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", text_or_empty("text").alias("text"))
@@ -112,9 +127,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     assigned = F.filter(spans(t, ASSIGN), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= ASSIGN_LEAST)
     of = lambda kind, found: F.transform(found, lambda s: F.struct(s["start"], F.lit(kind).alias("kind"), s["stop"]))
     base = F.concat(of(0, assigned), of(1, spans(t, ACCESS)), of(2, spans(t, HEX)))
-    noisy = F.filter(spans(t, RUN), lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]"))
-    rows = rows.select("doc_id", F.sort_array(base).alias("base"), noisy.alias("runs"))
-    free = F.filter("runs", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"])))
+    rows = rows.select("doc_id", "text", F.sort_array(base).alias("base"), spans(t, RUN).alias("runs"))
+    rows = rows.withColumn("runs", F.flatten(F.transform("runs", lambda s: rests(t, s, F.filter("base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"]))))))
+    mixed = F.filter("runs", lambda s: s["hit"].rlike("[A-Za-z]") & s["hit"].rlike("[0-9]|[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]"))
+    free = F.filter(mixed, lambda s: F.length(s["hit"]) >= MIN_RUN)
     return rows.select("doc_id", "base", F.transform(free, lambda s: F.struct(
         s["start"], s["stop"], F.floor(F.log2(F.length(s["hit"]))).cast("int").alias("class"), p_value(s["hit"]).alias("p"))).alias("runs"))
 

@@ -1,21 +1,23 @@
-"""Removal of repeated byte strings by distributed prefix doubling over a sparse set of positions.
+"""Removal of repeated byte strings by prefix doubling with hashed ranks over a sparse set of positions.
 
-Every byte covered by a string of ``LENGTH`` bytes that also starts in a document with a smaller id is removed. A
-suffix array of all positions isn't needed for that. In each window of ``LENGTH`` bytes the position with the least
-hash of its first ``BASE`` bytes is the anchor; equal windows have equal anchors at equal places, so only anchors are
-sorted, one position in some sixteen. Their ranks are refined at growing lengths, and what is unique to one document
-drops out:
+Every byte covered by a string of ``LENGTH`` bytes that also starts in a document with a smaller id is removed. Doubling
+over all positions would shuffle two ranks and a place, some 24 bytes, for each byte of text in every round; so the
+method is changed in two points. Positions: in each window of ``LENGTH`` bytes the position with the least rank of its
+first ``BASE`` bytes is the anchor; equal windows have equal anchors at equal places, so only anchors go through the
+rounds, one position in some sixteen. Ranks: the rank of a longer string is the hash of a pair of ranks of the round before,
+at a position and ``STEP`` bytes on; equal strings have equal ranks, and no numbering of the whole corpus is needed.
+Each round sorts what is left by rank, and what is unique to one document drops out:
 
-1. ``BASE`` bytes at the anchor: Spark sorts (rank, document); anchors whose rank no other document has are done.
+1. ``BASE`` bytes at the anchor.
 2. The run of windows that share the anchor, as a pair of ranks of its first and last window: all windows of a run
    that equals a run of a smaller document are removed at once. One document, the smallest, stands for each run.
-3. 35 bytes, to the left or right of the anchor, of these runs: a window holds one of the two, so a run with neither
-   in common with another document is done.
-4. ``LENGTH`` bytes: each window of what is left.
+3. ``BASE + STEP`` bytes, to the left or right of the anchor, of these runs: a window holds one of the two, so a run with
+   neither in common with another document is done.
+4. ``LENGTH`` bytes, which is ``BASE + 2 * STEP``: each window of what is left.
 
-Ranks are 64-bit hashes of the strings, equal where the strings are, so no numbering of the whole corpus is needed; the
-first ones, which only select, keep as many bits as tell the corpus's anchors apart but for one in some 16,000. Equal
-strings within a batch of texts are settled there, so that no group, however large, comes to one task as it is.
+Ranks have 64 bits; the first ones, which only select, keep as many as tell the corpus's anchors apart but for one in
+some 16,000. Equal strings within some hundred thousand of a task are settled there, so that no group, however large,
+comes to one task as it is.
 Equal texts are settled before all that: every copy but that with the smallest id goes whole if it has ``LENGTH`` bytes.
 
 Matches never cross documents; null and empty texts have nothing to remove. A document with a null id is neither
@@ -39,16 +41,23 @@ from sightline.scale import broadcast_if_small
 
 LENGTH = 50
 BASE = 20
-MIDDLE = 35
+STEP = 15
+MIDDLE = BASE + STEP
 #: Ranks that many anchors have: at most so many are listed, seen so often in all and in a million anchors of a task.
 #: Whatever the list, the result is the same; it only keeps frequent strings from meeting in one task.
 FREQUENT = 1 << 16
 FREQUENT_LEAST = 2000
 SEEN_LEAST = 32
-#: An anchor in one long: place, windows of its run before it, windows of the run less one.
-PLACE = "doc_id long, fp long, q long"
+#: Strings a task settles among themselves before they are shuffled.
+SETTLED_AT_ONCE = 1 << 19
+
 
+def further(ranks: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Ranks of strings that are ``step`` bytes longer: hashes of pairs (rank at i, rank at i + step)."""
+    return hashing.mix(ranks[:-step] * np.uint64(0x9E3779B97F4A7C15) + ranks[step:]) if len(ranks) > step else np.empty(0, np.uint64)
 
+
+#: An anchor in one long: place, windows of its run before it, windows of the run less one.
 def _pack(q: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
     return (q << 12) | (before << 6) | more
 
@@ -114,28 +123,37 @@ def _frequent(rows: Iterator) -> Iterator:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["rank", "times"])
 
 
-def _base(rows: Iterator, bits: int, frequent) -> Iterator:
-    """(rank, doc_id, fp, q, sure) of all anchors; ranks of so many bits.
+def _batch(names: tuple[str, ...], columns: list[list[np.ndarray]], fp: bool):
+    """A batch of the columns; ``fp`` only where it tells rows apart."""
+    import pyarrow as pa
+
+    kept = [k for k, n in enumerate(names) if fp or n != "fp"]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[k])) for k in kept], names=[names[k] for k in kept])
+
+
+def _base(rows: Iterator, bits: int, frequent, fp: bool) -> Iterator:
+    """(rank, doc_id, fp, q) of all anchors; ranks of so many bits.
 
-    Anchors of frequent ranks are sure to be kept; each gets a rank of its own, so that they are dealt out evenly.
+    Anchors of frequent ranks are sure to be kept: their q is negated bit by bit, and each gets a rank of its own, so that they
+    are dealt out evenly.
     """
-    import pyarrow as pa
+    names = ("rank", "doc_id", "fp", "q")
 
     mask, often = np.uint64((1 << bits) - 1), frequent.value
+    out, held = ([], [], [], []), 0
     for batch in rows:
-        out, held = ([], [], [], [], []), 0
-        for doc_id, fp, raw in _rows(batch):
+        for doc_id, tell, raw in _rows(batch):
             packed, ranks = anchors(raw)
             sure = np.isin(ranks, often)
             ranks = np.where(sure, hashing.mix(packed.astype(np.uint64) * np.uint64(31) + np.uint64(doc_id & (1 << 63) - 1)), ranks) & mask
-            for c, x in zip(out, (ranks.view(np.int64), np.full(len(ranks), doc_id), np.full(len(ranks), fp), packed, sure), strict=True):
+            for c, x in zip(out, (ranks.view(np.int64), np.full(len(ranks), doc_id), np.full(len(ranks), tell), np.where(sure, ~packed, packed)), strict=True):
                 c.append(x)
             held += len(ranks)
             if held > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc_id", "fp", "q", "sure"])
-                out, held = ([], [], [], [], []), 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["rank", "doc_id", "fp", "q", "sure"])
+                yield _batch(names, out, fp)
+                out, held = ([], [], [], []), 0
+    if held:
+        yield _batch(names, out, fp)
 
 
 def _ends(windows: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
@@ -160,51 +178,56 @@ def _settle(rank: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.nd
     return np.where(settled, own, rank).view(np.int64), settled
 
 
-def _runs(rows: Iterator) -> Iterator:
-    """Runs of the anchors asked for: (doc_id, fp, q, run, settled, left, right)."""
-    import pyarrow as pa
+def _runs(rows: Iterator, fp: bool) -> Iterator:
+    """Runs of the anchors asked for: (doc_id, fp, q, run, left, right); the q of a settled run is negated bit by bit."""
+    def made(out: list[list[np.ndarray]]):
+        doc, tell, q, run, left, right = map(np.concatenate, out)
+        run, settled = _settle(run, doc, q)
+        left[settled] = right[settled] = 0
+        return _batch(("doc_id", "fp", "q", "run", "left", "right"), [[x] for x in (doc, tell, np.where(settled, ~q, q), run, left, right)], fp)
 
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    held_rows = 0
     for batch in rows:
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for doc_id, fp, held, raw in _rows(batch):
+        for doc_id, tell, held, raw in _rows(batch):
             packed = np.array(held, np.int64)
             q, lo, hi = _unpack(packed)
-            whole, part = hashing.byte_windows(raw, LENGTH), hashing.byte_windows(raw, MIDDLE)
+            part = further(hashing.byte_windows(raw, BASE))
+            whole = further(part)
             run = hashing.mix(hashing.mix(whole[lo] + (packed & 4095).astype(np.uint64)) ^ whole[hi])
-            left, right = _ends(part, len(raw), q + BASE - MIDDLE), _ends(part, len(raw), q)
-            for c, x in zip(out, (np.full(len(q), doc_id), np.full(len(q), fp), packed, run, left.view(np.int64), right.view(np.int64)), strict=True):
+            left, right = _ends(part, len(raw), q - STEP), _ends(part, len(raw), q)
+            for c, x in zip(out, (np.full(len(q), doc_id), np.full(len(q), tell), packed, run, left.view(np.int64), right.view(np.int64)), strict=True):
                 c.append(x)
-        if out[0]:
-            doc, fps, q, run, left, right = map(np.concatenate, out)
-            run, settled = _settle(run, doc, q)
-            left[settled] = right[settled] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, fps, q, run, settled, left, right)],
-                                             names=["doc_id", "fp", "q", "run", "settled", "left", "right"])
-
+            held_rows += len(q)
+            if held_rows > SETTLED_AT_ONCE:
+                yield made(out)
+                out, held_rows = [[] for _ in range(6)], 0
+    if held_rows:
+        yield made(out)
 
-def _windows(rows: Iterator) -> Iterator:
-    """(rank, doc_id, fp, p, settled) of every window of the runs asked for."""
-    import pyarrow as pa
 
+def _windows(rows: Iterator, fp: bool) -> Iterator:
+    """(rank, doc_id, fp, p) of every window of the runs asked for; the p of a settled one is negated bit by bit."""
     def made(out: list[list[np.ndarray]]):
-        rank, doc, fps, p = map(np.concatenate, out)
+        rank, doc, tell, p = map(np.concatenate, out)
         rank, settled = _settle(rank, doc, p)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rank, doc, fps, p, settled)], names=["rank", "doc_id", "fp", "p", "settled"])
+        return _batch(("rank", "doc_id", "fp", "p"), [[x] for x in (rank, doc, tell, np.where(settled, ~p, p))], fp)
 
+    out: list[list[np.ndarray]] = [[] for _ in range(4)]
+    held_rows = 0
     for batch in rows:
-        out, held_rows = ([], [], [], []), 0
-        for doc_id, fp, held, raw in _rows(batch):
+        for doc_id, tell, held, raw in _rows(batch):
             _, lo, hi = _unpack(np.array(held, np.int64))
             sizes = hi - lo + 1
             p = np.unique(np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))
-            for c, x in zip(out, (hashing.byte_windows(raw, LENGTH)[p], np.full(len(p), doc_id), np.full(len(p), fp), p), strict=True):
+            for c, x in zip(out, (further(further(hashing.byte_windows(raw, BASE)))[p], np.full(len(p), doc_id), np.full(len(p), tell), p), strict=True):
                 c.append(x)
             held_rows += len(p)
-            if held_rows > 2_000_000:
+            if held_rows > 4 * SETTLED_AT_ONCE:
                 yield made(out)
-                out, held_rows = ([], [], [], []), 0
-        if held_rows:
-            yield made(out)
+                out, held_rows = [[] for _ in range(4)], 0
+    if held_rows:
+        yield made(out)
 
 
 def _remove(rows: Iterator) -> Iterator:
@@ -239,11 +262,16 @@ class SuffixDedup:
         texts = texts.dropDuplicates(["doc_id", "fp"]) if self.repeated else texts
         return lists.join(texts, ["doc_id", "fp"]).select("doc_id", "fp", *columns, F.encode("text", "UTF-8").alias("raw"))
 
+    def _told(self, df: DataFrame) -> DataFrame:
+        """``df`` with fp, which is only shuffled where rows of one id must be told apart."""
+        return df if "fp" in df.columns else df.withColumn("fp", F.lit(0).cast("long"))
+
     def _copies(self) -> None:
         """Digests of all rows, and the copies of texts that stand in a smaller document. fp tells rows of one id apart."""
         known = cut(self.rows.select("doc_id", F.xxhash64("text").alias("fp"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
         self.repeated = not known.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
         tell = F.xxhash64("text") if self.repeated else F.lit(0).cast("long")
+        self.names = "doc_id long, fp long" if self.repeated else "doc_id long"
         self.docs, self.known = self.rows.withColumn("fp", tell), known if self.repeated else known.withColumn("fp", tell)
         firsts = known.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
         self.copies = cut(self.known.join(firsts, "sha").where(f"doc_id > first AND n_bytes >= {LENGTH}").select("doc_id", "fp").distinct())
@@ -259,16 +287,17 @@ class SuffixDedup:
         seen = raw.select("raw").mapInArrow(_frequent, "rank long, times long").groupBy("rank").agg(F.sum("times").alias("times"))
         often = np.array([r["rank"] for r in seen.where(F.col("times") >= FREQUENT_LEAST).orderBy(F.desc("times"), "rank").limit(FREQUENT).collect()], np.int64)
         shared = self.rows.sparkSession.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-        ranked = raw.mapInArrow(partial(_base, bits=self.bits, frequent=shared), "rank long, doc_id long, fp long, q long, sure boolean")
+        ranked = raw.mapInArrow(partial(_base, bits=self.bits, frequent=shared, fp=self.repeated), f"rank long, {self.names}, q long")
         group = Window.partitionBy("rank")
-        ranked = ranked.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low < high OR sure")
-        return cut(ranked.groupBy("doc_id", "fp").agg(F.collect_list("q").alias("held")))
+        ranked = ranked.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low < high OR q < 0")
+        return cut(self._told(ranked).groupBy("doc_id", "fp").agg(F.collect_list(F.when(F.col("q") < 0, F.bitwise_not("q")).otherwise(F.col("q"))).alias("held")))
 
     def _refined(self) -> DataFrame:
         """Runs with the smallest document that has each; settled ones have a smaller one than their own."""
-        runs = self._with_texts(self._alike(), "held").mapInArrow(_runs, f"{PLACE}, run long, settled boolean, left long, right long")
-        runs = runs.withColumn("first", F.min("doc_id").over(Window.partitionBy("run")))
-        return cut(runs.select("doc_id", "fp", "q", (F.col("settled") | (F.col("first") < F.col("doc_id"))).alias("settled"), "left", "right"))
+        runs = self._with_texts(self._alike(), "held").mapInArrow(partial(_runs, fp=self.repeated), f"{self.names}, q long, run long, left long, right long")
+        settled = (F.col("q") < 0) | (F.min("doc_id").over(Window.partitionBy("run")) < F.col("doc_id"))
+        runs = self._told(runs.withColumn("settled", settled))
+        return cut(runs.select("doc_id", "fp", F.when(F.col("q") < 0, F.bitwise_not("q")).otherwise(F.col("q")).alias("q"), "settled", "left", "right"))
 
     def _removed(self) -> DataFrame:
         """(doc_id, fp, start, stop): byte ranges to remove, before they are merged."""
@@ -279,10 +308,10 @@ class SuffixDedup:
         stand = runs.where("NOT settled").select("doc_id", "fp", "q", F.explode(F.array("left", "right")).alias("rank")).where("rank <> 0")
         shared = stand.groupBy("rank").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("rank")
         left = cut(stand.join(shared, "rank").groupBy("doc_id", "fp").agg(F.collect_set("q").alias("held")))
-        windows = self._with_texts(left, "held").mapInArrow(_windows, "rank long, doc_id long, fp long, p long, settled boolean")
-        windows = windows.withColumn("low", F.min("doc_id").over(Window.partitionBy("rank"))).where("settled OR low < doc_id")
-        single = windows.select("doc_id", "fp", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop"))
-        return settled.unionAll(single)
+        windows = self._with_texts(left, "held").mapInArrow(partial(_windows, fp=self.repeated), f"rank long, {self.names}, p long")
+        windows = self._told(windows.withColumn("low", F.min("doc_id").over(Window.partitionBy("rank"))).where("p < 0 OR low < doc_id"))
+        p = F.when(F.col("p") < 0, F.bitwise_not("p")).otherwise(F.col("p"))
+        return settled.unionAll(windows.select("doc_id", "fp", p.alias("start"), (p + LENGTH).alias("stop")))
 
     def result(self) -> DataFrame:
         """doc_id, n_bytes, n_removed, spans (merged byte ranges) and kept_sha256 of every document."""
