@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.camera import array_dot, let
 from sightline.functions.pose import clip
+from sightline.operators.clustering import coreset_hclust_past
 from sightline.operators.ordered import cap_pairs, pairs_within, row_number, sum_vectors, top_k
 from sightline.operators.retrieval import dimension
 from sightline.scale import cut
@@ -130,11 +131,11 @@ def coreset_fps_past(sim: DataFrame, n: int) -> DataFrame:
     return chosen if chosen is not None else cand.select(*Group, "img_id").limit(0)
 
 
-def coreset_clusters(glob: DataFrame, n: int, rounds: int = 10) -> DataFrame:
+def coreset_clusters(glob: DataFrame, n: int, moved: float = 1e-9) -> DataFrame:
     """(scene, cluster, img_id): the frame nearest to the mean of each of n clusters of a scene.
 
-    Lloyd's k-means on the descriptors, all scenes in the same rounds. A scene's n centres travel as one
-    row; the descriptors are only read and summed.
+    Lloyd's k-means on the descriptors, all scenes in the same rounds, until no centre moves by more than the square root
+    of ``moved``. A scene's n centres travel as one row; the descriptors are only read and summed.
     """
     dim = dimension(glob)
     rows = glob.select("scene", "img_id", F.col("vec").cast("array<double>").alias("vec"))
@@ -149,10 +150,13 @@ def coreset_clusters(glob: DataFrame, n: int, rounds: int = 10) -> DataFrame:
         return rows.join(packed, "scene").withColumn("_m", F.array_min(F.transform("_c", far))).select(
             "scene", "img_id", "vec", F.col("_m.cluster").alias("cluster"), F.col("_m.d").alias("d"))
 
-    for _ in range(rounds):
+    going = True
+    while going:
         sums = sum_vectors(assign(centres), ["scene", "cluster"], F.concat("vec", F.array(F.lit(1.0))), dim + 1)
         mean = let(F.col("vec"), lambda x: F.transform(F.slice(x, 1, dim), lambda v: v / F.get(x, F.lit(dim))))
-        centres = cut(sums.select("scene", "cluster", mean.alias("vec")))
+        old, centres = centres, cut(sums.select("scene", "cluster", mean.alias("vec")))
+        apart = F.aggregate(F.zip_with("vec", "_old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        going = not centres.join(old.select("scene", "cluster", F.col("vec").alias("_old")), ["scene", "cluster"]).where(apart > moved).isEmpty()
     return assign(centres).groupBy("scene", "cluster").agg(F.min_by("img_id", F.struct("d", "img_id")).alias("img_id"))
 
 
@@ -182,8 +186,8 @@ def weighted_sample(sim: DataFrame, k: int) -> DataFrame:
 def retrieve(frames: DataFrame, sim: DataFrame, mode: str, k: int) -> DataFrame:
     """Past frames to match each frame with, by strategy name.
 
-    ``none``, ``last``, ``topsim``, ``divmax``, ``divavg``, ``divrmse``, ``coreset_fps_<n>``, ``wgtrng``,
-    and ``keyframe<step>-<mode>``, which takes three quarters from every ``step``-th frame.
+    ``none``, ``last``, ``topsim``, ``divmax``, ``divavg``, ``divrmse``, ``coreset_fps_<n>``, ``coreset_hclust_<n>``,
+    ``wgtrng``, and ``keyframe<step>-<mode>``, which takes three quarters from every ``step``-th frame.
     """
     simple: dict[str, Callable[[], DataFrame]] = {
         "none": lambda: all_past(frames), "last": lambda: last(frames, k), "topsim": lambda: topsim(sim, k),
@@ -193,6 +197,8 @@ def retrieve(frames: DataFrame, sim: DataFrame, mode: str, k: int) -> DataFrame:
         return simple[mode]()
     if mode.startswith("coreset_fps_"):
         return coreset_fill(coreset_fps_past(sim, int(mode.rsplit("_", 1)[1])), sim, k)
+    if mode.startswith("coreset_hclust_"):
+        return coreset_fill(coreset_hclust_past(sim, int(mode.rsplit("_", 1)[1])), sim, k)
     if mode.startswith("keyframe"):
         head, inner = mode.split("-", 1)
         return keyframes(frames, sim, int(head[len("keyframe"):]), inner, k)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.camera import let
-from sightline.operators import retrieval, selection
+from sightline.operators import clustering, retrieval, selection
 from sightline.operators.ordered import sum_vectors
 from sightline.plans.catalog import query, rnd
 from sightline.plans.standins import DESC, Tables, r6
@@ -229,6 +229,11 @@ def _(t: Tables) -> DataFrame:
     return selection.coreset_clusters(t.desc(), 4)
 
 
+@query("ward_coreset")
+def _(t: Tables) -> DataFrame:
+    return clustering.coreset_hclust(selection.similarity(t.desc()), t.desc().select("scene", "img_id"), 8)
+
+
 @query("retrieve_weighted_sample", f"""WITH {SIM}, h AS (SELECT *, sha256(concat_ws('|', scene, i, j)) AS h FROM sim WHERE s > 0),
 u AS (SELECT *, (list_sum([(instr('0123456789abcdef', substr(h, k, 1)) - 1)*pow(16, 8 - k) FOR k IN range(1, 9)]) + 0.5::DOUBLE)/4294967296 AS u FROM h)
 SELECT scene, i AS query, j AS img_id FROM u QUALIFY row_number() OVER (PARTITION BY scene, i ORDER BY ln(u)/s DESC, j) <= 5""")
