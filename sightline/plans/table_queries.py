@@ -117,7 +117,7 @@ def _(t: Tables) -> DataFrame:
 @query("refined_scene_loss")
 def _(t: Tables) -> DataFrame:
     o, s = _scene(t)
-    _, history = refine.refine(o, s, [refine.Phase()], 3)
+    _, history = refine.refine(o, s, [refine.Phase(max_iters=2)], 3)
     return history.select("scene", "phase", "iteration", rnd("loss", digits=3), rnd("score", digits=3))
 
 
