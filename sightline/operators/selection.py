@@ -131,11 +131,11 @@ def coreset_fps_past(sim: DataFrame, n: int) -> DataFrame:
     return chosen if chosen is not None else cand.select(*Group, "img_id").limit(0)
 
 
-def coreset_clusters(glob: DataFrame, n: int, moved: float = 1e-9) -> DataFrame:
+def coreset_clusters(glob: DataFrame, n: int, rounds: int | None = None, moved: float = 1e-9) -> DataFrame:
     """(scene, cluster, img_id): the frame nearest to the mean of each of n clusters of a scene.
 
     Lloyd's k-means on the descriptors, all scenes in the same rounds, until no centre moves by more than the square root
-    of ``moved``. A scene's n centres travel as one row; the descriptors are only read and summed.
+    of ``moved``, or for ``rounds`` rounds where that is given. A scene's n centres travel as one row; the descriptors are only read and summed.
     """
     dim = dimension(glob)
     rows = glob.select("scene", "img_id", F.col("vec").cast("array<double>").alias("vec"))
@@ -150,8 +150,9 @@ def coreset_clusters(glob: DataFrame, n: int, moved: float = 1e-9) -> DataFrame:
         return rows.join(packed, "scene").withColumn("_m", F.array_min(F.transform("_c", far))).select(
             "scene", "img_id", "vec", F.col("_m.cluster").alias("cluster"), F.col("_m.d").alias("d"))
 
-    going = True
-    while going:
+    going, done = True, 0
+    while going and (rounds is None or done < rounds):
+        done += 1
         sums = sum_vectors(assign(centres), ["scene", "cluster"], F.concat("vec", F.array(F.lit(1.0))), dim + 1)
         mean = let(F.col("vec"), lambda x: F.transform(F.slice(x, 1, dim), lambda v: v / F.get(x, F.lit(dim))))
         old, centres = centres, cut(sums.select("scene", "cluster", mean.alias("vec")))
