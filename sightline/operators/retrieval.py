@@ -12,13 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.functions.camera import normalise
+from sightline.functions.camera import array_dot, normalise
 from sightline.operators.ordered import best_first, cap_pairs, pair_partitions, row_number, salted_join, sum_vectors, top_k
-from sightline.scale import collect_bounded, max_broadcast_bytes
+from sightline.scale import collect_bounded, cut, max_broadcast_bytes
 
 ALPHA = 3.0  # exponent of the match kernel
 BUILD_ASSIGN, QUERY_ASSIGN = 1, 5  # words per descriptor when indexing and when querying
@@ -294,3 +294,57 @@ def similar_patches(patches: DataFrame, pairs: DataFrame, thr: float | None = No
     found = _tiles(left, right.select(*left.columns[:3], "b", "vec"), ["scene", "i", "j"], ["a"], ["b"], tile, keep)
     found = found.withColumn("s", F.abs("s"))
     return found if cap is None else cap_pairs(found, ["scene", "i", "j"], "s", ["a", "b"], cap)
+
+
+def hash_bands(thr: float, recall: float, bits: int) -> int:
+    """Bands of ``bits`` signs each that let a pair of absolute cosine ``thr`` meet with probability ``recall``.
+
+    A random hyperplane gives both vectors the same sign with probability 1 − angle/π. All signs of a band must
+    agree, or all must differ, since the sign of the cosine does not count.
+    """
+    p = 1 - np.arccos(np.clip(thr, 0, 1)) / np.pi
+    hit = p ** bits + (1 - p) ** bits
+    return 1 if hit >= 1 else max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-hit))))
+
+
+def sign_codes(vec: Column, dim: int, bits: int, bands: int, seed: int = 7) -> Column:
+    """Array of ``bands`` integers: signs of products with random hyperplanes, the same for a vector and its negative."""
+    @F.pandas_udf("array<long>")
+    def codes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = np.random.default_rng(seed).normal(size=(dim, bands * bits))
+        power = 1 << np.arange(bits, dtype=np.int64)
+        for part in parts:
+            if part.empty:
+                yield pd.Series([], dtype=object)
+                continue
+            sign = (np.stack(part.to_numpy()) @ planes > 0).reshape(len(part), bands, bits)
+            code = (sign ^ sign[:, :, -1:]) @ power  # the last sign becomes 0
+            yield pd.Series(list(code))
+    return codes(vec.cast("array<double>"))
+
+
+def similar_patches_hashed(patches: DataFrame, pairs: DataFrame, thr: float, cap: int | None = None, recall: float = 0.99,
+                           bits: int = 8, seed: int = 7) -> DataFrame:
+    """``similar_patches`` through random-hyperplane hashing, for thresholds high enough to prune.
+
+    Patches meet where a band of signs agrees; large buckets are cut into blocks, none is capped. Every met pair is
+    checked on its vectors, so nothing wrong is returned, and a pair at the threshold is met with probability
+    ``recall``, one above it with a higher one. What is shuffled per image pair is ids and codes; vectors only join the
+    met pairs. Where so many bands are needed that most pairs would meet anyway, the exact tile-wise form runs instead.
+    Zero vectors are similar to nothing.
+    """
+    dim, bands = dimension(patches), hash_bands(thr, recall, bits)
+    if dim == 0 or 2 * bands > 1 << (bits - 1):
+        return similar_patches(patches, pairs, thr, cap)
+    unit = patches.select("scene", "img_id", "patch", normalise(F.col("vec").cast("array<double>")).alias("vec"))
+    coded = cut(patches.select("scene", "img_id", "patch", F.posexplode(sign_codes(F.col("vec"), dim, bits, bands, seed)).alias("band", "code")))
+    pairs = pairs.select("scene", "i", "j").distinct()
+    keys = ["scene", "i", "j", "band", "code"]
+    left = pairs.join(coded.select("scene", F.col("img_id").alias("i"), F.col("patch").alias("a"), "band", "code"), ["scene", "i"])
+    right = pairs.join(coded.select("scene", F.col("img_id").alias("j"), F.col("patch").alias("b"), "band", "code"), ["scene", "j"])
+    met = salted_join(left.select(*keys, "a"), right.select(*keys, "b"), keys).select("scene", "i", "j", "a", "b").distinct()
+    both = (met.join(unit.select("scene", F.col("img_id").alias("i"), F.col("patch").alias("a"), F.col("vec").alias("_v")), ["scene", "i", "a"])
+            .join(unit.select("scene", F.col("img_id").alias("j"), F.col("patch").alias("b"), F.col("vec").alias("_w")), ["scene", "j", "b"]))
+    s = F.least(F.abs(array_dot(F.col("_v"), F.col("_w"))), F.lit(1.0))
+    found = both.select("scene", "i", "j", "a", "b", s.alias("s")).where(~F.isnan("s") & (F.col("s") > thr))
+    return found if cap is None else cap_pairs(found, ["scene", "i", "j"], "s", ["a", "b"], cap)

@@ -273,3 +273,20 @@ def _(t: Tables) -> DataFrame:
     pairs = imgs.alias("l").join(imgs.alias("r"), (F.col("l.scene") == F.col("r.scene")) & (F.col("l.img_id") < F.col("r.img_id"))).select(
         "l.scene", F.col("l.img_id").alias("i"), F.col("r.img_id").alias("j"))
     return retrieval.similar_patches(p, pairs, 0.2, 20).select("scene", "i", "j", "a", "b", rnd("s"))
+
+
+VIEWS = """v AS (SELECT label % 8 AS scene, vec_id AS patch, embedding::DOUBLE[] AS vec FROM embeddings),
+w AS (SELECT scene, patch, [((CASE WHEN patch % 2 = 0 THEN 1 ELSE -1 END)*(vec[k] + 0.3*vec[k % len(vec) + 1])) FOR k IN range(1, len(vec) + 1)] AS vec FROM v)"""
+
+
+@query("similar_patches_hashed", f"""WITH {VIEWS}, c AS (SELECT v.scene, v.patch AS a, w.patch AS b,
+abs(list_inner_product(v.vec, w.vec)/sqrt(list_inner_product(v.vec, v.vec)*list_inner_product(w.vec, w.vec))) AS s FROM v JOIN w USING (scene))
+SELECT scene, 0 AS i, 1 AS j, a, b, {r6('s', 's')} FROM c WHERE s > 0.8""")
+def _(t: Tables) -> DataFrame:
+    v = t.read("embeddings").select((F.col("label") % 8).alias("scene"), F.lit(0).alias("img_id"), F.col("vec_id").alias("patch"),
+                                    F.col("embedding").cast("array<double>").alias("vec"))
+    turned = F.concat(F.slice("vec", 2, F.size("vec") - 1), F.slice("vec", 1, 1))
+    sign = F.when(F.col("patch") % 2 == 0, 1.0).otherwise(-1.0)
+    w = v.select("scene", F.lit(1).alias("img_id"), "patch", F.zip_with("vec", turned, lambda x, y: sign * (x + 0.3 * y)).alias("vec"))
+    pairs = v.select("scene").distinct().select("scene", F.lit(0).alias("i"), F.lit(1).alias("j"))
+    return retrieval.similar_patches_hashed(v.unionByName(w), pairs, 0.8).select("scene", "i", "j", "a", "b", rnd("s"))

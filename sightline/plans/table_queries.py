@@ -69,11 +69,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("scene_failure_report", """SELECT user_id AS scene, CASE WHEN count(*) > 70 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN count(*) > 70 THEN 'ValueError: too many frames' END AS error FROM events GROUP BY user_id""")
 def _(t: Tables) -> DataFrame:
-    def check(pdf) -> None:
-        if len(pdf) > 70:
+    def check(frames: int) -> None:
+        if frames > 70:
             raise ValueError("too many frames")
     e = t.read("events").select(F.col("user_id").alias("scene"), "event_id")
-    return batch.run_per_scene(e, check)
+    return batch.fold_per_scene(e, int, lambda n, pdf: n + len(pdf), lambda a, b: a + b, check).select("scene", "status", "error")
 
 
 # ------------------------------------------------------------------ refinement on the observation stand-in

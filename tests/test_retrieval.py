@@ -170,6 +170,35 @@ def test_similar_patches_threshold_and_cap(spark, glob):
     assert rt.similar_patches(p, pairs, 0.0, cap=4).count() == 4
 
 
+@pytest.mark.parametrize("thr", [0.7, 0.85])
+def test_hashed_patches_recall_and_precision(spark, thr):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 32))
+    near = [b * rng.choice([-1, 1]) + rng.normal(size=32) * rng.uniform(0.1, 0.9) for b in base for _ in range(3)]
+    rows = [("s", 0, i, v.tolist()) for i, v in enumerate(base)] + [("s", 1, i, v.tolist()) for i, v in enumerate(near)]
+    rows += [("s", 0, 900 + i, [1.0] * 32) for i in range(20)] + [("s", 1, 900 + i, [-2.0] * 32) for i in range(20)]  # one full bucket
+    rows += [("s", k, 999, [0.0] * 32) for k in (0, 1)]
+    p = spark.createDataFrame(rows, "scene string, img_id long, patch long, vec array<double>")
+    pairs = spark.createDataFrame([("s", 0, 1), ("s", 0, 1)], "scene string, i long, j long")
+    ids = {k: [r[2] for r in rows if r[1] == k and r[2] != 999] for k in (0, 1)}
+    unit = {k: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.array([r[3] for r in rows if r[1] == k and r[2] != 999])) for k in (0, 1)}
+    s = np.abs(unit[0] @ unit[1].T)
+    want = {(ids[0][x], ids[1][y]) for x, y in zip(*np.nonzero(s > thr))}
+    assert 2 * rt.hash_bands(thr, 0.95, 9) <= 1 << 8  # the hashed form runs
+    rows = rt.similar_patches_hashed(p, pairs, thr, recall=0.95, bits=9).collect()
+    got = {(r["a"], r["b"]) for r in rows}
+    assert len(got) == len(rows) and got <= want and len(got) >= 0.95 * len(want)
+    assert {(900 + x, 900 + y) for x in range(20) for y in range(20)} <= got
+
+
+def test_hashed_patches_fall_back_to_the_exact_form(spark, glob):
+    df, s = glob
+    p = df.select("scene", (F.col("img_id") % 2).alias("img_id"), F.col("img_id").alias("patch"), "vec")
+    pairs = spark.createDataFrame([("s", 0, 1)], "scene string, i long, j long")
+    got = {(r["a"], r["b"]) for r in rt.similar_patches_hashed(p, pairs, 0.3).collect()}
+    assert got == {(a, b) for a in range(0, 14, 2) for b in range(1, 14, 2) if abs(s[a, b]) > 0.3}
+
+
 def test_least_breaks_ties_by_place():
     from sightline.operators.retrieval import _least
     d = np.array([[3.0, 1.0, 1.0, 1.0, 0.0], [2.0, 2.0, 2.0, 2.0, 2.0], [5.0, 4.0, 3.0, 2.0, 1.0]])

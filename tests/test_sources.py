@@ -86,10 +86,48 @@ def test_exact_draw_matches_numpy(spark):
     assert got == want[:10]
 
 
-def test_exact_draw_refuses_huge_scene(spark, split):
-    df = spark.createDataFrame([("room", str(i)) for i in range(30)], "scene string, path string")
-    with pytest.raises(ValueError):
-        readers.sample_frames(df, 3)
+def test_exact_draw_of_a_scene_above_the_group_limit(spark, split):
+    import hashlib
+    rows = [(s, f"{(7 * i) % n:04d}") for s, n in (("room", 300), ("hall", 4), ("one", 1)) for i in range(n)] + [("room", None), ("hall", "0001")]
+    df = spark.createDataFrame(rows, "scene string, path string").repartition(5)
+    got = {}
+    for r in readers.sample_frames(df, 20).orderBy("scene", "draw").collect():
+        got.setdefault(r["scene"], []).append(r["path"])
+    for scene in ("room", "hall", "one"):
+        want = sorted(p for s, p in rows if s == scene and p is not None)
+        seed = (777 + int(hashlib.sha256(scene.encode()).hexdigest(), 16)) % 2 ** 32
+        np.random.default_rng(seed).shuffle(want)
+        assert got[scene] == want[:20]
+    assert readers.sample_frames(df.limit(0), 3).count() == 0
+
+
+def test_fold_per_scene_isolates_errors_of_every_step(spark):
+    df = spark.createDataFrame([(s, i) for s in ("a", "b", "c", "d", None) for i in range(40)], "scene string, x long").repartition(9)
+
+    def update(state, pdf):
+        if pdf["scene"].iloc[0] == "b" and (pdf["x"] == 17).any():
+            raise RuntimeError("boom")
+        return (state[0] + len(pdf), state[1] + int(pdf["x"].sum()), pdf["scene"].iloc[0])
+
+    def merge(a, b):
+        if "c" in (a[2], b[2]):
+            raise KeyError("c")
+        return (a[0] + b[0], a[1] + b[1], a[2] or b[2])
+
+    def finish(state):
+        if state[2] == "d":
+            raise ValueError(f"{state[0]} rows")
+        return state[1]
+
+    def run(rows, on_error="skip"):
+        return batch.fold_per_scene(rows, lambda: (0, 0, None), update, merge, finish, on_error, fan_in=3).collect()
+
+    got = {r["scene"]: (r["status"], r["error"], r["result"]) for r in run(df)}
+    assert got == {"a": ("ok", None, "780"), None: ("ok", None, "780"), "b": ("failed", "RuntimeError: boom", None),
+                   "c": ("failed", "KeyError: 'c'", None), "d": ("failed", "ValueError: 40 rows", None)}
+    assert run(df.limit(0)) == []
+    with pytest.raises(Exception, match="boom"):
+        run(df.where("scene = 'b'"), "raise")
 
 
 def test_views_report_and_resume(spark, tmp_path):
