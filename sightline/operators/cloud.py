@@ -6,11 +6,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.camera import filter_conf, on_stride, project, unproject
+from sightline.functions.camera import filter_conf, let, on_stride, project, unproject
 from sightline.functions.pose import dot3, entries, pose_inv, pose_mul, transform
 from sightline.operators.accuracy import umeyama
 from sightline.operators.graph import components
@@ -88,23 +90,81 @@ def denoise_floating(pixels: DataFrame, views: DataFrame, radius: float = 0.005,
         *pixels.columns)
 
 
-def visible_in_others(pixels: DataFrame, views: DataFrame) -> DataFrame:
-    """Points of each image projected into the other images of the scene, kept where they land inside.
+TILE_SIDE = 16  # pixels of a side of the tiles whose depth ranges are compared with views
+_BOX = ("px", "py", "depth")
+
+
+def _seen(x: Column, y: Column, z: Column) -> list[Column]:
+    """A point of the source camera in the other one, from the motion of the pair."""
+    return [F.col(f"_r{3 * i}") * x + F.col(f"_r{3 * i + 1}") * y + F.col(f"_r{3 * i + 2}") * z + F.col(f"_t{i}") for i in range(3)]
 
-    The motion from one camera to the other is computed once per pair of views.
+
+def _may_meet(margin: float = 2.0) -> Column:
+    """Whether a box of pixels and depths can show up in the other view of the pair.
+
+    All points of the box lie in the hull of its eight corners, and the view is where five linear forms are positive;
+    a form that is positive at no corner is positive nowhere in the box. ``margin`` pixels make up for rounding.
     """
+    ends = {c: (F.col(f"_{c}0"), F.col(f"_{c}1")) for c in _BOX}
+    at = [F.struct(((px + 0.5 - F.col("_cx")) / F.col("_fx") * z).alias("x"), ((py + 0.5 - F.col("_cy")) / F.col("_fy") * z).alias("y"), z.alias("z"))
+          for px in ends["px"] for py in ends["py"] for z in ends["depth"]]
+    seen = F.transform(F.array(*at), lambda c: F.struct(*[v.alias(n) for v, n in zip(_seen(c["x"], c["y"], c["z"]), "xyz")]))
+    forms = (lambda c: c["z"],
+             lambda c: F.col("fx") * c["x"] + (F.col("cx") + margin) * c["z"],
+             lambda c: (F.col("width") + margin - F.col("cx")) * c["z"] - F.col("fx") * c["x"],
+             lambda c: F.col("fy") * c["y"] + (F.col("cy") + margin) * c["z"],
+             lambda c: (F.col("height") + margin - F.col("cy")) * c["z"] - F.col("fy") * c["y"])
+
+    def positive_somewhere(s: Column, form: Callable[[Column], Column]) -> Column:
+        return F.exists(s, lambda c: form(c) > 0)
+
+    return let(seen, lambda s: reduce(lambda p, q: p & q, [positive_somewhere(s, f) for f in forms]))
+
+
+def _boxes(rows: DataFrame, by: Sequence[str], low: str, high: str) -> DataFrame:
+    return rows.groupBy(*by).agg(*[F.min(low.format(c)).alias(f"_{c}0") for c in _BOX], *[F.max(high.format(c)).alias(f"_{c}1") for c in _BOX])
+
+
+def _tile() -> dict[str, Column]:
+    return {"_tx": F.floor(F.col("px") / TILE_SIDE), "_ty": F.floor(F.col("py") / TILE_SIDE)}
+
+
+def view_pairs(views: DataFrame) -> DataFrame:
+    """Ordered pairs of views of a scene with both cameras and the motion between them, as ``_r0`` to ``_t2``."""
     src = views.select("scene", "img_id", *[F.col(c).alias(f"_{c}") for c in K_COLS], F.col("cam2w").alias("_p"))
     dst = views.select("scene", F.col("img_id").alias("seen_in"), "width", "height", *K_COLS, pose_inv(F.col("cam2w")).alias("_q"))
     pair = src.join(dst, "scene").where(F.col("seen_in") != F.col("img_id"))
     r, t = entries(pose_mul(F.col("_q"), F.col("_p")))
-    # per pixel: seen = depth · (R·(px, py, 1 scaled by intrinsics)) + t
-    pair = pair.select("scene", "img_id", "seen_in", "width", "height", *K_COLS, *[f"_{c}" for c in K_COLS],
+    return pair.select("scene", "img_id", "seen_in", "width", "height", *K_COLS, *[f"_{c}" for c in K_COLS],
                        *[c.alias(f"_r{i}") for i, c in enumerate(r)], *[c.alias(f"_t{i}") for i, c in enumerate(t)])
-    rows = pixels.where(F.col("depth").isNotNull()).join(broadcast_if_small(pair), list(IMG))
+
+
+def meeting_tiles(pixels: DataFrame, pair: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of views that can meet, and (scene, img_id, _tx, _ty, seen_in) of tiles and views that can; both written.
+
+    Image boxes prune pairs of views first, tile boxes what is left; no pixel is multiplied by views before that. Pixels
+    without a finite depth are seen nowhere and enter no box.
+    """
+    sized = pixels.where(F.col("depth").isNotNull() & (F.abs("depth") < float("inf")))
+    tiles = cut(_boxes(sized.withColumns(_tile()), [*IMG, "_tx", "_ty"], "{}", "{}"))
+    views = cut(pair.join(_boxes(tiles, IMG, "_{}0", "_{}1"), list(IMG)).where(_may_meet()).select(*pair.columns))
+    met = tiles.join(broadcast_if_small(views), list(IMG)).where(_may_meet())
+    return views, cut(met.select(*IMG, "_tx", "_ty", "seen_in"))
+
+
+def visible_in_others(pixels: DataFrame, views: DataFrame) -> DataFrame:
+    """Points of each image projected into the other images of the scene, kept where they land inside.
+
+    The motion from one camera to the other is computed once per pair of views. Tiles of pixels with their depth ranges
+    meet views first, so that pixels are only multiplied by views that their tile can show up in.
+    """
+    pair, met = meeting_tiles(pixels, view_pairs(views))
+    # per pixel: seen = depth · (R·(px, py, 1 scaled by intrinsics)) + t
+    rows = pixels.where(F.col("depth").isNotNull()).withColumns(_tile()).join(met, [*IMG, "_tx", "_ty"])
+    rows = rows.join(broadcast_if_small(pair), [*IMG, "seen_in"])
     x, y = (F.col("px") + 0.5 - F.col("_cx")) / F.col("_fx"), (F.col("py") + 0.5 - F.col("_cy")) / F.col("_fy")
     rows = rows.withColumns({"_a": x * F.col("depth"), "_b": y * F.col("depth")})
-    seen = [F.col(f"_r{3 * i}") * F.col("_a") + F.col(f"_r{3 * i + 1}") * F.col("_b") + F.col(f"_r{3 * i + 2}") * F.col("depth") + F.col(f"_t{i}")
-            for i in range(3)]
+    seen = _seen(F.col("_a"), F.col("_b"), F.col("depth"))
     rows = rows.select(*IMG, "px", "py", "conf", "seen_in", "width", "height", *K_COLS,
                        *[c.alias(n) for c, n in zip(seen, ("_sx", "_sy", "d"))]).where("d > 0")
     u, v = project(F.col("_sx"), F.col("_sy"), F.col("d"), _k())

@@ -127,6 +127,37 @@ def test_carving_removes_point_in_front(spark):
     assert cloud.carved_points(sure, v).isEmpty() and not cloud.carved_points(sure, v, use_conf=False).isEmpty()
 
 
+def test_tiles_meet_only_views_they_can_show_up_in(spark):
+    rng = np.random.default_rng(5)
+    turn = lambda a: [float(np.cos(a)), 0.0, float(np.sin(a)), 0.0, 1.0, 0.0, -float(np.sin(a)), 0.0, float(np.cos(a))]
+    cams = [("s", i, 40, 36, 45.0, 45.0, 20.0, 18.0, (turn(2 * np.pi * i / 12), rng.normal(size=3).tolist())) for i in range(12)]
+    rows = [("s", i, x, y, float(np.exp(rng.normal()) * rng.choice([1, 1, 1, -1])), 1.0) for i in range(12) for x in range(0, 40, 3) for y in range(0, 36, 3)]
+    rows += [("s", 0, 1, 1, None, 1.0), ("s", 0, 1, 2, float("nan"), 1.0), ("s", 0, 2, 2, float("inf"), 1.0)]
+    g = spark.createDataFrame(rows, "scene string, img_id long, px long, py long, depth double, conf double")
+    v = spark.createDataFrame(cams, V)
+    got = {(r["img_id"], r["px"], r["py"], r["seen_in"]): (r["u"], r["v"]) for r in cloud.visible_in_others(g, v).collect()}
+    want = {}
+    for _, i, x, y, d, _ in rows:
+        if d is None or not np.isfinite(d):
+            continue
+        p = np.array(cams[i][8][0]).reshape(3, 3) @ (np.array([(x + 0.5 - 20) / 45, (y + 0.5 - 18) / 45, 1]) * d) + cams[i][8][1]
+        for _, j, *_, (r, t) in cams:
+            q = np.array(r).reshape(3, 3).T @ (p - t)
+            if i != j and q[2] > 0:
+                at = 45 * q[0] / q[2] + 20, 45 * q[1] / q[2] + 18
+                if -0.5 < at[0] < 40.5 and -0.5 < at[1] < 36.5:
+                    want[i, x, y, j] = at
+    assert got.keys() == want.keys() and len(want) > 500
+    assert all(got[k] == pytest.approx(w, abs=1e-6) for k, w in want.items())
+    # narrow depth ranges: most pairs of views and tiles are gone before a pixel is looked at
+    flat = g.where("depth > 0").withColumn("depth", F.lit(2.0))
+    still = v.withColumn("cam2w", F.struct(F.col("cam2w.r").alias("r"), F.array(*[F.lit(0.0)] * 3).alias("t")))
+    seen = cloud.visible_in_others(flat, still)
+    views, met = cloud.meeting_tiles(flat, cloud.view_pairs(still))
+    tried = flat.withColumns({"_tx": F.floor(F.col("px") / 16), "_ty": F.floor(F.col("py") / 16)}).join(met, ["scene", "img_id", "_tx", "_ty"]).count()
+    assert views.count() < 12 * 11 / 2 and seen.count() <= tried < 3 * seen.count() < flat.count() * 11
+
+
 def test_focal_of_exact_pointmap(spark):
     v = spark.createDataFrame([("s", 0, 12, 10, 30.0, 30.0, 6.0, 5.0, (EYE, [0.0] * 3))], V)
     rng = np.random.default_rng(0)
