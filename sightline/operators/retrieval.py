@@ -276,6 +276,30 @@ def top_similar(glob: DataFrame, k: int, past_only: bool = True, tile: int = 204
     return top_k(best, ["scene", "i"], [F.col("s").desc(), F.col("j")], k)
 
 
+def past_similar(glob: DataFrame, k: int, queries: DataFrame | None = None, tile: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(scene, i, j, s) with the k past images most similar to each image by cosine, and (scene, low), the least cosine met.
+
+    One pass of tile-wise products gives both: a pair of tiles keeps k cells per row and its least cell. ``queries``
+    (scene, i) limits the images asked for; ``low`` then only covers theirs.
+    """
+    left = glob.select("scene", F.col("img_id").alias("i"), "vec")
+    right = glob.select("scene", F.col("img_id").alias("j"), "vec")
+    if queries is not None:
+        left = left.join(queries.select("scene", "i"), ["scene", "i"], "left_semi")
+
+    def keep(s: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        past = y["j"].to_numpy()[None, :] < x["i"].to_numpy()[:, None]
+        masked = np.where(past, s, -np.inf)
+        order = np.argsort(-masked, axis=1, kind="stable")[:, :k]
+        chosen = np.zeros_like(past)
+        np.put_along_axis(chosen, order, True, axis=1)
+        chosen.ravel()[np.where(past, s, np.inf).argmin()] = True
+        return np.nonzero(chosen & past)
+
+    kept = cut(_tiles(left, right, ["scene"], ["i"], ["j"], tile, keep))
+    return top_k(kept, ["scene", "i"], [F.col("s").desc(), F.col("j")], k), kept.groupBy("scene").agg(F.min("s").alias("low"))
+
+
 def similar_patches(patches: DataFrame, pairs: DataFrame, thr: float | None = None, cap: int | None = None,
                     tile: int = 2048) -> DataFrame:
     """(scene, i, j, a, b, s): patch pairs of the listed image pairs whose absolute cosine exceeds ``thr``.

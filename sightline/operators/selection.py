@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.camera import array_dot, let
+from sightline.functions.camera import array_dot, let, normalise
 from sightline.functions.pose import clip
 from sightline.operators.clustering import coreset_hclust_past
 from sightline.operators.ordered import cap_pairs, pairs_within, row_number, sum_vectors, top_k
-from sightline.operators.retrieval import dimension
-from sightline.scale import cut
+from sightline.operators.retrieval import dimension, past_similar
+from sightline.scale import broadcast_if_small, cut
 
 TINY = 1e-6
 Group = ["scene", "query"]
@@ -89,6 +91,79 @@ def diverse(sim: DataFrame, k: int, kind: str = "max", diag: float = 1.0) -> Dat
     return chosen if chosen is not None else cand.select(*Group, "img_id").limit(0)
 
 
+def diverse_by_descriptor(glob: DataFrame, k: int, kind: str = "max", diag: float = 1.0, width: int | None = None,
+                          widest: int = 4096, tile: int = 2048) -> DataFrame:
+    """``diverse`` on cosines of the descriptors, without a table of all pairs.
+
+    A candidate's score never exceeds its similarity to the query. So each query is decided on its ``width`` most
+    similar past frames (8 k by default) whenever every winner scores above the least similar of them; what lies
+    outside then can't have won. Queries that this doesn't prove are asked again four times as wide, and those
+    undecided at ``widest`` go through ``diverse``. Cosines are rounded to twelve digits, so equal frames tie.
+    """
+    unit = cut(glob.select("scene", "img_id", normalise(F.col("vec").cast("array<double>")).alias("vec")))
+    width = max(k, width or 8 * k)
+    top, low = past_similar(unit, width, tile=tile)
+    low = cut(low.select("scene", F.least("low", F.lit(diag)).alias("low")))
+    types = {f.name: f.dataType.simpleString() for f in unit.schema.fields}
+    schema = f"scene {types['scene']}, query {types['img_id']}, img_id {types['img_id']}"
+    cosine = lambda c: F.round(c, 12)
+
+    def choose(width: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("j")
+            ids, vecs, base = pdf["j"].to_numpy(), np.stack(pdf["vec"].to_numpy()), float(pdf["low"].iloc[0])
+            norm = lambda x: np.clip((x - base + TINY) / (diag - base + TINY), 0, 1)
+            near = np.maximum(norm(pdf["s"].to_numpy()), TINY)
+            bound = -1.0 if len(ids) < width else float(near.min()) + 1e-9
+            acc, free, chosen = np.zeros(len(ids)), np.ones(len(ids), bool), []
+            while len(chosen) < min(k, len(ids)):
+                n = max(len(chosen), 1)
+                agg = {"max": acc, "avg": acc / n, "rmse": np.sqrt(acc / n)}[kind]
+                score = np.where(free, near * np.maximum(1 - agg, TINY) if chosen else near, -1.0)
+                best = int(score.argmax())
+                if score[best] <= bound:
+                    return pd.DataFrame({"scene": [key[0]], "query": [key[1]], "img_id": pd.Series([None], dtype="Int64")})
+                chosen.append(best)
+                free[best] = False
+                r = norm(np.round((vecs * vecs[best]).sum(1), 12))
+                acc = np.maximum(acc, r) if kind == "max" else acc + (r if kind == "avg" else r * r)
+            return pd.DataFrame({"scene": key[0], "query": key[1], "img_id": ids[chosen]})
+        return pick
+
+    chosen: DataFrame | None = None
+    while True:
+        cand = top.join(unit.withColumnRenamed("img_id", "j"), ["scene", "j"]).join(low, "scene").withColumn("s", cosine("s"))
+        tried = cut(cand.groupBy("scene", "i").applyInPandas(choose(width), schema))
+        sure = tried.where(F.col("img_id").isNotNull())
+        chosen = sure if chosen is None else chosen.unionByName(sure)
+        open_ = tried.where(F.col("img_id").isNull()).select("scene", "query")
+        if open_.isEmpty():
+            return chosen
+        width *= 4
+        if width > widest:
+            sim = cut(similarity(unit).withColumn("s", cosine("s")))
+            return chosen.unionByName(diverse(sim, k, kind, diag).join(open_, Group, "left_semi").select(*chosen.columns))
+        top, _ = past_similar(unit, width, open_.select("scene", F.col("query").alias("i")), tile)
+
+
+def coreset_fps_by_descriptor(glob: DataFrame, n: int) -> DataFrame:
+    """``coreset_fps`` on cosines of the descriptors: a round needs the descriptor of the frame chosen last, not its row of a matrix."""
+    dist = glob.select("scene", "img_id", normalise(F.col("vec").cast("array<double>")).alias("vec"), F.lit(float("inf")).alias("d"))
+    start = unit_hash(F.col("scene").cast("string"), F.col("img_id").cast("string"))
+    chosen: DataFrame | None = None
+    for step in range(n):
+        order = F.struct(start if step == 0 else -F.col("d"), F.col("img_id"))
+        best = cut(dist.groupBy("scene").agg(F.min_by(F.struct("img_id", "vec"), order).alias("b"))
+                   .select("scene", F.col("b.img_id").alias("img_id"), F.col("b.vec").alias("vec"), F.lit(step).alias("step")))
+        chosen = best if chosen is None else chosen.unionByName(best)
+        if step == n - 1 or best.isEmpty():
+            break
+        near = broadcast_if_small(best.select("scene", F.col("img_id").alias("_c"), F.col("vec").alias("_v")))
+        away = F.round(1 - array_dot(F.col("vec"), F.col("_v")), 12)
+        dist = cut(dist.join(near, "scene").where(F.col("img_id") != F.col("_c")).select("scene", "img_id", "vec", F.least("d", away).alias("d")))
+    return (chosen if chosen is not None else dist.select("scene", "img_id", F.lit(0).alias("step")).limit(0)).select("scene", "img_id", "step")
+
+
 def coreset_fps(sim: DataFrame, frames: DataFrame, n: int) -> DataFrame:
     """(scene, img_id, step): n frames far from each other on 1 − s, from a start drawn by hash.
 

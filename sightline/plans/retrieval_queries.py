@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sightline.functions.camera import let
 from sightline.operators import clustering, retrieval, selection
 from sightline.operators.ordered import sum_vectors
-from sightline.plans.catalog import query, rnd
+from sightline.plans.catalog import ORACLES, query, rnd
 from sightline.plans.standins import DESC, Tables, r6
 from sightline.scale import cut
 
@@ -290,3 +290,21 @@ def _(t: Tables) -> DataFrame:
     w = v.select("scene", F.lit(1).alias("img_id"), "patch", F.zip_with("vec", turned, lambda x, y: sign * (x + 0.3 * y)).alias("vec"))
     pairs = v.select("scene").distinct().select("scene", F.lit(0).alias("i"), F.lit(1).alias("j"))
     return retrieval.similar_patches_hashed(v.unionByName(w), pairs, 0.8).select("scene", "i", "j", "a", "b", rnd("s"))
+
+
+# the greedy strategies on cosines, from the descriptors alone
+def _on_cosines(sql: str) -> str:
+    unit = DESC[len("WITH "):] if DESC.startswith("WITH ") else DESC
+    sim = ("sim AS MATERIALIZED (SELECT a.scene, a.img_id AS i, b.img_id AS j, round(list_inner_product(a.vec, b.vec)/sqrt(list_inner_product(a.vec, a.vec)*list_inner_product(b.vec, b.vec)), 12) AS s "
+           "FROM descr a JOIN descr b ON a.scene = b.scene AND b.img_id < a.img_id)")
+    return sql.replace(SIM, f"{unit}, {sim}", 1)
+
+
+for _kind, _k in (("max", 4), ("avg", 3), ("rmse", 3)):
+    query(f"diverse_by_descriptor_{_kind}", _on_cosines(_diverse_sql(_kind, _k)))(
+        lambda t, kind=_kind, k=_k: selection.diverse_by_descriptor(t.desc(), k, kind))
+
+
+@query("farthest_point_by_descriptor", _on_cosines(ORACLES["farthest_point_coreset"]))
+def _(t: Tables) -> DataFrame:
+    return selection.coreset_fps_by_descriptor(t.desc(), 4)

@@ -135,6 +135,31 @@ def test_farthest_points(spark, glob):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["max", "avg", "rmse"])
+def test_diverse_by_descriptor_equals_matrix_form(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5))
+    x[30], x[20] = x[3], 0.0  # equal frames, and one without direction
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    rows = [("s", i, v.tolist()) for i, v in enumerate(x)] + [("t", 5, [1.0] * 5), ("t", 9, [0.5] * 5), ("u", 1, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "scene string, img_id long, vec array<double>")
+    unit = df.withColumn("vec", F.expr("transform(vec, v -> v / greatest(sqrt(aggregate(vec, 0D, (a, w) -> a + w*w)), 1e-12D))"))
+    want = {tuple(r) for r in sel.diverse(sel.similarity(unit).withColumn("s", F.round("s", 12)), 3, kind).collect()}
+    for width, widest in ((None, 4096), (4, 4096), (4, 4)):  # enough at once; asked again wider; the rest by the matrix
+        got = [tuple(r) for r in sel.diverse_by_descriptor(df, 3, kind, width=width, widest=widest, tile=16).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert sel.diverse_by_descriptor(df.limit(0), 3, kind).count() == 0
+
+
+def test_farthest_points_by_descriptor(spark, glob):
+    df, _ = glob
+    want = [tuple(r) for r in sel.coreset_fps(sel.similarity(df), df.select("scene", "img_id"), 5).orderBy("step").collect()]
+    more = df.unionByName(df.where("img_id < 2").withColumn("scene", F.lit("small")))
+    got = sel.coreset_fps_by_descriptor(more, 5).orderBy("step")
+    assert [tuple(r) for r in got.where("scene = 's'").collect()] == want
+    assert sorted(r["img_id"] for r in got.where("scene = 'small'").collect()) == [0, 1]
+
+
 def test_modes_and_keyframes(spark, glob):
     df, s = glob
     frames, sim = df.select("scene", "img_id"), sel.similarity(df)
