@@ -16,14 +16,10 @@ from sightline.scale import cut
 DIM = 64  # of the embeddings table
 
 
-def _first(n: int = 4, name: str = "vec") -> list:
+def _components(n: int = DIM, name: str = "vec") -> list:
     return [rnd(F.col(name)[i], f"v{i}") for i in range(n)]
 
 
-def _first_sql(n: int = 4, name: str = "vec") -> str:
-    return ", ".join(r6(f"{name}[{i + 1}]", f"v{i}") for i in range(n))
-
-
 POS = "pos AS (SELECT unnest(range(1, 65)) AS p)"
 BOOK = f"""{POS}, book AS (SELECT word, list(m ORDER BY p) AS vec FROM (SELECT label AS word, p, avg(embedding[p]::DOUBLE) AS m FROM embeddings, pos GROUP BY ALL) GROUP BY word)"""
 
@@ -36,19 +32,19 @@ def _book(t: Tables) -> DataFrame:
 
 
 @query("normalised_descriptors", f"""WITH {DESC} SELECT img_id, {r6('sqrt(list_inner_product(vec, vec))', 'attention')},
-{', '.join(r6(f'vec[{i + 1}]/sqrt(list_inner_product(vec, vec))', f'v{i}') for i in range(4))} FROM descr""")
+{', '.join(r6(f'vec[{i + 1}]/sqrt(list_inner_product(vec, vec))', f'v{i}') for i in range(DIM))} FROM descr""")
 def _(t: Tables) -> DataFrame:
     from sightline.functions.camera import array_norm, normalise
     return t.desc().select("img_id", rnd(array_norm(F.col("vec")), "attention"), normalise(F.col("vec")).alias("vec")).select(
-        "img_id", "attention", *_first())
+        "img_id", "attention", *_components())
 
 
 @query("whiten_descriptors", f"""WITH {DESC}, {POS}, z AS (SELECT img_id, j.p AS j, sum((vec[i.p] - (i.p - 1)*0.01::DOUBLE)*((((i.p - 1)*7 + (j.p - 1)*3) % 11) - 5)/10) AS z
-FROM descr, pos i, pos j WHERE j.p <= 4 GROUP BY ALL) SELECT img_id, {', '.join(r6(f'max(z) FILTER (WHERE j = {i + 1})', f'v{i}') for i in range(4))} FROM z GROUP BY img_id""")
+FROM descr, pos i, pos j GROUP BY ALL) SELECT img_id, {', '.join(r6(f'max(z) FILTER (WHERE j = {i + 1})', f'v{i}') for i in range(DIM))} FROM z GROUP BY img_id""")
 def _(t: Tables) -> DataFrame:
     i = np.arange(DIM)
     proj = ((i[:, None] * 7 + i[None, :] * 3) % 11 - 5) / 10
-    return retrieval.whiten(t.desc().select("img_id", "vec"), i * 0.01, proj).select("img_id", *_first())
+    return retrieval.whiten(t.desc().select("img_id", "vec"), i * 0.01, proj).select("img_id", *_components())
 
 
 @query("pca_whitening")
@@ -60,9 +56,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("pooled_scene_descriptor", f"""WITH {DESC}, {POS}, s AS (SELECT scene, p, sum(vec[p]*attn) AS v FROM descr, pos GROUP BY ALL),
-l AS (SELECT scene, list(v ORDER BY p) AS vec FROM s GROUP BY scene) SELECT scene, {', '.join(r6(f'vec[{i + 1}]/sqrt(list_inner_product(vec, vec))', f'v{i}') for i in range(4))} FROM l""")
+l AS (SELECT scene, list(v ORDER BY p) AS vec FROM s GROUP BY scene) SELECT scene, {', '.join(r6(f'vec[{i + 1}]/sqrt(list_inner_product(vec, vec))', f'v{i}') for i in range(DIM))} FROM l""")
 def _(t: Tables) -> DataFrame:
-    return retrieval.spoc(t.desc(), DIM, ["scene"]).select("scene", *_first())
+    return retrieval.spoc(t.desc(), DIM, ["scene"]).select("scene", *_components())
 
 
 @query("select_local_descriptors", f"""WITH {DESC} SELECT scene, img_id AS feat_id FROM descr QUALIFY row_number() OVER (PARTITION BY scene ORDER BY attn DESC, img_id) <= 7""")

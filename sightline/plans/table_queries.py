@@ -82,18 +82,25 @@ def _scene(t: Tables) -> tuple[DataFrame, refine.Scene]:
     return t.obs(), refine.Scene(imgs, t.cameras(), t.nodes(), t.points().withColumn("z", F.col("z") + 4))
 
 
+def _by_row(blocks: DataFrame, keys: list[str], width: int = 11) -> DataFrame:
+    """Blocks as one row per matrix row, with its entries as columns."""
+    cell = lambda k: F.get("vec", F.col("row") * width + k)
+    rows = blocks.select(*keys, "vec", F.explode(F.sequence(F.lit(0), F.expr(f"size(vec) div {width} - 1").cast("int"))).alias("row"))
+    return rows.select(*keys, "row", *[rnd(cell(k), f"c{k}", 4) for k in range(width)])
+
+
 @query("normal_equation_blocks")
 def _(t: Tables) -> DataFrame:
     o, s = _scene(t)
     b = refine.normal_blocks(refine.system_rows(o, s), refine.Phase(), 3, eliminate=False)
-    return b.select("scene", "i", *[rnd(F.get("vec", F.lit(k * 12)), f"h{k}", 4) for k in range(11)], *[rnd(F.get("vec", F.lit(121 + k)), f"g{k}", 4) for k in range(11)])
+    return _by_row(b, ["scene", "i"])  # row 11 is the gradient
 
 
 @query("reduced_normal_equations")
 def _(t: Tables) -> DataFrame:
     o, s = _scene(t)
     b = refine.normal_blocks(refine.system_rows(o, s), refine.Phase(), 3)
-    return b.select("scene", "i", "j", *[rnd(F.get("vec", F.lit(k * 12)), f"s{k}", 4) for k in range(11)])
+    return _by_row(b, ["scene", "i", "j"])
 
 
 def _soft(axis: str) -> str:
@@ -127,4 +134,5 @@ def _(t: Tables) -> DataFrame:
     o, v = cut(_spots(t).drop("width", "height")), cut(t.views())
     pts = cut(cloud.unproject_pixels(t.pixels(), v, world=False))
     out = initial.initial_poses(o, pts, v)
-    return out.select("scene", "img_id", rnd("s", digits=4), *[rnd(F.col("t")[k], f"t{k}", 4) for k in range(3)])
+    return out.select("scene", "img_id", rnd("s", digits=4), *[rnd(F.col("t")[k], f"t{k}", 4) for k in range(3)],
+                      *[rnd(F.col("r")[k], f"r{k}", 4) for k in range(9)])

@@ -81,13 +81,22 @@ class OnlineTracks:
     """Growing track store: drop old tracks that new ones cover, append, cap, and attach every new frame.
 
     Each frame is attached to the past frame, of its own batch or before, that shares most tracks with it, and gets one
-    event, in the batch that brings it first. Covered and capped tracks are dropped once per batch. The store of a batch holds the full observations of the scenes the batch touched; other scenes stay
-    where they were last written.
+    event, in the batch that brings it first. The store of a batch holds the full observations of the scenes the batch
+    touched; other scenes stay where they were last written.
+
+    What a batch must hold depends on ``ids``. With ``batch`` (the form of a matcher that is run per batch) track ids mean
+    something inside the batch only, so its tracks bring their observations in past frames again; stored tracks they
+    cover are dropped, capped ones once per batch. A batch of new frames alone shares no track with the past then. With
+    ``global`` a track keeps its id in the whole scene, and a batch may hold its new observations alone: they join the
+    stored track, no track is dropped for being covered, and an observation that came before is kept as it was. Without
+    the cap, events then don't depend on how the feed is cut, if frames come in order.
     """
 
     def __init__(self, spark: SparkSession, folder: str, num_keep: int, thr: float = 5.0, gba_step: int = 10,
-                 on_frame: Callable[[DataFrame, int], None] | None = None) -> None:
-        self.num_keep, self.thr, self.gba_step, self.on_frame = num_keep, thr, gba_step, on_frame
+                 on_frame: Callable[[DataFrame, int], None] | None = None, ids: str = "batch") -> None:
+        if ids not in ("batch", "global"):
+            raise ValueError(f"ids must be 'batch' or 'global', not {ids!r}")
+        self.num_keep, self.thr, self.gba_step, self.on_frame, self.ids = num_keep, thr, gba_step, on_frame, ids
         self.schema = "scene long, img_id long, track_id long, u double, v double"
         self.store = BatchTable(spark, f"{folder}/tracks", self.schema + ", version long")
         self.events = BatchTable(spark, f"{folder}/events", "scene long, img_id long, attached_to long, n_matches long, mode string, n_tracks long")
@@ -104,8 +113,12 @@ class OnlineTracks:
             return
         touched = new.select("scene").distinct()
         old = self.current(before=batch).join(touched, "scene", "left_semi")
-        kept = remove_tracks(old, cut(duplicated(old, new, self.thr)))
-        merged = cut(cap_tracks(union_tracks(kept, new), self.num_keep))
+        if self.ids == "global":
+            place = ["scene", "img_id", "track_id"]
+            joined = old.unionByName(new.dropDuplicates(place).join(old, place, "left_anti"))
+        else:
+            joined = union_tracks(remove_tracks(old, cut(duplicated(old, new, self.thr))), new)
+        merged = cut(cap_tracks(joined, self.num_keep))
         self.store.write(merged.withColumn("version", F.lit(batch).cast("long")), batch)
         frames = cut(new.select("scene", "img_id").distinct().join(self.events.read(before=batch), ["scene", "img_id"], "left_anti"))
         at = attach_frames(merged, frames.withColumnRenamed("img_id", "j")).select("scene", F.col("j").alias("img_id"), F.col("i").alias("attached_to"), "n_matches")

@@ -75,6 +75,27 @@ def test_every_frame_of_a_batch_is_attached(spark, tmp_path, per_batch):
     assert sorted(feed) == sorted(want)
 
 
+@pytest.mark.parametrize("per_batch", [1, 3, 8])
+def test_global_ids_take_new_observations_alone(spark, tmp_path, per_batch):
+    S = "scene long, img_id long, track_id long, u double, v double"
+    seen = {0: [0, 1], 1: [0, 1, 2], 2: [2, 3], 3: [0, 1, 3], 4: [9], 5: [3, 9], 6: [0, 2], 7: [0, 1, 3]}
+    body = online.OnlineTracks(spark, str(tmp_path), 1000, thr=0.5, ids="global")
+    for batch, lo in enumerate(range(0, 8, per_batch)):
+        rows = [(s, i, t, 50.0 * t + i, 9.0 * i) for s in (0, 1) for i in range(lo, min(8, lo + per_batch)) for t in seen[i]]
+        again = [(0, 0, 0, -1.0, -1.0)] if batch else []  # came before: kept as it was
+        body(spark.createDataFrame(rows + rows[:2] + again, S), batch)
+    shared = {j: {i: len(set(seen[i]) & set(seen[j])) for i in range(j)} for j in seen}
+    best = {j: max(c, key=lambda i: (c[i], -i)) if any(c.values()) else None for j, c in shared.items()}
+    tracks_by = {j: len({t for i in range(j + 1) for t in seen[i]}) for j in seen}
+    feed = [tuple(r) for r in body.events.read().select("scene", "img_id", "attached_to", "n_matches", "n_tracks").collect()]
+    want = [(s, j, best[j], shared[j][best[j]] if best[j] is not None else None, tracks_by[j]) for s in (0, 1) for j in seen]
+    assert sorted(feed, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    obs = {tuple(r) for r in body.current().select("scene", "img_id", "track_id", "u", "v").collect()}
+    assert obs == {(s, i, t, 50.0 * t + i, 9.0 * i) for s in (0, 1) for i in seen for t in seen[i]}
+    with pytest.raises(ValueError, match="global"):
+        online.OnlineTracks(spark, str(tmp_path), 10, ids="mine")
+
+
 def test_every_nth_running_size_and_timings(spark, tmp_path):
     F_ = "scene long, img_id long, height int, width int, stage string, seconds double"
     rows = [(k % 2, k, 100 + k, 200 - k, "match" if k % 3 else "depth", float(k)) for k in range(12)]
