@@ -134,45 +134,170 @@ def _nearest(keys: list[str], words: np.ndarray, centres: np.ndarray, k: int) ->
     return assign
 
 
-def quantise(desc: DataFrame, codebook: DataFrame, k: int = 1, keys: Sequence[str] = ("scene", "img_id", "feat_id")) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * x @ y.T, 0))
+
+
+def _by_nearness(points: np.ndarray, ids: np.ndarray, leaf: int = 2) -> list[int]:
+    """``ids`` in an order that keeps near points together: halves along the line to a far point, again and again."""
+    if len(ids) <= leaf:
+        return ids.tolist()
+    x = points[ids]
+    one = ((x - x[0]) ** 2).sum(1).argmax()
+    other = ((x - x[one]) ** 2).sum(1).argmax()
+    at = np.argsort(x @ (x[other] - x[one]), kind="stable")
+    half = len(ids) // 2
+    return _by_nearness(points, ids[at[:half]], leaf) + _by_nearness(points, ids[at[half:]], leaf)
+
+
+class PivotTree:
+    """Two levels over a large codebook: slices, which travel to the descriptors, hold cells of near words.
+
+    Pivots are words themselves. A word belongs to the cell of its nearest pivot and lies between ``low`` and ``high``
+    from it. Neighbouring cells share a slice of about ``limit`` words; a cell above that is spread over several.
+    """
+
+    def __init__(self, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray, limit: int) -> None:
+        self.pivots, self.low, self.high, self.count = pivots, low, high, count
+        self.between = _distances(pivots, pivots)
+        self.first, self.parts = np.zeros(len(pivots), int), np.ones(len(pivots), int)
+        at, room = 0, limit
+        for c in _by_nearness(pivots, np.arange(len(pivots))):
+            if count[c] > room and room < limit:
+                at, room = at + 1, limit
+            self.first[c], self.parts[c] = at, max(1, -(-int(count[c]) // limit))
+            at, room = (at, room - count[c]) if count[c] <= limit else (at + self.parts[c], limit)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The cell each row is looked for first."""
+        return np.where(self.count > 0, _distances(x, self.pivots), np.inf).argmin(1)
+
+    def may_hold(self, x: np.ndarray, within: np.ndarray, k: int) -> np.ndarray:
+        """Cells that may hold one of the k nearest words of each row, of which k are known ``within`` a distance.
+
+        By the triangle inequality no word of a cell is nearer than d - high or low - d, with d from row to pivot, and
+        none is nearer than the plane between its pivot and the row's nearest pivot. Rounding gets some slack.
+        """
+        d = _distances(x, self.pivots)
+        if k <= len(self.pivots):
+            within = np.minimum(within, np.partition(d, k - 1, axis=1)[:, k - 1])
+        near = d.argmin(1)
+        gap = self.between[near]
+        plane = np.where(gap > 0, (d ** 2 - d.min(1)[:, None] ** 2) / np.where(gap > 0, 2 * gap, 1), 0)
+        bound = np.maximum(np.maximum(d - self.high, self.low - d), plane)
+        slack = 1e-6 * (1 + np.sqrt((x ** 2).sum(1)) + np.sqrt((self.pivots ** 2).sum(1)).max())
+        return (self.count > 0) & (bound <= (within + slack)[:, None])
+
+
+def pivot_tree(book: DataFrame, limit: int) -> tuple[PivotTree, DataFrame]:
+    """The tree of ``book(word, vec)`` and its words with cell and slice: word, vec, cell, slice.
+
+    Some sixteen pivots a slice, at most ``limit`` and 4096, are the words of least hash; they and two distances per
+    cell are all that reaches the driver.
+    """
+    n = book.count()
+    want = max(2, min(4096, 16 * -(-n // limit), limit))
+    got = book.orderBy(F.xxhash64("word", "vec"), "word").limit(want).collect()
+    pivots = np.unique(np.array([r["vec"] for r in got]), axis=0)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), TILE):
+                part = pdf.iloc[at:at + TILE]
+                d = _distances(np.stack(part["vec"].to_numpy()).astype(float), pivots)
+                yield part.assign(cell=d.argmin(1), r=d.min(1))
+
+    words = cut(book.mapInPandas(place, "word long, vec array<double>, cell long, r double"))
+    low, high, count = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), int)
+    for r in words.groupBy("cell").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect():
+        low[r["cell"]], high[r["cell"]], count[r["cell"]] = r["low"], r["high"], r["n"]
+    tree = PivotTree(pivots, low, high, count, limit)
+    places = book.sparkSession.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(tree.first, tree.parts))],
+                                               "cell long, first long, parts long")
+    placed = words.join(F.broadcast(places), "cell").withColumn("slice", F.col("first") + F.pmod(F.hash("word"), F.col("parts")))
+    return tree, placed.select("word", "vec", "cell", "slice")
+
+
+def route(rows: DataFrame, tree: PivotTree, k: int, known: bool) -> DataFrame:
+    """One row per descriptor and slice to be searched, with the cells there.
+
+    Without ``known`` that is the home cell alone (of a spread cell its first slice). With it, rows bring ``tau``, the
+    distance within which k words are known, and go to what else may hold nearer ones.
+    """
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "tau"] + [T.StructField("slice", T.LongType()),
+                                                                                 T.StructField("cells", T.ArrayType(T.LongType()))])
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), TILE):
+                part = pdf.iloc[lo:lo + TILE].reset_index(drop=True)
+                x = np.stack(part["vec"].to_numpy()).astype(float)
+                home = tree.home(x)
+                if not known:
+                    yield part.assign(slice=tree.first[home], cells=[[c] for c in home])
+                    continue
+                row, cell = np.nonzero(tree.may_hold(x, part.pop("tau").to_numpy(), k))
+                times = tree.parts[cell]
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                seen = (home[row] == cell) & (nth == 0)
+                todo = pd.DataFrame({"row": row, "slice": tree.first[cell] + nth, "cell": cell})[~seen]
+                todo = todo.groupby(["row", "slice"])["cell"].agg(list).reset_index()
+                yield part.iloc[todo["row"]].reset_index(drop=True).assign(slice=todo["slice"], cells=todo["cell"])
+
+    return rows.mapInPandas(send, schema)
+
+
+def _search(routed: DataFrame, words: DataFrame, keys: list[str], fields: list[T.StructField], k: int, groups: int) -> DataFrame:
+    """The k nearest words of each routed row in its cells of its slice; ``tau`` is the k-th distance, on one of the rows."""
+    schema = T.StructType([*fields, T.StructField("tau", T.DoubleType()), T.StructField("lead", T.BooleanType())])
+    left = routed.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    right = words.withColumn("_rg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
+        a["_row"] = np.arange(len(a))
+        row, cell = np.repeat(a["_row"].to_numpy(), a["cells"].map(len)), np.concatenate(a["cells"].to_numpy())
+        found = []
+        for c, g in b.sort_values("word").groupby("cell"):
+            fn = _nearest([*keys, "_row"], g["word"].to_numpy(), np.stack(g["vec"].to_numpy()), k)
+            found.extend(fn(iter([a.iloc[row[cell == c]]])))
+        out = pd.concat(found, ignore_index=True).sort_values(["_row", "dist", "word"])
+        nth = out.groupby("_row").cumcount()
+        out, nth = out[nth < k], nth[nth < k]
+        full = out.groupby("_row")["dist"].transform("size") == k
+        out["tau"] = np.where(full, out.groupby("_row")["dist"].transform("max"), np.inf)
+        out["lead"] = nth == 0
+        return out[[f.name for f in schema.fields]]
+
+    return left.groupBy("_g", "slice").cogroup(right.groupBy("_rg", "slice")).applyInPandas(meet, schema)
+
+
+def quantise(desc: DataFrame, codebook: DataFrame, k: int = 1, keys: Sequence[str] = ("scene", "img_id", "feat_id"),
+             slice_words: int | None = None) -> DataFrame:
     """The k nearest words of each descriptor by exact L2 distance: keys, vec, word, dist.
 
-    A codebook within the broadcast limit is shipped to every task and compared by matrix product. A
-    larger one is cut into slices that meet groups of descriptors by co-grouping, and the best of all
-    slices are merged.
+    A codebook of at most ``slice_words`` words (default: what the broadcast limit holds) is shipped to every task and
+    compared by matrix product. A larger one is searched through a ``PivotTree``: each descriptor meets its home cell, and
+    then only the slices and cells that its distances to the pivots can't rule out. ``keys`` must be unique there.
     """
     keys = list(keys)
     dim = dimension(codebook)
     fields = [desc.schema[c] for c in keys] + [T.StructField("vec", T.ArrayType(T.DoubleType())),
                                                T.StructField("word", T.LongType()), T.StructField("dist", T.DoubleType())]
-    schema = T.StructType(fields)
     rows = desc.select(*keys, F.col("vec").cast("array<double>").alias("vec"))
-    limit = max(1, max_broadcast_bytes(desc.sparkSession) // (8 * max(dim, 1)))
+    limit = slice_words or max(1, max_broadcast_bytes(desc.sparkSession) // (8 * max(dim, 1)))
     book = codebook.select(F.col("word").cast("long").alias("word"), F.col("vec").cast("array<double>").alias("vec"))
-    n_words = book.count()
-    if n_words <= limit:
+    if book.count() <= limit:
         got = sorted(collect_bounded(book, limit, "codebook"), key=lambda r: r["word"])
         words, centres = np.array([r["word"] for r in got]), np.array([r["vec"] for r in got])
-        found = rows.mapInPandas(_nearest(keys, words, centres, k), schema)
-    else:
-        slices = -(-n_words // limit)
-        groups = pair_partitions(desc)
-        left = rows.withColumns({"_g": F.pmod(F.xxhash64(*keys), F.lit(groups)),
-                                 "_s": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
-        right = book.select(F.col("word").alias("word"), F.col("vec").alias("vec"),
-                            F.pmod(F.hash("word"), F.lit(slices)).alias("_rs"),
-                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_rg"))
-
-        def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({f.name: pd.Series(dtype=object) for f in fields})
-            b = b.sort_values("word")
-            fn = _nearest(keys, b["word"].to_numpy(), np.stack(b["vec"].to_numpy()), k)
-            return pd.concat(fn(iter([a])), ignore_index=True)
-
-        found = left.groupBy("_g", "_s").cogroup(right.groupBy("_rg", "_rs")).applyInPandas(meet, schema)
-        found = top_k(found, keys, [F.col("dist"), F.col("word")], k)
-    return found
+        return rows.mapInPandas(_nearest(keys, words, centres, k), T.StructType(fields))
+    tree, words = pivot_tree(book, limit)
+    groups = pair_partitions(desc)
+    near = cut(_search(route(rows, tree, k, False), words, keys, fields, k, groups))
+    more = _search(route(near.where("lead").select(*keys, "vec", "tau"), tree, k, True), words, keys, fields, k, groups)
+    return top_k(near.unionByName(more).drop("tau", "lead"), keys, [F.col("dist"), F.col("word")], k)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

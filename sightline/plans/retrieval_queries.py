@@ -76,13 +76,22 @@ def _(t: Tables) -> DataFrame:
     return retrieval.sample_features(t.desc().withColumnRenamed("img_id", "feat_id"), 9, ["scene"]).select("scene", "feat_id")
 
 
-@query("nearest_codebook_words", f"""WITH {DESC}, {BOOK} SELECT img_id, word, {r6('sqrt(list_sum([(vec_a[i]-vec_b[i])*(vec_a[i]-vec_b[i]) FOR i IN range(1, 65)]))', 'dist')}
-FROM (SELECT img_id, word, d.vec AS vec_a, b.vec AS vec_b, row_number() OVER (PARTITION BY img_id ORDER BY list_distance(d.vec, b.vec), word) AS rn FROM descr d, book b) WHERE rn <= 3""")
+NEAREST_WORDS = f"""WITH {DESC}, {BOOK} SELECT img_id, word, {r6('sqrt(list_sum([(vec_a[i]-vec_b[i])*(vec_a[i]-vec_b[i]) FOR i IN range(1, 65)]))', 'dist')}
+FROM (SELECT img_id, word, d.vec AS vec_a, b.vec AS vec_b, row_number() OVER (PARTITION BY img_id ORDER BY list_distance(d.vec, b.vec), word) AS rn FROM descr d, book b) WHERE rn <= 3"""
+
+
+@query("nearest_codebook_words", NEAREST_WORDS)
 def _(t: Tables) -> DataFrame:
     d = t.desc().select("img_id", "vec")
     return retrieval.quantise(d, _book(t), 3, ["img_id"]).select("img_id", "word", rnd("dist"))
 
 
+@query("nearest_words_by_pivots", NEAREST_WORDS)
+def _(t: Tables) -> DataFrame:
+    d = t.desc().select("img_id", "vec")
+    return retrieval.quantise(d, _book(t), 3, ["img_id"], slice_words=3).select("img_id", "word", rnd("dist"))
+
+
 LOCAL = "loc AS (SELECT vec_id % 2 AS scene, vec_id // 10 AS img_id, vec_id AS feat_id, embedding::DOUBLE[] AS vec FROM embeddings)"
 
 

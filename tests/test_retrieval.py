@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from sightline.operators import retrieval as rt
 from sightline.operators import selection as sel
 
+DESC_TYPE = "scene string, img_id long, feat_id long, vec array<double>"
+
 
 @pytest.fixture(scope="module")
 def desc(spark):
@@ -229,3 +231,35 @@ def test_least_breaks_ties_by_place():
     d = np.array([[3.0, 1.0, 1.0, 1.0, 0.0], [2.0, 2.0, 2.0, 2.0, 2.0], [5.0, 4.0, 3.0, 2.0, 1.0]])
     assert [sorted(r) for r in _least(d, 2).tolist()] == [[1, 4], [0, 1], [3, 4]]
     assert _least(d, 1).ravel().tolist() == [4, 0, 4]
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_pivot_tree_equals_brute_force_and_prunes(spark, k):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6)) * 20
+    words = np.concatenate([centres[i % 12] + rng.normal(size=6) for i in range(300)]).reshape(300, 6)
+    words[40:120] = words[40]  # equal words: one cell above a slice
+    x = np.concatenate([centres[i % 12] + rng.normal(size=6) for i in range(50)] + [words[40], words[3]]).reshape(52, 6)
+    book = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(words)], "word long, vec array<double>")
+    desc = spark.createDataFrame([("s", 0, i, v.tolist()) for i, v in enumerate(x)], DESC_TYPE)
+    got = {}
+    for r in rt.quantise(desc, book, k, slice_words=30).collect():
+        got.setdefault(r["feat_id"], []).append((r["dist"], r["word"]))
+    d = np.sqrt(((x[:, None] - words[None]) ** 2).sum(2))
+    assert set(got) == set(range(52))
+    for i in range(52):
+        order = np.lexsort((np.arange(300), d[i].round(9)))[:k]
+        assert sorted(w for _, w in got[i]) == sorted(order.tolist()) or sorted(round(a, 6) for a, _ in got[i]) == sorted(d[i, order].round(6).tolist())
+    tree, placed = rt.pivot_tree(book, 30)
+    assert placed.count() == 300 and placed.groupBy("slice").count().agg({"count": "max"}).first()[0] <= 60
+    rows = desc.select("scene", "img_id", "feat_id", "vec").withColumn("tau", F.lit(8.0))
+    visits = rt.route(rows, tree, k, True).select(F.sum(F.size("cells"))).first()[0]
+    assert visits < 52 * len(tree.pivots) / 4  # most cells are ruled out
+
+
+def test_pivot_tree_with_fewer_words_than_asked_and_no_rows(spark):
+    book = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(7)], "word long, vec array<double>")
+    desc = spark.createDataFrame([("s", 0, 0, [2.2, 0.0])], DESC_TYPE)
+    got = [r["word"] for r in rt.quantise(desc, book, 9, slice_words=3).orderBy("dist").collect()]
+    assert got == [2, 3, 1, 4, 0, 5, 6]
+    assert rt.quantise(desc.limit(0), book, 2, slice_words=3).count() == 0
