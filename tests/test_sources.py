@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import batch
-from sightline.sources import readers, tables
+from sightline.sources import ranges, readers, tables
 
 
 def test_scene_catalogue(spark, tmp_path):
@@ -167,3 +167,61 @@ def test_failing_scene_is_reported(spark):
     assert got == {"a": ("ok", None), "b": ("failed", "RuntimeError: boom")}
     with pytest.raises(Exception, match="boom"):
         batch.run_per_scene(df, fn, "raise").collect()
+
+
+def images_bin(n, seed=0, points=40):
+    """A model of ``n`` images with unit rotations; observations may hold any bytes."""
+    rng = np.random.default_rng(seed)
+    buf, rows = struct.pack("<Q", n), []
+    for i in range(1, n + 1):
+        q = rng.normal(size=4)
+        q /= np.linalg.norm(q)
+        t, name, k = rng.normal(size=3), f"cam/é{i}.png", int(rng.integers(0, points))
+        buf += struct.pack("<idddddddi", i, *q, *t, 1) + name.encode() + b"\0" + struct.pack("<Q", k) + rng.bytes(24 * k)
+        rows.append((i, name, *q, *t, 1))
+    return buf, rows
+
+
+def test_binary_model_in_ranges(spark, tmp_path):
+    want = set()
+    for scene, (n, tail) in {"a": (90, b""), "b": (1, b""), "none": (0, b""), "tail": (30, b"xyz")}.items():
+        buf, rows = images_bin(n, seed=n)
+        (tmp_path / scene).mkdir()
+        (tmp_path / scene / "images.bin").write_bytes(buf + tail)
+        want |= {(scene, *r) for r in rows}
+    paths = [str(tmp_path / s / "images.bin") for s in ("a", "b", "none", "tail")]
+    for size in (64, 1000, 1 << 20):  # ranges inside one record, of some records, whole files
+        got = ranges.image_records(spark, paths, size)
+        rows = [(r["path"].split("/")[-2], *[r[c] for c in ("image_id", "name", "qw", "qx", "qy", "qz", "tx", "ty", "tz", "camera_id")]) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+
+
+def test_observations_that_look_like_records_lose_nothing(spark, tmp_path):
+    fake, _ = images_bin(8, seed=5, points=1)
+    inner = fake[8:] + b"\0" * (-len(fake[8:]) % 24)
+    buf = struct.pack("<Q", 2)
+    for i in (1, 2):
+        buf += struct.pack("<idddddddi", i, 1, 0, 0, 0, 0, 0, 0, 1) + b"x\0" + struct.pack("<Q", len(inner) // 24) + inner
+    (tmp_path / "images.bin").write_bytes(buf)
+    for size in (100, 500):
+        assert sorted(r["image_id"] for r in ranges.image_records(spark, [str(tmp_path / "images.bin")], size).collect()) == [1, 2]
+    (tmp_path / "images.bin").write_bytes(buf[:-10])
+    with pytest.raises(Exception, match="is broken"):
+        ranges.image_records(spark, [str(tmp_path / "images.bin")], 100).collect()
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_json_elements_in_pieces(spark, tmp_path, piece):
+    items = [{"a": "x]},[\\\" é", "b": [1, {"c": None}]}, 12345, "s", [], None, True]
+    (tmp_path / "plain.json").write_text(json.dumps(items, ensure_ascii=False, indent=1), encoding="utf-8")
+    (tmp_path / "zip.jgz").write_bytes(gzip.compress(json.dumps(items).encode()))
+    (tmp_path / "empty.json").write_text(" [ ] ")
+    files = [str(tmp_path / n) for n in ("plain.json", "zip.jgz", "empty.json")]
+    got = [json.loads(r["element"]) for r in ranges.json_elements(spark, files, piece=piece).collect()]
+    assert len(got) == 12 and all(got.count(i) == 2 for i in items if i is not True)
+    (tmp_path / "keyed.json").write_text(json.dumps({"train": [[1], [2]], "n": {"test": [9]}, "test": [[3], [4]]}))
+    keyed = ranges.json_elements(spark, [str(tmp_path / "keyed.json")], "test", piece)
+    assert sorted(r["element"] for r in keyed.collect()) == ["[3]", "[4]"]
+    (tmp_path / "bad.json").write_text('[{"a": 1}, {"b"')
+    with pytest.raises(Exception, match="bad.json"):
+        ranges.json_elements(spark, [str(tmp_path / "bad.json")], piece=piece).collect()
