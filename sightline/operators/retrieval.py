@@ -322,6 +322,22 @@ def asmk_aggregate(desc: DataFrame, codebook: DataFrame, k: int = BUILD_ASSIGN)
     return sums.join(book, "word").select("scene", "img_id", "word", residual_signs("vec", "_c").alias("bits"))
 
 
+def _kernel(both: DataFrame, nq: DataFrame, nd: DataFrame, dim: int, alpha: float, thr: float, past_only: bool) -> DataFrame:
+    """Scores from rows that share a word: scene, i, j and both images' bits."""
+    if past_only:
+        both = both.where(F.col("j") < F.col("i"))
+    ham = F.aggregate(F.zip_with("_bq", "_bd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    u = 1 - 2 * ham / dim
+    hits = both.select("scene", "i", "j", u.alias("u")).where(F.col("u") > thr)
+    total = hits.groupBy("scene", "i", "j").agg(F.sum(F.pow("u", F.lit(alpha))).alias("_s"))
+    return (total.join(nq, ["scene", "i"]).join(nd, ["scene", "j"])
+            .select("scene", "i", "j", (F.col("_s") / F.sqrt(F.col("_nq") * F.col("_nd"))).alias("s")))
+
+
+def _word_counts(rows: DataFrame, image: str, count: str) -> DataFrame:
+    return rows.groupBy("scene", F.col("img_id").alias(image)).agg(F.count("*").alias(count))
+
+
 def asmk_scores(query: DataFrame, index: DataFrame, dim: int, alpha: float = ALPHA, thr: float = 0.0,
                 past_only: bool = False) -> DataFrame:
     """(scene, i, j, s): score of indexed image j for query image i, over their shared words.
@@ -329,19 +345,44 @@ def asmk_scores(query: DataFrame, index: DataFrame, dim: int, alpha: float = ALP
     Images meet through words only; frequent words are salted on both sides. Pairs without a positive
     word have no row, which stands for zero.
     """
-    nq = query.groupBy("scene", F.col("img_id").alias("i")).agg(F.count("*").alias("_nq"))
-    nd = index.groupBy("scene", F.col("img_id").alias("j")).agg(F.count("*").alias("_nd"))
     q = query.select("scene", "word", F.col("img_id").alias("i"), F.col("bits").alias("_bq"))
     d = index.select("scene", "word", F.col("img_id").alias("j"), F.col("bits").alias("_bd"))
     both = salted_join(q, d, ["scene", "word"])
-    if past_only:
-        both = both.where(F.col("j") < F.col("i"))
-    ham = F.aggregate(F.zip_with("_bq", "_bd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    u = 1 - 2 * ham / dim
-    hits = both.select("scene", "i", "j", u.alias("u")).where(F.col("u") > thr)
-    total = hits.groupBy("scene", "i", "j").agg(F.sum(F.pow("u", F.lit(alpha))).alias("_s"))
-    return (total.join(nq, ["scene", "i"]).join(nd, ["scene", "j"])
-            .select("scene", "i", "j", (F.col("_s") / F.sqrt(F.col("_nq") * F.col("_nd"))).alias("s")))
+    return _kernel(both, _word_counts(query, "i", "_nq"), _word_counts(index, "j", "_nd"), dim, alpha, thr, past_only)
+
+
+def save_index(index: DataFrame, name: str, buckets: int, frequent: int = 65_536) -> None:
+    """The index as tables of the catalog: ``name`` bucketed by word, ``name_frequent`` and ``name_images``.
+
+    Words with more than ``frequent`` images in a scene would make one bucket long; they stand apart, spread by image.
+    ``name_images`` holds the words per image, so that a query needn't count the index again.
+    """
+    spark = index.sparkSession
+    index = cut(index.select("scene", "img_id", "word", "bits"))
+    often = cut(index.groupBy("scene", "word").count().where(F.col("count") > frequent).select("scene", "word"))
+    few = index.join(often, ["scene", "word"], "left_anti").select(index.columns)
+    few.repartition(buckets, "scene", "word").write.mode("overwrite").bucketBy(buckets, "scene", "word").sortBy("scene", "word").saveAsTable(name)
+    many = index.join(often, ["scene", "word"], "left_semi").select(index.columns)
+    many.write.mode("overwrite").saveAsTable(f"{name}_frequent")
+    sizes = _word_counts(index, "j", "_nd")
+    sizes.repartition(buckets, "scene", "j").write.mode("overwrite").bucketBy(buckets, "scene", "j").sortBy("scene", "j").saveAsTable(f"{name}_images")
+    spark.catalog.refreshTable(name)
+
+
+def scores_of_saved(query: DataFrame, name: str, dim: int, alpha: float = ALPHA, thr: float = 0.0, past_only: bool = False) -> DataFrame:
+    """``asmk_scores`` against a saved index: only the query's rows are shuffled, to the buckets of their words."""
+    spark = query.sparkSession
+    query = cut(query)
+    q = query.select("scene", "word", F.col("img_id").alias("i"), F.col("bits").alias("_bq"))
+
+    def side(table: str) -> DataFrame:
+        return spark.table(table).select("scene", "word", F.col("img_id").alias("j"), F.col("bits").alias("_bd"))
+
+    both = q.join(side(name).hint("merge"), ["scene", "word"])
+    often = side(f"{name}_frequent")
+    if not often.isEmpty():
+        both = both.unionByName(salted_join(q, often, ["scene", "word"]))
+    return _kernel(both, _word_counts(query, "i", "_nq"), spark.table(f"{name}_images"), dim, alpha, thr, past_only)
 
 
 # ------------------------------------------------------------------ similarity

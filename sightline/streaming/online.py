@@ -36,38 +36,73 @@ def frame_stream(spark: SparkSession, path: str, schema: T.StructType | str, eve
 
 
 class BatchTable:
-    """Parquet table with one folder per batch."""
+    """Parquet table with one folder per batch, and merged folders that stand for all batches before one."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.merged = spark, path, f"{path}_merged"
         self.schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def _folders(self, path: str, key: str) -> list[int]:
+        """Numbers of the finished folders ``key=number`` under a path."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [f.getPath() for f in fs.listStatus(root)]
+        done = [p.getName() for p in names if p.getName().startswith(key + "=") and fs.exists(p.suffix("/_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in done)
+
+    def _drop(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def read(self, before: int | None = None) -> DataFrame:
-        """Rows of all batches, or of those before one."""
-        full = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
+        """Rows of all batches, or of those before one: the last merged folder that fits and the batches after it."""
+        base = max((u for u in self._folders(self.merged, "upto") if before is None or u <= before), default=None)
+        later = [b for b in self._folders(self.path, "batch") if (base is None or b >= base) and (before is None or b < before)]
+        folders = ([f"{self.merged}/upto={base}"] if base is not None else []) + [f"{self.path}/batch={b}" for b in later]
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        df = self.spark.read.schema(full).parquet(self.path)
-        return (df if before is None else df.where(F.col("batch") < before)).drop("batch")
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def merge(self, batch: int, rows: DataFrame | None = None) -> None:
+        """Write what all batches before ``batch`` hold as one folder; ``rows`` may say the same in fewer rows.
+
+        Run it at the start of ``batch``: earlier batches are finished then. A merge that fails leaves readers on the
+        merged folder before it, one that is done isn't done again; that folder and the batches behind it are kept, all older ones deleted.
+        """
+        if batch in self._folders(self.merged, "upto"):
+            return
+        (self.read(before=batch) if rows is None else rows).write.mode("overwrite").parquet(f"{self.merged}/upto={batch}")
+        kept = [u for u in self._folders(self.merged, "upto") if u <= batch][-2:]
+        for u in self._folders(self.merged, "upto"):
+            if u < kept[0]:
+                self._drop(f"{self.merged}/upto={u}")
+        if len(kept) == 2:
+            for b in self._folders(self.path, "batch"):
+                if b < kept[0]:
+                    self._drop(f"{self.path}/batch={b}")
 
 
 class OnlineRetrieval:
     """Query the inverted index with each new frame, then add it.
 
-    New frames also see the earlier frames of their own batch, so the batch size does not change results.
+    New frames also see the earlier frames of their own batch, so the batch size does not change results. Every
+    ``merge_every`` batches the index of earlier ones is merged into one folder, so that a batch opens a bounded number.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, codebook: DataFrame, dim: int, k: int) -> None:
-        self.codebook, self.dim, self.k = codebook, dim, k
+    def __init__(self, spark: SparkSession, folder: str, codebook: DataFrame, dim: int, k: int, merge_every: int = 64) -> None:
+        self.codebook, self.dim, self.k, self.merge_every = codebook, dim, k, merge_every
         self.index = BatchTable(spark, f"{folder}/index", "scene long, img_id long, word long, bits array<bigint>")
         self.pairs = BatchTable(spark, f"{folder}/pairs", "scene long, query long, img_id long")
         self.scores = BatchTable(spark, f"{folder}/scores", "scene long, i long, j long, s double")
 
     def __call__(self, desc: DataFrame, batch: int) -> None:
+        if batch and batch % self.merge_every == 0:
+            self.index.merge(batch)
         new = cut(asmk_aggregate(desc, self.codebook, BUILD_ASSIGN))
         query = cut(asmk_aggregate(desc, self.codebook, QUERY_ASSIGN))
         history = self.index.read(before=batch)
@@ -81,8 +116,8 @@ class OnlineTracks:
     """Growing track store: drop old tracks that new ones cover, append, cap, and attach every new frame.
 
     Each frame is attached to the past frame, of its own batch or before, that shares most tracks with it, and gets one
-    event, in the batch that brings it first. The store of a batch holds the full observations of the scenes the batch
-    touched; other scenes stay where they were last written.
+    event, in the batch that brings it first. The store is a log: a batch writes the observations it adds and the places of
+    those it takes away, however many its scenes hold already; every ``merge_every`` batches the log is merged.
 
     What a batch must hold depends on ``ids``. With ``batch`` (the form of a matcher that is run per batch) track ids mean
     something inside the batch only, so its tracks bring their observations in past frames again; stored tracks they
@@ -93,33 +128,52 @@ class OnlineTracks:
     """
 
     def __init__(self, spark: SparkSession, folder: str, num_keep: int, thr: float = 5.0, gba_step: int = 10,
-                 on_frame: Callable[[DataFrame, int], None] | None = None, ids: str = "batch") -> None:
+                 on_frame: Callable[[DataFrame, int], None] | None = None, ids: str = "batch", merge_every: int = 64) -> None:
         if ids not in ("batch", "global"):
             raise ValueError(f"ids must be 'batch' or 'global', not {ids!r}")
-        self.num_keep, self.thr, self.gba_step, self.on_frame, self.ids = num_keep, thr, gba_step, on_frame, ids
+        self.num_keep, self.thr, self.gba_step, self.on_frame, self.ids, self.merge_every = num_keep, thr, gba_step, on_frame, ids, merge_every
         self.schema = "scene long, img_id long, track_id long, u double, v double"
-        self.store = BatchTable(spark, f"{folder}/tracks", self.schema + ", version long")
+        self.store = BatchTable(spark, f"{folder}/tracks", self.schema + ", version long, gone boolean")
         self.events = BatchTable(spark, f"{folder}/events", "scene long, img_id long, attached_to long, n_matches long, mode string, n_tracks long")
 
-    def current(self, before: int | None = None) -> DataFrame:
-        """Latest observations of every scene."""
+    def _live(self, before: int | None) -> DataFrame:
         rows = self.store.read(before)
-        last = rows.groupBy("scene").agg(F.max("version").alias("version"))
-        return rows.join(last, ["scene", "version"]).drop("version")
+        place = ["scene", "img_id", "track_id"]
+        taken = rows.where("gone").groupBy(*place).agg(F.max("version").alias("_taken"))
+        return rows.where("NOT gone").join(taken, place, "left").where("_taken IS NULL OR version >= _taken").drop("_taken")
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """Latest observations of every scene: those that no later batch took away."""
+        return self._live(before).drop("version", "gone")
+
+    def finish(self, batch: int) -> DataFrame:
+        """One event of mode 'final' per scene, at its last frame, for a last refinement of all of it."""
+        last = self.current().groupBy("scene").agg(F.max("img_id").alias("img_id"), F.countDistinct("track_id").alias("n_tracks"))
+        feed = cut(last.select("scene", "img_id", F.lit(None).cast("long").alias("attached_to"), F.lit(None).cast("long").alias("n_matches"),
+                               F.lit("final").alias("mode"), "n_tracks"))
+        self.events.write(feed, batch)
+        if self.on_frame is not None:
+            self.on_frame(feed, batch)
+        return feed
 
     def __call__(self, new: DataFrame, batch: int) -> None:
         new = cut(new.select("scene", "img_id", "track_id", "u", "v"))
         if new.isEmpty():
             return
+        if batch and batch % self.merge_every == 0:
+            self.store.merge(batch, self._live(batch))
+            self.events.merge(batch)
         touched = new.select("scene").distinct()
-        old = self.current(before=batch).join(touched, "scene", "left_semi")
+        old = cut(self.current(before=batch).join(touched, "scene", "left_semi"))
         if self.ids == "global":
             place = ["scene", "img_id", "track_id"]
             joined = old.unionByName(new.dropDuplicates(place).join(old, place, "left_anti"))
         else:
             joined = union_tracks(remove_tracks(old, cut(duplicated(old, new, self.thr))), new)
         merged = cut(cap_tracks(joined, self.num_keep))
-        self.store.write(merged.withColumn("version", F.lit(batch).cast("long")), batch)
+        added, taken = merged.exceptAll(old.select(merged.columns)), old.select(merged.columns).exceptAll(merged)
+        change = added.withColumn("gone", F.lit(False)).unionByName(taken.withColumn("gone", F.lit(True)))
+        self.store.write(change.select("*", F.lit(batch).cast("long").alias("version")), batch)
         frames = cut(new.select("scene", "img_id").distinct().join(self.events.read(before=batch), ["scene", "img_id"], "left_anti"))
         at = attach_frames(merged, frames.withColumnRenamed("img_id", "j")).select("scene", F.col("j").alias("img_id"), F.col("i").alias("attached_to"), "n_matches")
         born = merged.groupBy("scene", "track_id").agg(F.min("img_id").alias("first")).groupBy("scene", "first").agg(F.count("*").alias("n"))

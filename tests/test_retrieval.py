@@ -263,3 +263,23 @@ def test_pivot_tree_with_fewer_words_than_asked_and_no_rows(spark):
     got = [r["word"] for r in rt.quantise(desc, book, 9, slice_words=3).orderBy("dist").collect()]
     assert got == [2, 3, 1, 4, 0, 5, 6]
     assert rt.quantise(desc.limit(0), book, 2, slice_words=3).count() == 0
+
+
+def test_saved_index_scores_without_moving_it(spark, desc, book, tmp_path):
+    df, _ = desc
+    cb, _ = book
+    query, index = rt.asmk_aggregate(df, cb, 5), rt.asmk_aggregate(df, cb)
+    want = {(r["i"], r["j"]): round(r["s"], 9) for r in rt.asmk_scores(query, index, 12, past_only=True).collect()}
+    name = "index_" + tmp_path.name.replace("-", "_")
+    for frequent in (65_536, 2):  # no frequent word, then most of them
+        rt.save_index(index, name, 3, frequent)
+        assert (spark.table(f"{name}_frequent").count() > 0) == (frequent == 2)
+        out = rt.scores_of_saved(query, name, 12, past_only=True)
+        assert {(r["i"], r["j"]): round(r["s"], 9) for r in out.collect()} == want and want
+    rt.save_index(index, name, 3)
+    q = query.select("scene", "word", F.col("img_id").alias("i"))
+    plan = q.join(spark.table(name).hint("merge"), ["scene", "word"])._jdf.queryExecution().executedPlan().toString()
+    scan = plan[:plan.index(name)]
+    assert "Bucketed: true" in plan and "Exchange" not in scan[scan.rindex("Sort ["):]
+    for t in ("", "_frequent", "_images"):
+        spark.sql(f"DROP TABLE {name}{t}")

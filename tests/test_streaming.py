@@ -79,7 +79,7 @@ def test_every_frame_of_a_batch_is_attached(spark, tmp_path, per_batch):
 def test_global_ids_take_new_observations_alone(spark, tmp_path, per_batch):
     S = "scene long, img_id long, track_id long, u double, v double"
     seen = {0: [0, 1], 1: [0, 1, 2], 2: [2, 3], 3: [0, 1, 3], 4: [9], 5: [3, 9], 6: [0, 2], 7: [0, 1, 3]}
-    body = online.OnlineTracks(spark, str(tmp_path), 1000, thr=0.5, ids="global")
+    body = online.OnlineTracks(spark, str(tmp_path), 1000, thr=0.5, ids="global", merge_every=2)
     for batch, lo in enumerate(range(0, 8, per_batch)):
         rows = [(s, i, t, 50.0 * t + i, 9.0 * i) for s in (0, 1) for i in range(lo, min(8, lo + per_batch)) for t in seen[i]]
         again = [(0, 0, 0, -1.0, -1.0)] if batch else []  # came before: kept as it was
@@ -92,6 +92,12 @@ def test_global_ids_take_new_observations_alone(spark, tmp_path, per_batch):
     assert sorted(feed, key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
     obs = {tuple(r) for r in body.current().select("scene", "img_id", "track_id", "u", "v").collect()}
     assert obs == {(s, i, t, 50.0 * t + i, 9.0 * i) for s in (0, 1) for i in seen for t in seen[i]}
+    if per_batch == 1:  # a batch writes what it adds, not its scenes again
+        last = spark.read.parquet(f"{body.store.path}/batch=7")
+        assert last.where("NOT gone").count() == 6 and last.where("gone").count() == 0
+        assert body.store._folders(body.store.merged, "upto") == [4, 6] and min(body.store._folders(body.store.path, "batch")) == 4
+    final = {r["scene"]: (r["img_id"], r["mode"], r["n_tracks"]) for r in body.finish(99).collect()}
+    assert final == {s: (7, "final", len({t for i in seen for t in seen[i]})) for s in (0, 1)}
     with pytest.raises(ValueError, match="global"):
         online.OnlineTracks(spark, str(tmp_path), 10, ids="mine")
 
@@ -136,3 +142,17 @@ def test_cap_in_rounds(spark):
     assert tracks.cap_tracks(obs, 10, 16).select("track_id").distinct().count() == 10
     apart = obs.withColumn("u", F.col("track_id") * 16.0)
     assert tracks.cap_tracks(apart, 10, 16).select("track_id").distinct().count() == 30
+
+
+def test_merged_batches_read_like_single_ones(spark, tmp_path):
+    t = online.BatchTable(spark, str(tmp_path / "t"), "x long")
+    assert t.read().count() == 0
+    at = lambda before=None: sorted(r["x"] for r in t.read(before).collect())
+    for batch in range(7):
+        if batch in (2, 4, 6):
+            t.merge(batch)
+            t.merge(batch)  # a repeated merge changes nothing
+        t.write(spark.range(batch, batch + 1).withColumnRenamed("id", "x"), batch)
+        t.write(spark.range(batch, batch + 1).withColumnRenamed("id", "x"), batch)
+        assert at() == list(range(batch + 1)) and at(batch) == list(range(batch))
+    assert at(5) == [0, 1, 2, 3, 4]  # an earlier merge still serves a repeated batch
