@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import cut, fresh_folder, map_arrow, open_store, pick, text_or_empty
+from sightline.scale import broadcast_if_small
 
 MIN_BYTES = 100
 SPLIT_BYTES = 16 << 20
+HOT = 4096  # pages of one payload from which its digest is broadcast
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
@@ -38,13 +40,23 @@ DATE = "1970-01-01T00:00:00Z"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def with_originals(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Adds digest and refers_to (null for responses) to (page_id, url, html)."""
+def with_originals(pages: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT) -> DataFrame:
+    """Adds digest and refers_to (null for responses) to (page_id, url, html).
+
+    Payloads found more than ``hot`` times are at most one in ``hot`` pages; their digests are broadcast while they are
+    few, so that their pages need not meet in one task. Pages that can't be revisits are spread evenly.
+    """
     pages = pages.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    shared = (pages.where(F.octet_length("html") >= min_bytes).groupBy("digest")
-              .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first"))
-    return pages.join(shared, "digest", "left").withColumn(
-        "refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")))
+    may_repeat = F.octet_length("html") >= min_bytes
+    shared = cut(pages.where(may_repeat).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+                 .where("n > 1 AND first IS NOT NULL"))
+    often = shared.where(F.col("n") > hot).select(F.col("digest").alias("often"), F.col("first").alias("often_first"))
+    rare = shared.where(F.col("n") <= hot).select(F.col("digest").alias("key"), "first")
+    pages = pages.join(broadcast_if_small(often), F.col("digest") == F.col("often"), "left")
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    pages = pages.withColumn("key", F.when(may_repeat & F.col("often").isNull(), F.col("digest")).otherwise(alone))
+    first = F.coalesce("often_first", "first")
+    return pages.join(rare, "key", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != first), first))
 
 
 def _record_id(page_id: int | None) -> str:
