@@ -104,21 +104,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", text_hash("text").alias("text_hash"), "text")
     found = let(held, lambda bits: let(word_hashes("text"), lambda h: seeds(h, lambda s: in_bitmap(bits, s))))  # the constant stands once in the plan
     hits = rows.select("doc_id", "text_hash", F.explode(found).alias("s")).select("doc_id", "text_hash", "s.at", "s.seed").join(known, "seed")
-    lines = hits.groupBy("doc_id", "text_hash", "item", (F.col("at") - F.col("item_at")).alias("shift")).count().select("doc_id", "text_hash", "item", "shift")
-    lines = lines.join(items.select("item", "item_id", "words"), "item")
-    per_doc = cut(lines.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).agg(F.collect_list(F.struct("item", "item_id", "words", "shift")).alias("lines")))
-
-    least = lambda w: F.least(F.lit(MIN_SCORE), F.ceil(F.size(w) * MIN_SHARE).cast("int"))
-    judged = let(word_hashes("text"), lambda h: F.filter(F.transform("lines", lambda x: F.struct(
-        x["item"].alias("item"), x["item_id"].alias("item_id"), least(x["words"]).alias("least"), x["shift"].alias("shift"),
-        best_stretch(h, x["words"], x["shift"]).alias("b"))), lambda x: x["b"]["score"] >= x["least"]))
+    lines = hits.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
+    lines = cut(lines.join(items.select("item", "item_id", "words"), "item"))  # a row per document and item, never all of a document's
+
+    least = F.least(F.lit(MIN_SCORE), F.ceil(F.size("words") * MIN_SHARE).cast("int"))
+    judged = F.filter(F.transform("shifts", lambda s: F.struct(s.alias("shift"), best_stretch(F.col("h"), F.col("words"), s).alias("b"))),
+                      lambda x: x["b"]["score"] >= least)
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))
     # The ids of suspects travel to the texts while they are provably few; then only suspects' texts are shuffled.
-    suspects = rows.join(broadcast_if_small(per_doc.select("of", "of_hash")), same, "left_semi")
+    suspects = rows.join(broadcast_if_small(lines.select("of", "of_hash").distinct()), same, "left_semi")
+    suspects = suspects.select("doc_id", "text_hash", word_hashes("text").alias("h"))
     named = F.col("text_hash") if each_text else F.when(F.col("doc_id").isNull(), F.col("text_hash"))
-    true = suspects.join(per_doc, same).select("doc_id", named.alias("text_hash"), F.explode(judged).alias("x"))
+    true = suspects.join(lines, same).select("doc_id", named.alias("text_hash"), "item", "item_id", F.explode(judged).alias("x"))
     best = F.max(F.struct(F.col("x.b.score").alias("score"), (-(F.col("x.shift") + F.col("x.b.lo"))).alias("back"), (F.col("x.b.hi") - F.col("x.b.lo") + 1).alias("n_words")))
-    return true.groupBy("doc_id", "text_hash", F.col("x.item").alias("item"), F.col("x.item_id").alias("item_id")).agg(best.alias("m")).select(
+    return true.groupBy("doc_id", "text_hash", "item", "item_id").agg(best.alias("m")).select(
         "doc_id", "item_id", "m.score", (-F.col("m.back")).alias("first_word"), "m.n_words", "text_hash")
 
 

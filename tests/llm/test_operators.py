@@ -498,3 +498,23 @@ def test_pipeline_stands_awkward_rows(spark, docs, none):
     for table in (docs, none):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, table, sf).count() >= 0
+
+
+def test_pages_of_frequent_payloads_need_not_meet(spark):
+    big, mid = "e" * 150, "m" * 120
+    rows = [(i, "u", big) for i in range(300, 0, -1)] + [(None, None, None)] * 40 + [(400 + i, "v", mid) for i in range(3)]
+    rows += [(None, "w", big), (500, "x", "s"), (501, "x", "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").fillna({"html": ""})
+    want = sorted([(i, None if i == 1 else 1) for i in range(1, 301)] + [(None, None)] * 40 + [(400, None), (401, 400), (402, 400)]
+                  + [(None, 1), (500, None), (501, None)], key=str)
+    for hot in (2, 10, 4096):
+        assert sorted(((r["page_id"], r["refers_to"]) for r in warc.with_originals(pages, hot=hot).collect()), key=str) == want
+
+
+def test_item_met_in_thousands_of_places(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    many = " ".join([f"pad{k} {item}" for k in range(300)])
+    docs = spark.createDataFrame([(1, many), (2, "the " * 5000), (3, item.replace("w7 ", "zz "))], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (8, "the " * 30)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {(1, 9): 40, (2, 8): 30, (3, 9): 40}
